@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, langid, media, packing, urlfilter
+from corpusloom.llm import bpe, embeddings, langid, media, packing, simhash, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,15 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.dedup(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.dedup(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(table(spark, sf_dir, "documents"), vocabulary())
     both = bpe.decode(ids, vocabulary())
