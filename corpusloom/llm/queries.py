@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, embeddings, langid, media, packing, simhash, urlfilter
+from corpusloom.llm import bpe, embeddings, langid, media, packing, simhash, substring, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), capacity=1024, end_id=0)
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.dedup(table(spark, sf_dir, "documents"), size=13)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = media.read_back(media.store(table(spark, sf_dir, "documents")))
     return rows.select(
