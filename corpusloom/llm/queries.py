@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, embeddings, langid, media, packing, simhash, substring, urlfilter
+from corpusloom.llm import bpe, embeddings, langid, linededup, media, packing, secretscan, simhash, substring, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,17 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(table(spark, sf_dir, "documents"))
+    count = [F.expr(f"CAST(size(filter(base, s -> s.rank = {i})) AS BIGINT)").alias(f"n_{kind}") for i, kind in enumerate(("assign", "access", "hex"))]
+    return found.select("doc_id", *count, F.sha2(secretscan.listed("base").cast("binary"), 256).alias("base_sha256"), secretscan.listed("spans").alias("spans"))
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup(table(spark, sf_dir, "documents"), threshold=2, min_chars=24)
+    return found.select("doc_id", "n_lines", "n_links", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -3,9 +3,10 @@
 A top tree, built on a bounded sample of the fingerprints, splits the space: at each
 node by the Hamming distance to a vantage point, at the sample's median.  A fingerprint
 lives in the shard (leaf) its distances lead to.  It is also a visitor of every other
-shard that the triangle inequality does not rule out: by a node with distance d and
-border m, the near side is closed to it only if d > m + radius and the far side only if
-d <= m - radius.  So a pair within the radius meets in the home shard of either.
+shard later in the order that the triangle inequality does not rule out: by a node with
+distance d and border m, the near side is closed to it only if d > m + radius and the far
+side only if d <= m - radius.  So a pair within the radius meets in one shard, the later
+of their homes.
 
 Within a shard the same tree is grown further and searched for all fingerprints at once,
 node by node, until few enough points are left to compare.  A shard hands on a spanning
@@ -28,7 +29,7 @@ from corpusloom.llm.components import Union, components
 from corpusloom.llm.shared import written
 
 #: Fingerprints that a shard is meant to hold, that the top tree is built on, and that are compared outright.
-SHARD, SAMPLE, OUTRIGHT = 16_384, 16_384, 192
+SHARD, SAMPLE, OUTRIGHT = 32_768, 16_384, 192
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -87,17 +88,20 @@ class TopTree:
         return here
 
     def route(self, points: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(shard, indices of its points and visitors, whether it is their home)."""
+        """(shard, indices of its points and of visitors from earlier homes, whether it is their home)."""
         todo = [(0, np.arange(len(points)), np.ones(len(points), bool))]
+        seen = np.zeros(len(points), bool)  # shards come in their order, so these have passed their home
         while todo:
             node, at, home = todo.pop()
             vantage, border, near, far = self.nodes[node]
             if vantage is None:
-                yield border, at, home
+                seen[at[home]] = True
+                meets = seen[at]
+                yield border, at[meets], home[meets]
                 continue
             d = distance(points[at], vantage).astype(np.int64)
-            for child, open_, own in ((near, d <= border + self.radius, d <= border), (far, d > border - self.radius, d > border)):
-                if open_.any():
+            for child, open_, own in ((far, d > border - self.radius, d > border), (near, d <= border + self.radius, d <= border)):
+                if open_.any():  # the near side is popped first
                     todo.append((child, at[open_], (home & own)[open_]))
 
 
