@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import written
+from corpusloom.llm.sqltext import let
 
 
 def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -73,49 +74,48 @@ def _common_prefix(a: str, b: str) -> str:
 
 
 def banded_distance(a: str, b: str, threshold: int) -> str:
-    """SQL text: the edit distance of a and b, or threshold + 1 if it is larger.
+    """SQL text: whether the edit distance of strings a and b is at most the threshold.
 
-    a: at most as long as b, at most threshold less.  Bit 2t of the words is the lowest
-    diagonal of the band, which moves down one row with each code point of b.  The
-    score follows the lowest diagonal while there are rows, then the last row.
+    a: not longer than b.  The top bit of the words is the lowest diagonal of the band,
+    which moves down one row with each code point of b.  The score follows that diagonal
+    while there are rows, then the last row.  Once it cannot come back, steps do nothing.
     """
     t, width = threshold, 2 * threshold + 1
     full = (1 << width) - 1
+    top = width - 1
     ones = full & ~((1 << t) - 1)  # rows 0 .. t of the first column rise by one each
-    # Match word: bit k says that row j - t + k of a holds the code point of b in column j.
-    match = " | ".join(f"IF(element_at(xs, j - {t} + {k} + {t}) = c, {1 << k}L, 0L)" for k in range(width))
-    body = f"""
-      aggregate(
-        sequence(1, size(ys)),
-        named_struct('vp', {ones}L, 'vn', 0L, 'd', {t}L, 'hi', 0L),
-        (s, j) -> IF(s.d > {3 * t + 2}L, s,
-          element_at(transform(array(element_at(ys, j)), c ->
-            element_at(transform(array({match}), m ->
-              element_at(transform(array((((((m & s.vp) + s.vp) ^ s.vp) | m | s.vn) & {full}L)), d0 ->
-                element_at(transform(array(named_struct('hp', (s.vn | ((~(d0 | s.vp)) & {full}L)), 'hn', d0 & s.vp)), h ->
-                  named_struct(
-                    'vp', (h.hn | (~(shiftrightunsigned(d0, 1) | h.hp))) & {full}L,
-                    'vn', shiftrightunsigned(d0, 1) & h.hp,
-                    'd', IF(j + {t} <= n, s.d + IF((d0 & {1 << (width - 1)}L) = 0, 1L, 0L),
-                            s.d + IF((shiftrightunsigned(h.hp, CAST({width - 1} - (j + {t} - n) AS INT)) & 1L) = 1L, 1L, 0L)
-                                - IF((shiftrightunsigned(h.hn, CAST({width - 1} - (j + {t} - n) AS INT)) & 1L) = 1L, 1L, 0L)),
-                    'hi', s.hi)), 1)), 1)), 1)), 1)),
-        s -> s.d)"""
-    return body
+    # Bit k of the match word says that row j - t + k of a holds the code point of b in column j.
+    match = " | ".join(f"IF(element_at(s.xs, j + {k}) = element_at(s.ys, j), {1 << k}L, 0L)" for k in range(width))
+    last = f"CAST({top} - (j + {t} - s.n) AS INT)"  # the bit of the last row
+    step = f"""named_struct('xs', s.xs, 'ys', s.ys, 'n', s.n,
+        'vp', (w.d & s.vp) | (~(shiftrightunsigned(w.d, 1) | w.hp) & {full}L),
+        'vn', shiftrightunsigned(w.d, 1) & w.hp,
+        'score', IF(j + {t} <= s.n, s.score + IF((w.d & {1 << top}L) = 0, 1L, 0L),
+          s.score + (shiftrightunsigned(w.hp, {last}) & 1L) - (shiftrightunsigned(w.d & s.vp, {last}) & 1L)))"""
+    step = let("named_struct('d', d, 'hp', s.vn | (~(d | s.vp) & " + f"{full}L))", "w", step)
+    step = let(f"((((m & s.vp) + s.vp) ^ s.vp) | m | s.vn) & {full}L", "d", step)
+    step = let(match, "m", step)
+    pad = ", ".join(["''"] * t)
+    # xs: t empty places, the code points of a, and more empty places, so the band never leaves it.
+    start = f"""named_struct('xs', concat(array({pad}), split({a}, ''), array({pad}, {pad}, '')), 'ys', split({b}, ''), 'n', CAST(length({a}) AS INT),
+        'vp', {ones}L, 'vn', 0L, 'score', CAST(least(length({a}), {t}) AS BIGINT))"""
+    run = f"aggregate(sequence(1, CAST(length({b}) AS INT)), {start}, (s, j) -> IF(s.score > {3 * t}L, s, {step}), s -> s.score <= {t})"
+    return f"CASE WHEN length({b}) - length({a}) > {t} THEN false WHEN length({b}) <= {t} THEN true ELSE {run} END"
+
+
+def within(a: str, b: str, threshold: int) -> str:
+    """SQL text: whether strings a and b, a not longer, are within the threshold; common ends are cut off first."""
+    cut = "named_struct('x', substring({p}.x, 1, CAST(length({p}.x) - tail AS INT)), 'y', substring({p}.y, 1, CAST(length({p}.y) - tail AS INT)))".replace("{p}", "p")
+    last = let(cut, "q", banded_distance("q.x", "q.y", threshold))
+    turned = let("named_struct('x', reverse(p.x), 'y', reverse(p.y))", "r", _common_prefix("r.x", "r.y"))
+    ends = let(turned, "tail", last)
+    heads = let(f"named_struct('x', substring({a}, CAST(head + 1 AS INT)), 'y', substring({b}, CAST(head + 1 AS INT)))", "p", ends)
+    return let(_common_prefix(a, b), "head", heads)
 
 
 def _verified(pairs: DataFrame, threshold: int) -> DataFrame:
     """Keeps the pairs (short, long) whose edit distance is at most the threshold."""
-    t = threshold
-    cut = pairs.withColumn("head", F.expr(_common_prefix("short", "long")).cast("int"))
-    cut = cut.withColumn("x0", F.expr("substring(short, head + 1)")).withColumn("y0", F.expr("substring(long, head + 1)"))
-    cut = cut.withColumn("tail", F.expr(_common_prefix("reverse(x0)", "reverse(y0)")).cast("int"))
-    cut = cut.withColumn("x", F.expr("substring(x0, 1, length(x0) - tail)")).withColumn("y", F.expr("substring(y0, 1, length(y0) - tail)"))
-    # xs: code points of x between t + 1 and t empty places, so that the band never leaves it.
-    pad = ", ".join(["''"] * (t + 1))
-    cut = cut.withColumn("n", F.expr("CAST(length(x) AS INT)")).withColumn("ys", F.expr("IF(length(y) = 0, CAST(array() AS array<string>), split(y, ''))"))
-    cut = cut.withColumn("xs", F.expr(f"concat(array({', '.join([chr(39) * 2] * t)}), IF(length(x) = 0, CAST(array() AS array<string>), split(x, '')), array({pad}), array({pad}))"))
-    return cut.where(F.expr(f"CASE WHEN n = 0 THEN length(y) <= {t} WHEN n <= {t} THEN levenshtein(x, y) <= {t} ELSE {banded_distance('x', 'y', t)} <= {t} END"))
+    return pairs.where(F.expr(within("short", "long", threshold)))
 
 
 def distinct_lines(lines: DataFrame, min_chars: int) -> DataFrame:

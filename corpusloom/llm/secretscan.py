@@ -29,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.sqltext import let
+
 #: Kinds in their order, and the base patterns.
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -77,11 +79,6 @@ def base_spans(text: str) -> str:
     return f"array_sort(concat({', '.join(parts)}))"
 
 
-def _let(value: str, name: str, body: str) -> str:
-    """SQL text: body with a name for a value."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
-
-
 def normal_cdf(z: str) -> str:
     """SQL text: the normal distribution function by a logistic curve in z and its cube."""
     return f"(1.0D / (1.0D + exp(-least(greatest(1.5976D * ({z}) + 0.07056D * pow({z}, 3), -700D), 700D))))"
@@ -111,9 +108,9 @@ def _measured() -> str:
     deviation = f"sqrt({expected} * {1 - TEXT_COLLISION}D + n * (n - 1.0D) * (n - 2) * 0.0006D)"
     p_text = f"IF(k = 16, pow({TEXT_HEX}D, CAST(size(filter(v, y -> y > 9)) AS DOUBLE)), {normal_cdf(f'(q - {expected}) / {deviation}')})"
     out = f"named_struct('start', c.start, 'rank', 3, 'end', c.end, 'body', c.body, 'encoding', e, 'n', n, 'z_chi', {z_chi}, 'z_runs', {z_runs}, 'z_serial', {z_serial}, 'p', {p_text})"
-    inner = _let(upper, "u", _let(runs, "r", out))
-    inner = _let("size(v)", "n", _let(size, "k", _let(pairs, "q", inner)))
-    return _let(encoding, "e", f"IF(e IS NULL, NULL, {_let(symbols, 'v', inner)})")
+    inner = let(upper, "u", let(runs, "r", out))
+    inner = let("size(v)", "n", let(size, "k", let(pairs, "q", inner)))
+    return let(encoding, "e", f"IF(e IS NULL, NULL, {let(symbols, 'v', inner)})")
 
 
 def with_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
