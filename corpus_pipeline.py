@@ -1,13 +1,72 @@
-"""The corpus pipeline (its stages follow as their operators are done)."""
+"""The corpus pipeline: language ID, line dedup, SimHash near-dedup, secret scans, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes every
+stage's result as Parquet in the shared folder and reads it again as the next one's
+docs.  All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import langid, linededup, packing, secretscan, simhash
+from corpusloom.llm.queries import vocabulary
+from corpusloom.llm.shared import written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def with_length(docs: DataFrame, before: DataFrame) -> DataFrame:
+    """docs with n_chars counted anew, as texts have been cut."""
+    return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(before.schema["n_chars"].dataType))).select(before.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that language ID rejects: no letters, or far from every centroid."""
+    model = langid.train(docs.where(~langid.held_out("doc_id")))
+    judged = langid.predict(docs, model, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")), keep_text=True)
+    return judged.where("NOT rejected").select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts lines that stand earlier, alike or within two edits."""
+    return with_length(linededup.clean(docs, threshold=2, min_chars=24), docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each group of near copies: five words, 0.8 or more.
+
+    Texts that hold no words after line dedup are no copies of each other and stay.
+    """
+    return simhash.drop_near_copies(docs, shingle=5, similarity=0.8)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets by [REDACTED]."""
+    return with_length(secretscan.redact(docs), docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens."""
+    return packing.pack(docs, vocabulary(), capacity=1024, end_id=0)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("lines", lines),
+    ("near_duplicates", near_duplicates),
+    ("secrets", secrets),
+    ("pack", pack),
+]
+#: Language ID, SimHash trees, the test battery and the tokenizer are not expressible in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

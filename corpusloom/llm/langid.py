@@ -122,8 +122,8 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
     return fit([g[0] for g in got], np.stack([np.frombuffer(g[1], "<i4") for g in got]), clusters)
 
 
-def predict(df: DataFrame, model: CentroidModel | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, the carried columns, lang_pred, score, rejected) of each row.
+def predict(df: DataFrame, model: CentroidModel | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+    """(id, the carried columns, the text if it is kept, lang_pred, score, rejected) of each row.
 
     A null text or one without letters gets ``und``, score 0 and is rejected; so does
     every text if there is no model.  Columns that are not carried are not read.
@@ -141,11 +141,12 @@ def predict(df: DataFrame, model: CentroidModel | None, id_col: str = "doc_id",
                 if good:
                     for i, a, b, c in zip(good, *known.judge(np.stack([counts(texts[i]) for i in good])), strict=True):
                         lang[i], score[i], out[i] = known.languages[a], float(b), bool(c)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *part.columns[:keep_text], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], names=names)
 
     keep = [id_col, *carry]
     plain = df.select(F.col(text_col).alias("_judged"), *keep)
-    fields = [*plain.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    text = [T.StructField(text_col, T.StringType())] if keep_text else []
+    fields = [*plain.schema.fields[1:], *text, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
     names = [f.name for f in fields]
     return plain.mapInArrow(run, T.StructType(fields))
 
