@@ -119,8 +119,8 @@ def choose(points: np.ndarray) -> tuple[np.uint64, int]:
     return best[1], int(d[(len(d) - 1) // 2])
 
 
-def pairs_within(points: np.ndarray, home: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index arrays of all pairs of a home point and any other point within the radius.
+def pairs_within(points: np.ndarray, home: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index arrays and distances of all pairs of a home point and any other point within the radius.
 
     A vantage-point tree over the home points, searched for all points together.
     """
@@ -145,9 +145,11 @@ def pairs_within(points: np.ndarray, home: np.ndarray, radius: int) -> Iterator[
             for j in range(0, len(ask), 1 << 12):
                 other = ask[j : j + (1 << 12)]
                 bits = np.bitwise_count(points[part][:, None] ^ points[other][None, :])
-                x, y = np.nonzero((bits if bits.ndim == 2 else bits.sum(axis=2, dtype=np.uint16)) <= radius)
+                bits = bits if bits.ndim == 2 else bits.sum(axis=2, dtype=np.uint16)
+                x, y = np.nonzero(bits <= radius)
                 keep = part[x] != other[y]
-                yield part[x[keep]], other[y[keep]]
+                x, y = x[keep], y[keep]
+                yield part[x], other[y], bits[x, y]
 
 
 def links(fps: DataFrame, radius: int = 3) -> DataFrame:
@@ -170,7 +172,7 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     def search(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy()
         points, found = fp.view(np.uint64), Union(len(fp))
-        for x, y in pairs_within(points, table.column("home").to_numpy(), radius):
+        for x, y, _ in pairs_within(points, table.column("home").to_numpy(), radius):
             for i, j in zip(x.tolist(), y.tolist(), strict=True):
                 found.join(i, j)
         root = np.array([found.find(i) for i in range(len(fp))], np.int64)
@@ -199,21 +201,14 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle
 
 #: Words of 64 bits of the wide fingerprint, and its radius: shingle sets of Jaccard
 #: similarity s differ in acos(2 s / (1 + s)) / pi of the bits, 39 of 256 for 0.8, and
-#: the radius is two standard deviations more.
-WIDE_WORDS, WIDE_RADIUS = 4, 51
+#: the radius is three standard deviations more.  Pairs a forest is built of at once.
+WIDE_WORDS, WIDE_RADIUS, PAIRS = 4, 56, 1_000_000
 _TURNS = np.random.default_rng(42).integers(1, 1 << 63, WIDE_WORDS, dtype=np.uint64) | np.uint64(1)
 
 
 def wide_fingerprint(text: bytes, shingle: int) -> tuple[int, np.ndarray]:
     """(number of distinct shingles, WIDE_WORDS words of fingerprint) of the shingle set."""
-    words = text.lower().split()
-    if not words:
-        return 0, np.zeros(WIDE_WORDS, np.uint64)
-    flat = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = [0, *(ends[:-1] + 1).tolist()]
-    digest = xxhash.xxh64_intdigest
-    h = np.unique(np.array([digest(flat[a:b]) for a, b in zip(starts, ends.tolist()[min(shingle, len(words)) - 1 :], strict=False)], np.uint64))
+    h = shingle_set(text, shingle)
     ones = np.zeros(64 * WIDE_WORDS, np.int64)
     for i in range(0, len(h), 1 << 14):
         x = h[i : i + (1 << 14), None] * _TURNS
@@ -224,13 +219,72 @@ def wide_fingerprint(text: bytes, shingle: int) -> tuple[int, np.ndarray]:
     return len(h), np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)
 
 
+class Forest:
+    """A minimum spanning forest of weighted pairs, in memory for its own edges and PAIRS more."""
+
+    def __init__(self, n: int):
+        self.n, self.held, self.edges = n, 0, []
+
+    def add(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        self.edges.append((x.astype(np.int32), y.astype(np.int32), weight.astype(np.int32)))
+        self.held += len(x)
+        if self.held > PAIRS + self.n:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.edges:
+            return np.zeros(0, np.int32), np.zeros(0, np.int32)
+        x, y, weight = (np.concatenate(c) for c in zip(*self.edges, strict=True))
+        order = np.argsort(weight, kind="stable")
+        found, keep = Union(self.n), []
+        for k, i, j in zip(order.tolist(), x[order].tolist(), y[order].tolist(), strict=True):
+            i, j = found.find(i), found.find(j)
+            if i != j:
+                found.join(i, j)
+                keep.append(k)
+        self.edges = [(x[keep], y[keep], weight[keep])]
+        self.held = len(keep)
+        return x[keep], y[keep]
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of the distinct shingles; a text of fewer words is one shingle, one without words none."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    flat = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = [0, *(ends[:-1] + 1).tolist()]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(flat[a:b]) for a, b in zip(starts, ends.tolist()[min(shingle, len(words)) - 1 :], strict=False)], np.uint64))
+
+
+def similar(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose texts' shingle sets have that Jaccard similarity, exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary()), strict=True):
+                x, y = shingle_set(x.as_py() or b"", shingle), shingle_set(y.as_py() or b"", shingle)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    texts = df.select(F.col(id_col).cast("long").alias("a"), F.col(text_col).alias("ta"))
+    joined = pairs.select("a", "b").join(texts, "a").join(texts.withColumnsRenamed({"a": "b", "ta": "tb"}), "b")
+    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
 def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """(id, component_id) of each row: groups of texts whose shingle sets are that similar.
 
-    Two texts are linked if their wide fingerprints are within the radius and the numbers
-    of their shingles allow the similarity.  Fingerprints lie in bands by number of
-    shingles; a band is a space of its own with its top tree, and its fingerprints visit
-    the next larger band.  Equal shingle sets, and texts without words, are one group.
+    Wide fingerprints within the radius are candidates if the numbers of their shingles
+    allow the similarity.  Fingerprints lie in bands by number of shingles; a band is a
+    space of its own with its top tree, and its fingerprints visit the next larger band.
+    A shard hands on a minimum spanning forest of its candidates, nearest pairs first, so
+    that large groups stay small, and each of its edges is verified on the whole texts.
+    Equal shingle sets, and texts without words, are one group.
     """
     base = math.log(1 / similarity)
     word = [f"w{i}" for i in range(WIDE_WORDS)]
@@ -270,18 +324,17 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, similar
     def search(table: pa.Table) -> pa.Table:
         matrix = np.stack([table.column(w).to_numpy() for w in word], axis=1).view(np.uint64)
         ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
-        found = Union(len(ids))
-        for x, y in pairs_within(matrix, table.column("home").to_numpy(), WIDE_RADIUS):
+        found = Forest(len(ids))
+        for x, y, d in pairs_within(matrix, table.column("home").to_numpy(), WIDE_RADIUS):
             fits = np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])
-            for i, j in zip(x[fits].tolist(), y[fits].tolist(), strict=True):
-                found.join(i, j)
-        root = np.array([found.find(i) for i in range(len(ids))], np.int64)
-        tied = np.flatnonzero(root != np.arange(len(ids)))
-        return pa.table({"a": ids[tied], "b": ids[root[tied]]})
+            found.add(x[fits], y[fits], d[fits])
+        x, y = found.settle()
+        return pa.table({"a": ids[x], "b": ids[y]})
 
     known = each.where("id IS NOT NULL")
     routed = known.mapInArrow(route, "to int, shard int, home boolean, id long, n long, " + ", ".join(f"{w} long" for w in word))
-    tied = components(routed.groupBy("to", "shard").applyInArrow(search, "a long, b long"))
+    pairs = written(routed.groupBy("to", "shard").applyInArrow(search, "a long, b long").where("a <> b").distinct(), "near-candidates")
+    tied = components(similar(pairs, df, id_col, text_col, shingle, similarity))
     named = written(each.join(tied, each.id == tied.node, "left").select("n", *word, F.coalesce("component", "id").alias("component_id")), "near-groups")
     return prints.join(named, ["n", *word]).select("id", "component_id")
 
