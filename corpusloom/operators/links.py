@@ -33,7 +33,7 @@ def match_links(producers: DataFrame, consumers: DataFrame, producer: str, consu
 def rabbit_producers(producers: DataFrame, routing_key: str = "routing_key", exchange: str = "exchange") -> DataFrame:
     """Producers with the topic of their link: the routing key, or the exchange where that is blank."""
     blank = F.trim(F.coalesce(F.col(routing_key), F.lit(""))) == ""
-    return producers.withColumn("topic", F.when(blank, F.col(exchange)).otherwise(F.col(routing_key)))
+    return producers.drop("topic").withColumn("topic", F.when(blank, F.col(exchange)).otherwise(F.col(routing_key)))
 
 
 def best_match(calls: DataFrame, endpoints: DataFrame, call: str, endpoint: str, on: list[Column], score: Column, ordinal: str, least: float | None = None) -> DataFrame:
