@@ -311,7 +311,7 @@ def delete_by_type_and_status(spark, sf):
     return state.delete_findings(findings, tasks, "l_orderkey", "l_returnflag", "R", ["F"], "o_orderstatus").select("l_orderkey", "l_linenumber", "l_returnflag")
 
 
-@query("SELECT event_type, count(*) AS total, count(*) FILTER (WHERE value > 50) AS resolved, count(*) FILTER (WHERE NOT value > 50) AS pending, round(sum(CAST(round(value) AS BIGINT)) * 0.000002, 9) AS cost FROM events WHERE value IS NOT NULL GROUP BY event_type")
+@query("SELECT event_type, count(*) AS total, count(*) FILTER (WHERE value > 50) AS resolved, count(*) FILTER (WHERE NOT value > 50) AS pending, round(CAST(sum(CAST(round(value) AS BIGINT)) AS DOUBLE) * CAST(0.000002 AS DOUBLE), 9) AS cost FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def run_metrics(spark, sf):
     e = table(spark, sf, "events").where("value IS NOT NULL")
     return e.groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(F.col("value") > 50).alias("resolved"), F.count_if(~(F.col("value") > 50)).alias("pending"), F.round(text.api_cost(F.sum(F.round("value").cast("long"))), 9).alias("cost"))
