@@ -5,7 +5,9 @@ the shorter one (pigeonhole).  Every distinct line of ``min_chars`` or more code
 puts the hashes of its own segments in an index, by segment number and line length, and
 probes the indexes of its own length and of up to t less with the substrings that can
 still be that segment: those whose shift is within the edits that are possible left and
-right of it.  Candidate pairs are verified: common ends are cut off, then a banded
+right of it.  A key row also carries the parities of how often 20 frequent characters occur; an edit
+flips two of them at most, so pairs that differ in more than 2 t are dropped inside the
+join, before any row for them is made.  Candidate pairs are verified: common ends are cut off, then a banded
 bit-parallel recurrence (a vertical-difference word of 2 t + 1 diagonals moved along the
 band) gives the distance.
 
@@ -13,7 +15,8 @@ A line is removed if an identical line, or one within t edits, stands earlier: i
 document with a smaller id, or above it in its own.  All lines are those of the input.
 
 Distinct lines are aggregated before anything else, so a line that very many documents
-hold is one row in the join.
+hold is one row in the join.  A line is known by a 64-bit hash; should two different lines
+share one (a second hash tells), both stay as they are and link with nothing.
 """
 
 from __future__ import annotations
@@ -30,40 +33,51 @@ def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.posexplode_outer(F.split(text_col, "\n")).alias("pos", "line"))
 
 
-def _line_key(line: str = "line") -> list[Column]:
-    return [F.xxhash64(line).alias("h"), F.xxhash64(F.lit("line"), line).alias("g")]
+#: The characters whose parities are kept, most frequent first.
+PARITY_CHARS = " enrtiashodulcgmpbfw"
+PARITY_BITS = len(PARITY_CHARS)
 
 
-def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """(0-based start, length) of segment i of an even partition; the last ones are longer."""
-    base = F.floor(length / parts)
-    longer = length - base * parts  # so many of the last segments have one more
-    short = F.lit(parts) - longer
-    start = base * i + F.greatest(F.lit(0), F.lit(i) - short)
-    return start.cast("int"), (base + F.when(F.lit(i) >= short, 1).otherwise(0)).cast("int")
+def line_key() -> Column:
+    return F.xxhash64("line")
 
 
-def _segment_hash(start: Column, size: Column, length: Column, i: int) -> Column:
-    return F.xxhash64(F.substring("line", start + 1, size), length, F.lit(i))
+def parities() -> Column:
+    """A bit for each of PARITY_CHARS, all of one byte: the parity of how often it occurs.
+
+    The characters are taken out one after another, so what is left to scan gets short.
+    """
+    chars = ", ".join(f"'{c}'" for c in PARITY_CHARS)
+    step = let("replace(a.s, c, '')", "r", "named_struct('s', r, 'p', a.p * 2 + ((octet_length(a.s) - octet_length(r)) & 1))")
+    return F.expr(f"aggregate(array({chars}), named_struct('s', line, 'p', 0), (a, c) -> {step}, a -> a.p)")
+
+
+def _keyed(distinct: DataFrame, places: list[tuple[int, int, int]], threshold: int, h: str, key: str) -> DataFrame:
+    """(h, key) for each line and place, a place being (how much shorter, segment, shift).
+
+    Places are rows before they are keys: generated code stays small enough to be compiled.
+    """
+    parts = threshold + 1
+    each = distinct.select("h", "line", "n", "parity", F.expr("inline(array(" + ", ".join(f"named_struct('less', {a}, 'i', {i}, 'shift', {s})" for a, i, s in places) + "))"))
+    n = F.col("n") - F.col("less")
+    start = F.expr(f"CAST((n - less) * i DIV {parts} AS INT)")
+    size = F.expr(f"CAST((n - less) * (i + 1) DIV {parts} AS INT)") - start
+    hashed = F.xxhash64(F.substring("line", start + F.col("shift") + 1, size), n, "i")
+    return each.select(F.col("h").alias(h), F.shiftleft(hashed, PARITY_BITS).bitwiseOR(F.col("parity").cast("long")).alias(key))
 
 
-def index_keys(threshold: int) -> Column:
-    n = F.col("n")
-    return F.array(*[_segment_hash(*segment(n, i, threshold + 1), n, i) for i in range(threshold + 1)])
+def index_places(threshold: int) -> list[tuple[int, int, int]]:
+    return [(0, i, 0) for i in range(threshold + 1)]
 
 
-def probe_keys(threshold: int) -> Column:
-    """Hashes of all substrings that can be a segment of a line as long or up to threshold shorter."""
-    keys = []
-    for less in range(threshold + 1):
-        n = (F.col("n") - less).cast("int")
-        for i in range(threshold + 1):
-            start, size = segment(n, i, threshold + 1)
-            rest = threshold - i
-            for shift in range(max(-i, less - rest), min(i, less + rest) + 1):
-                at = start + shift
-                keys.append(F.when((at >= 0) & (at + size <= F.col("n")), _segment_hash(at, size, n, i)))
-    return F.array_compact(F.array(*keys))
+def probe_places(threshold: int) -> list[tuple[int, int, int]]:
+    """All substrings that can be a segment of a line as long or up to threshold shorter.
+
+    A segment can shift by the edits that are possible left of it, and by those right of
+    it against the difference in length.
+    """
+    t = threshold
+    return [(less, i, shift) for less in range(t + 1) for i in range(t + 1) for shift in range(max(-i, less - (t - i)), min(i, less + t - i) + 1)]
 
 
 def _common_prefix(a: str, b: str) -> str:
@@ -119,35 +133,37 @@ def _verified(pairs: DataFrame, threshold: int) -> DataFrame:
 
 
 def distinct_lines(lines: DataFrame, min_chars: int) -> DataFrame:
-    """(h, g, line, n, first): each line once; first is the struct of its first (id, pos)."""
-    long = lines.where(F.length("line") >= min_chars)
-    grouped = long.groupBy(*_line_key()).agg(F.min(F.struct("id", "pos")).alias("first"), F.first("line").alias("line"))
-    return grouped.withColumn("n", F.length("line"))
+    """(h, line, n, parity, first): each line once; first is the struct of its first (id, pos)."""
+    long = lines.where(F.length("line") >= min_chars).select("id", "pos", "line", line_key().alias("h"), F.xxhash64(F.lit("line"), "line").alias("g"), parities().alias("parity"))
+    grouped = long.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("first"), F.first("line").alias("line"), F.first("parity").alias("parity"), F.min("g").alias("g"), F.max("g").alias("g_max"))
+    return grouped.where("g = g_max").select("h", "line", F.length("line").alias("n"), "parity", "first")
 
 
 def line_links(distinct: DataFrame, threshold: int) -> DataFrame:
-    """(ah, ag, bh, bg): pairs of different lines within the threshold, each once."""
-    indexed = distinct.select(F.col("h").alias("bh"), F.col("g").alias("bg"), F.explode(index_keys(threshold)).alias("key"))
-    probing = distinct.select(F.col("h").alias("ah"), F.col("g").alias("ag"), F.explode(probe_keys(threshold)).alias("key"))
-    met = probing.join(indexed.hint("shuffle_hash"), "key").where("ah <> bh OR ag <> bg").select("ah", "ag", "bh", "bg").distinct()
-    a = distinct.select(F.col("h").alias("ah"), F.col("g").alias("ag"), F.col("line").alias("long"))
-    b = distinct.select(F.col("h").alias("bh"), F.col("g").alias("bg"), F.col("line").alias("short"))
-    sized = met.join(a, ["ah", "ag"]).join(b, ["bh", "bg"])
+    """(ah, bh): pairs of different lines within the threshold, each once."""
+    indexed = _keyed(distinct, index_places(threshold), threshold, "bh", "bk")
+    probing = _keyed(distinct, probe_places(threshold), threshold, "ah", "ak")
+    same = F.shiftright("ak", PARITY_BITS) == F.shiftright("bk", PARITY_BITS)
+    flips = F.bit_count(F.col("ak").bitwiseXOR(F.col("bk")).bitwiseAND(F.lit((1 << PARITY_BITS) - 1)))
+    met = probing.join(indexed.hint("shuffle_hash"), same & (flips <= 2 * threshold) & (F.col("ah") != F.col("bh"))).select("ah", "bh").distinct()
+    # The parities are asked for again so that all sides read the same columns and share one exchange.
+    a = distinct.select(F.col("h").alias("ah"), F.col("line").alias("long"), F.col("parity").alias("ap"))
+    b = distinct.select(F.col("h").alias("bh"), F.col("line").alias("short"), F.col("parity").alias("bp"))
+    sized = met.join(a, "ah").join(b, "bh").where(F.bit_count(F.col("ap").bitwiseXOR(F.col("bp"))) <= 2 * threshold)
     # Lines of one length find each other twice; one order is enough.
-    once = sized.where("length(short) < length(long) OR ah < bh OR (ah = bh AND ag < bg)")
-    return _verified(once, threshold).select("ah", "ag", "bh", "bg")
+    once = sized.where("length(short) < length(long) OR ah < bh")
+    return _verified(once, threshold).select("ah", "bh")
 
 
 def decisions(lines: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    """(h, g, earliest): of each distinct line, the first (id, pos) of itself and the lines it links with."""
+    """(h, earliest, n_links): of each distinct line, the first (id, pos) of itself and the lines it links with."""
     distinct = distinct_lines(lines, min_chars)
     links = written(line_links(distinct, threshold), "line-links")
-    firsts = distinct.select("h", "g", "first")
-    both = links.unionByName(links.select(F.col("bh").alias("ah"), F.col("bg").alias("ag"), F.col("ah").alias("bh"), F.col("ag").alias("bg")))
-    near = both.join(firsts.select(F.col("h").alias("bh"), F.col("g").alias("bg"), F.col("first").alias("earliest")), ["bh", "bg"])
-    near = near.select(F.col("ah").alias("h"), F.col("ag").alias("g"), "earliest", F.lit(1).alias("near"))
-    every = near.unionByName(firsts.select("h", "g", F.col("first").alias("earliest"), F.lit(0).alias("near")))
-    return written(every.groupBy("h", "g").agg(F.min("earliest").alias("earliest"), F.sum("near").alias("n_links")), "line-decisions")
+    firsts = distinct.select("h", "first")
+    both = links.unionByName(links.select(F.col("bh").alias("ah"), F.col("ah").alias("bh")))
+    near = both.join(firsts.select(F.col("h").alias("bh"), F.col("first").alias("earliest")), "bh").select(F.col("ah").alias("h"), "earliest", F.lit(1).alias("near"))
+    every = near.unionByName(firsts.select("h", F.col("first").alias("earliest"), F.lit(0).alias("near")))
+    return written(every.groupBy("h").agg(F.min("earliest").alias("earliest"), F.sum("near").alias("n_links")), "line-decisions")
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, min_chars: int = 24) -> DataFrame:
@@ -158,10 +174,12 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresho
     an empty one has one.  Rows that repeat an id are one document.  A null id comes
     before all others.
     """
+    if min_chars < 2 * threshold + 2:
+        raise ValueError("lines of so few characters have no segments to index")
     lines = lines_of(df, id_col, text_col)
     found = decisions(lines, threshold, min_chars)
-    placed = lines.select("id", "pos", *[F.when(F.length("line") >= min_chars, k).alias(name) for k, name in zip(_line_key(), ("h", "g"), strict=True)])
-    judged = placed.join(found, ["h", "g"], "left")
+    placed = lines.select("id", "pos", F.when(F.length("line") >= min_chars, line_key()).alias("h"))
+    judged = placed.join(found, "h", "left")
     gone = F.when(F.col("earliest") < F.struct("id", "pos"), F.col("pos"))
     rows = judged.groupBy("id").agg(F.count("pos").alias("n_lines"), F.sum(F.coalesce("n_links", F.lit(0))).alias("n_links"), F.array_sort(F.collect_list(gone)).alias("removed"))
     return rows.withColumnRenamed("id", id_col)
