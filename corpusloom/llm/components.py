@@ -38,7 +38,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
     Edges may repeat and point either way; those with a null end or from a node to
     itself say nothing.  A table without edges gives no rows.
     """
-    found = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(f"{a} IS NOT NULL AND {b} IS NOT NULL AND a > b").distinct() if (a, b) == ("a", "b") else edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), F.col(a).alias("_l"), F.col(b).alias("_r")).where("_l IS NOT NULL AND _r IS NOT NULL AND a > b").select("a", "b").distinct()
+    ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND x <> y")
+    found = ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     now = written(found, "edges")
     state = _state(now)
     for _ in range(rounds):
