@@ -128,8 +128,13 @@ def within(a: str, b: str, threshold: int) -> str:
 
 
 def _verified(pairs: DataFrame, threshold: int) -> DataFrame:
-    """Keeps the pairs (short, long) whose edit distance is at most the threshold."""
-    return pairs.where(F.expr(within("short", "long", threshold)))
+    """Keeps the pairs (short, long) whose edit distance is at most the threshold.
+
+    The built-in distance with a limit, compiled code of some microseconds a pair, goes
+    first: most candidates of a large group fail, and the recurrence in SQL functions
+    takes some milliseconds.
+    """
+    return pairs.where(F.expr(f"CASE WHEN levenshtein(short, long, {threshold}) < 0 THEN false ELSE {within('short', 'long', threshold)} END"))
 
 
 def distinct_lines(lines: DataFrame, min_chars: int) -> DataFrame:
@@ -188,6 +193,6 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresho
 def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, min_chars: int = 24) -> DataFrame:
     """df with the removed lines cut out of its texts; every other column as it was."""
     found = dedup(df, id_col, text_col, threshold, min_chars).where(F.size("removed") > 0).select(F.col(id_col).alias("_id"), "removed")
-    keep = F.expr(f"array_join(filter(split({text_col}, '\\n'), (x, i) -> NOT array_contains(removed, i)), '\\n')")
+    keep = F.expr(let(f"split({text_col}, '\\n')", "ls", "array_join(transform(array_except(sequence(0, size(ls) - 1), removed), i -> ls[i]), '\\n')"))
     joined = df.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left")
     return joined.withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(keep)).drop("_id", "removed")
