@@ -19,13 +19,14 @@ from corpusloom.functions import hashing, text
 from corpusloom.operators import enrich as enrichment
 from corpusloom.operators import flows, graph, links, pairing, planner, resolve, state
 from corpusloom.sources import documents, files
+from corpusloom.sources.workers import importable
 
 
 class Workspace:
     """The state folder: tables are written aside and renamed, so a reader never sees half of one."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder = importable(spark), folder
         os.makedirs(folder, exist_ok=True)
 
     def has(self, name: str) -> bool:
