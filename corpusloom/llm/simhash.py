@@ -17,7 +17,7 @@ fingerprints; components of the forests are those of all links.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -201,8 +201,9 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle
 
 #: Words of 64 bits of the wide fingerprint, and its radius: shingle sets of Jaccard
 #: similarity s differ in acos(2 s / (1 + s)) / pi of the bits, 39 of 256 for 0.8, and
-#: the radius is three standard deviations more.  Pairs a forest is built of at once.
-WIDE_WORDS, WIDE_RADIUS, PAIRS = 4, 56, 1_000_000
+#: the radius is three standard deviations more.  Pairs a forest is built of at once, and
+#: pairs of two groups that are verified in the round after the first.
+WIDE_WORDS, WIDE_RADIUS, PAIRS, MOST = 4, 56, 1_000_000, 16
 _TURNS = np.random.default_rng(42).integers(1, 1 << 63, WIDE_WORDS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -220,30 +221,55 @@ def wide_fingerprint(text: bytes, shingle: int) -> tuple[int, np.ndarray]:
 
 
 class Forest:
-    """A minimum spanning forest of weighted pairs, in memory for its own edges and PAIRS more."""
+    """Candidate pairs of one task, thinned to what a round may verify.
 
-    def __init__(self, n: int):
-        self.n, self.held, self.edges = n, 0, []
+    Ends of one verified group make no pair.  In the first round (most = 0) a minimum
+    spanning forest is kept, later the ``most`` nearest pairs of each two groups.  Two
+    fingerprints that are groups of their own are one pair, handed on as it is found.
+    """
 
-    def add(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
-        self.edges.append((x.astype(np.int32), y.astype(np.int32), weight.astype(np.int32)))
-        self.held += len(x)
-        if self.held > PAIRS + self.n:
+    def __init__(self, group: np.ndarray, most: int):
+        _, self.group, sizes = np.unique(group, return_inverse=True, return_counts=True)
+        self.alone, self.n, self.most = sizes[self.group] == 1, len(group), most
+        self.held, self.kept, self.edges, self.cut = 0, 0, [], False
+
+    def add(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Holds the pairs; returns those that are handed on at once."""
+        apart = self.group[x] != self.group[y]
+        x, y, weight = x[apart], y[apart], weight[apart]
+        now = self.alone[x] & self.alone[y] & (self.most > 0)
+        self.edges.append((x[~now].astype(np.int32), y[~now].astype(np.int32), weight[~now].astype(np.int32)))
+        self.held += len(x) - int(now.sum())
+        if self.held > PAIRS + self.n + 2 * self.kept:
             self.settle()
+        return x[now], y[now]
 
     def settle(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.edges:
             return np.zeros(0, np.int32), np.zeros(0, np.int32)
         x, y, weight = (np.concatenate(c) for c in zip(*self.edges, strict=True))
-        order = np.argsort(weight, kind="stable")
-        found, keep = Union(self.n), []
-        for k, i, j in zip(order.tolist(), x[order].tolist(), y[order].tolist(), strict=True):
-            i, j = found.find(i), found.find(j)
-            if i != j:
-                found.join(i, j)
-                keep.append(k)
+        if self.most:
+            g, h = self.group[x], self.group[y]
+            low, high, first, second = np.minimum(g, h), np.maximum(g, h), np.minimum(x, y), np.maximum(x, y)
+            order = np.lexsort((second, first, weight, high, low))
+            fresh = np.ones(len(order), bool)
+            low, high, first, second = (c[order] for c in (low, high, first, second))
+            fresh[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+            order, low, high = order[fresh], low[fresh], high[fresh]
+            starts = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])][: len(order)])
+            rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+            self.cut |= bool((rank >= self.most).any())
+            keep = order[rank < self.most]
+        else:
+            order = np.argsort(weight, kind="stable")
+            found, keep = Union(self.n), []
+            for k, i, j in zip(order.tolist(), x[order].tolist(), y[order].tolist(), strict=True):
+                i, j = found.find(i), found.find(j)
+                if i != j:
+                    found.join(i, j)
+                    keep.append(k)
         self.edges = [(x[keep], y[keep], weight[keep])]
-        self.held = len(keep)
+        self.held = self.kept = len(keep)
         return x[keep], y[keep]
 
 
@@ -264,9 +290,11 @@ def similar(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary()), strict=True):
-                x, y = shingle_set(x.as_py() or b"", shingle), shingle_set(y.as_py() or b"", shingle)
+            keep, known = [], None
+            for x, y, b in zip(batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
+                if known is None or known[0] != b:  # the join sorts by b, so its text often is the last one
+                    known = b, shingle_set(y.as_py() or b"", shingle)
+                x, y = shingle_set(x.as_py() or b"", shingle), known[1]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
@@ -282,8 +310,11 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, similar
     Wide fingerprints within the radius are candidates if the numbers of their shingles
     allow the similarity.  Fingerprints lie in bands by number of shingles; a band is a
     space of its own with its top tree, and its fingerprints visit the next larger band.
-    A shard hands on a minimum spanning forest of its candidates, nearest pairs first, so
-    that large groups stay small, and each of its edges is verified on the whole texts.
+    Candidates are verified on the whole texts, in rounds: first a shard hands on a minimum
+    spanning forest of them, nearest pairs first, so that large groups stay small.  What
+    is verified is one group from then on, and the next rounds verify the candidates
+    between different groups, up to MOST of each two and then MOST times as many, until
+    no shard has left one out.
     Equal shingle sets, and texts without words, are one group.
     """
     base = math.log(1 / similarity)
@@ -319,22 +350,43 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, similar
                         continue
                     for shard, at, home in trees[to].route(matrix[rows]) if to == b else ((s, np.arange(len(rows)), np.zeros(len(rows), bool)) for s in range(trees[to].shards)):
                         taken = batch.take(pa.array(rows[at]))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), to, np.int32)), pa.array(np.full(len(at), shard, np.int32)), pa.array(home), *(taken.column(c) for c in ("id", "n", *word))], names=["to", "shard", "home", "id", "n", *word])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), to, np.int32)), pa.array(np.full(len(at), shard, np.int32)), pa.array(home), *(taken.column(c) for c in ("id", "n", *word, "grp"))], names=["to", "shard", "home", "id", "n", *word, "grp"])
 
-    def search(table: pa.Table) -> pa.Table:
-        matrix = np.stack([table.column(w).to_numpy() for w in word], axis=1).view(np.uint64)
-        ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
-        found = Forest(len(ids))
-        for x, y, d in pairs_within(matrix, table.column("home").to_numpy(), WIDE_RADIUS):
-            fits = np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])
-            found.add(x[fits], y[fits], d[fits])
-        x, y = found.settle()
-        return pa.table({"a": ids[x], "b": ids[y]})
+    def search(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(batches)
+            matrix = np.stack([table.column(w).to_numpy() for w in word], axis=1).view(np.uint64)
+            ids, n, group = (table.column(c).to_numpy() for c in ("id", "n", "grp"))
+            found = Forest(group, most)
+
+            def rows(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+                a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+                return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), found.cut))], names=["a", "b", "cut"])
+
+            for x, y, d in pairs_within(matrix, table.column("home").to_numpy(), WIDE_RADIUS):
+                fits = np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])
+                x, y = found.add(x[fits], y[fits], d[fits])
+                if len(x):
+                    yield rows(x, y)
+            yield rows(*found.settle())
+
+        return run
 
     known = each.where("id IS NOT NULL")
-    routed = known.mapInArrow(route, "to int, shard int, home boolean, id long, n long, " + ", ".join(f"{w} long" for w in word))
-    pairs = written(routed.groupBy("to", "shard").applyInArrow(search, "a long, b long").where("a <> b").distinct(), "near-candidates")
-    tied = components(similar(pairs, df, id_col, text_col, shingle, similarity))
+    verified, tied, most = None, None, 0
+    while True:
+        grouped = known.withColumn("grp", F.col("id")) if tied is None else known.join(tied, known.id == tied.node, "left").select(*known.columns, F.coalesce("component", "id").alias("grp"))
+        routed = grouped.mapInArrow(route, "to int, shard int, home boolean, id long, n long, " + ", ".join(f"{w} long" for w in word) + ", grp long")
+        met = written(routed.groupBy("to", "shard").applyInArrow(search(most), "a long, b long, cut boolean").where("a <> b").groupBy("a", "b").agg(F.max("cut").alias("cut")), "near-candidates")
+        alike = written(similar(met, df, id_col, text_col, shingle, similarity), "near-verified")
+        if not alike.isEmpty():
+            verified = alike if verified is None else verified.unionByName(alike)
+            tied = written(components(verified), "near-components")
+        if most and met.where("cut").isEmpty() or not most and met.isEmpty():
+            break
+        most = max(1, most) * MOST
+    if tied is None:
+        tied = known.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
     named = written(each.join(tied, each.id == tied.node, "left").select("n", *word, F.coalesce("component", "id").alias("component_id")), "near-groups")
     return prints.join(named, ["n", *word]).select("id", "component_id")
 

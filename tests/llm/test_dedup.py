@@ -255,3 +255,28 @@ def test_queries_hold_their_contracts(spark, sample):
     want = brute_lines(texts.items(), 2, 24)
     for r in queries.op10_lines(spark, SF).collect():
         assert (r.n_lines, r.n_links, r.n_removed) == (*want[r.doc_id][:2], len(want[r.doc_id][2]))
+
+
+def near_kept(spark, rows):
+    """(ids that drop_near_copies keeps, ids that brute force keeps): five words, 0.8."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t in rows)}
+    found = Union()
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                found.join(a, b)
+    got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    return {r.doc_id for r in got.collect()}, {i for i in sets if found.find(i) == i}
+
+
+def test_near_copies_around_the_similarity(spark):
+    rng, rows = random.Random(5), []
+    for c in range(12):
+        text = [f"c{c}w{k}" for k in range(204)]
+        for v in range(10):
+            w = [*text]
+            for p in rng.sample(range(2, 200, 5), rng.randint(2, 5)):  # each changes five shingles of 200
+                w[p] = f"v{v}p{p}"
+            rows.append((100 * c + v, " ".join(w)))
+    got, want = near_kept(spark, rows)
+    assert got == want
