@@ -199,14 +199,41 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle
     return prints.join(known, "fp").select(id_col, "fp", "component_id")
 
 
-#: Words of 64 bits of the wide fingerprint, and its radius: shingle sets of Jaccard
-#: similarity s differ in acos(2 s / (1 + s)) / pi of the bits, 39 of 256 for 0.8, and
-#: the radius is three standard deviations more.  Pairs a forest is built of at once, and
-#: pairs of two groups that are verified in the round after the first.
-WIDE_WORDS, WIDE_RADIUS, PAIRS, MOST = 4, 56, 1_000_000, 16
+#: Words of 64 bits of the wide fingerprint.  The chance that a pair of the similarity is
+#: beyond its radius.  Number of shingles from which one radius holds.  Pairs a forest is
+#: built of at once, and pairs of two groups that are verified in the round after the first.
+WIDE_WORDS, MISSED, MANY, PAIRS, MOST = 4, 1e-9, 256, 1_000_000, 16
 _TURNS = np.random.default_rng(42).integers(1, 1 << 63, WIDE_WORDS, dtype=np.uint64) | np.uint64(1)
 
 
+def wide_radii(similarity: float) -> np.ndarray:
+    """Radius by the smaller number of shingles, up to MANY, and by how many the other text has more.
+
+    The bits of two sets that share just enough differ by chance alone: a bit is the
+    majority among the ones of common and own shingles, so its probability to differ is a
+    sum of binomial ones, and the radius leaves MISSED of such pairs beyond it.  Row 0
+    is for more than MANY shingles: the probability only nears acos(2 s / (1 + s)) / pi.
+    """
+    bits = 64 * WIDE_WORDS
+    most = [int(n / similarity) for n in range(MANY + 1)]
+    pmf = [np.array([math.comb(k, i) * 0.5**k for i in range(k + 1)]) for k in range(most[-1] + 1)]
+    tail = [np.append(np.cumsum(p[::-1])[::-1], 0.0) for p in pmf]  # tail[k][i]: i or more of k
+    ways = np.array([math.comb(bits, i) for i in range(bits + 1)], float)
+    out = np.full((MANY + 1, most[-1] - MANY + 1), -1, np.int16)
+    for n in range(1, MANY + 1):
+        for m in range(n, most[n] + 1):
+            both = next(c for c in range(int(similarity * (n + m) / (1 + similarity)), m + 2) if c >= similarity * (n + m - c))
+            if both > n:
+                continue
+            at = np.arange(both + 1)
+            x, y = (tail[k - both][np.clip(k // 2 + 1 - at, 0, k - both + 1)] for k in (n, m))
+            p = float((pmf[both] * (x * (1 - y) + y * (1 - x))).sum())
+            beyond = np.cumsum((ways * p ** np.arange(bits + 1.0) * (1 - p) ** np.arange(bits, -1.0, -1))[::-1])[::-1]
+            out[n, m - n] = int((np.append(beyond[1:], 0.0) > MISSED).sum())
+    out[0] = out[MANY // 2 :].max() + 1
+    return out
+
+
 def wide_fingerprint(text: bytes, shingle: int) -> tuple[int, np.ndarray]:
     """(number of distinct shingles, WIDE_WORDS words of fingerprint) of the shingle set."""
     h = shingle_set(text, shingle)
@@ -307,8 +334,8 @@ def similar(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle
 def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """(id, component_id) of each row: groups of texts whose shingle sets are that similar.
 
-    Wide fingerprints within the radius are candidates if the numbers of their shingles
-    allow the similarity.  Fingerprints lie in bands by number of shingles; a band is a
+    Wide fingerprints within the radius of wide_radii are candidates if the numbers of
+    their shingles allow the similarity.  Fingerprints lie in bands by number of shingles; a band is a
     space of its own with its top tree, and its fingerprints visit the next larger band.
     Candidates are verified on the whole texts, in rounds: first a shard hands on a minimum
     spanning forest of them, nearest pairs first, so that large groups stay small.  What
@@ -318,6 +345,10 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, similar
     Equal shingle sets, and texts without words, are one group.
     """
     base = math.log(1 / similarity)
+    radii = wide_radii(similarity)
+    widest = [int(radii[0].max())] * (int(math.log(MANY) / base) + 3)
+    for b in range(int(math.log(MANY) / base)):  # bands that hold no more than MANY shingles, with their neighbours
+        widest[b] = max((int(r.max()) for n, r in enumerate(radii) if n and abs(int(math.log(n) / base) - b) <= 1), default=0)
     word = [f"w{i}" for i in range(WIDE_WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +368,7 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, similar
     points: dict[int, list] = {}
     for r in sorted(sample):
         points.setdefault(r.band, []).append(r[1:])
-    trees = {b: TopTree(np.array(points.get(b, [(0,) * WIDE_WORDS]), np.int64).view(np.uint64), -(-n // SHARD), WIDE_RADIUS) for b, n in sizes.items()}
+    trees = {b: TopTree(np.array(points.get(b, [(0,) * WIDE_WORDS]), np.int64).view(np.uint64), -(-n // SHARD), max(0, widest[min(b, len(widest) - 1)])) for b, n in sizes.items()}
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -363,8 +394,10 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, similar
                 a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
                 return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), found.cut))], names=["a", "b", "cut"])
 
-            for x, y, d in pairs_within(matrix, table.column("home").to_numpy(), WIDE_RADIUS):
-                fits = np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])
+            for x, y, d in pairs_within(matrix, table.column("home").to_numpy(), trees[table.column("to")[0].as_py()].radius):
+                few, many = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+                row = np.where(few > MANY, 0, few)
+                fits = (few >= similarity * many) & (d <= radii[row, np.where(row, np.minimum(many - few, radii.shape[1] - 1), 0)])
                 x, y = found.add(x[fits], y[fits], d[fits])
                 if len(x):
                     yield rows(x, y)

@@ -280,3 +280,25 @@ def test_near_copies_around_the_similarity(spark):
             rows.append((100 * c + v, " ".join(w)))
     got, want = near_kept(spark, rows)
     assert got == want
+
+
+def test_near_copies_of_few_words(spark):
+    rows = []
+    for k, words in enumerate([8] * 150 + [16] * 50 + [24] * 30):
+        text = " ".join(f"k{k}w{j}" for j in range(words))
+        more = " ".join(f"k{k}m{j}" for j in range((words - 4) // 4))
+        rows += [(2 * k, text), (2 * k + 1, f"{text} {more}")]
+    got, want = near_kept(spark, rows)
+    assert got == want and len(want) == len(rows) // 2
+
+
+def test_the_radius_holds_for_pairs_of_just_the_similarity():
+    radii = simhash.wide_radii(0.8)
+    rng = np.random.default_rng(4)
+    for n, m, both in ((4, 5, 4), (12, 15, 12), (90, 90, 80), (800, 1000, 800)):
+        beyond = 0
+        for _ in range(300):
+            ones = rng.integers(0, 2, (n + m - both, 256))
+            x, y = 2 * ones[:n].sum(axis=0) > n, 2 * ones[n - both :].sum(axis=0) > m
+            beyond += int((x != y).sum() > (radii[n, m - n] if n <= simhash.MANY else radii[0, 0]))
+        assert beyond == 0, (n, m)
