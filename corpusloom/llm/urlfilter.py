@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm.shared import written
+
 ALLOW, BLOCK = "allow", "block"
 LONGEST_WORD = 24
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -106,16 +108,23 @@ class Segmenter:
 
 @dataclass
 class NaiveBayes:
-    """Multinomial, add-one smoothed."""
+    """Multinomial, add-one smoothed.
+
+    totals: tokens of allowed and of blocked urls and different tokens, where counts are
+    not all; table has (token, allow, block) of every token then.
+    """
 
     counts: dict[str, dict[str, int]] = field(default_factory=dict)
     docs: dict[str, int] = field(default_factory=dict)
+    totals: tuple[int, int, int] | None = None
+    table: DataFrame | None = None
 
     def __post_init__(self):
         vocabulary = {t for c in self.counts.values() for t in c}
-        size = len(vocabulary) + 1
         allow, block = (self.counts.get(k, {}) for k in (ALLOW, BLOCK))
-        na, nb = sum(allow.values()) + size, sum(block.values()) + size
+        na, nb, size = self.totals or (sum(allow.values()), sum(block.values()), len(vocabulary))
+        self.whole = size == len(vocabulary)
+        self.na, self.nb = na, nb = na + size + 1, nb + size + 1
         self.weight = {t: math.log((block.get(t, 0) + 1) / nb) - math.log((allow.get(t, 0) + 1) / na) for t in vocabulary}
         self.absent = math.log(1 / nb) - math.log(1 / na)
         self.prior = math.log((self.docs.get(BLOCK, 0) + 1) / (self.docs.get(ALLOW, 0) + 1))
@@ -125,17 +134,32 @@ class NaiveBayes:
         return self.prior + sum(self.weight.get(t, self.absent) for t in tokens)
 
 
-def word_model(pages: DataFrame, html_col: str = "html", vocabulary: int = 50_000) -> Segmenter:
-    """Counts the words of the visible text of all pages; the ``vocabulary`` most frequent make the model."""
+def word_model(pages: DataFrame, html_col: str = "html", vocabulary: int = 50_000, url_col: str = "url") -> Segmenter:
+    """Counts the words of the visible text of all pages.
+
+    The model holds the ``vocabulary`` most frequent words, and of the others those that
+    stand somewhere in a host; no host is segmented by any other word.  The total is that of all words.
+    """
     visible = F.lower(F.regexp_replace(F.col(html_col), "<[^>]*>", " "))
     words = pages.select(F.explode(F.split(visible, "[^a-z]+")).alias("word")).where(f"length(word) BETWEEN 2 AND {LONGEST_WORD}")
-    counted = words.groupBy("word").agg(F.count("*").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    return Segmenter({r.word: r.n for r in top}, sum(r.n for r in top))
+    counted = written(words.groupBy("word").agg(F.count("*").alias("n")), "url-words")
+    total, different = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    top = {r.word: r.n for r in counted.orderBy(F.desc("n"), "word").limit(vocabulary).collect()}
+    if different > len(top):
+
+        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                runs = {run for url in batch.column(0).to_pylist() for run in _PIECES.findall(split_url(url)[0]) if run.isascii() and not run[0].isdigit()}
+                found = {run[i:j] for run in runs for i in range(len(run)) for j in range(i + 2, min(len(run), i + LONGEST_WORD) + 1)}
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["word"])
+
+        inside = pages.select(F.col(url_col).alias("url")).mapInArrow(parts, "word string").distinct()
+        top |= {r.word: r.n for r in counted.join(inside, "word", "left_semi").collect()}
+    return Segmenter(top, total)
 
 
 def train(urls: DataFrame, rules: list[Rule], words: Segmenter, url_col: str = "url", tokens: int = 100_000) -> NaiveBayes:
-    """Naive Bayes over all urls that a rule judges; the ``tokens`` most frequent tokens make the model."""
+    """Naive Bayes over all urls that a rule judges; the ``tokens`` most frequent tokens are held in memory, all in its table."""
     shared = urls.sparkSession.sparkContext.broadcast((rules, words.words, words.total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,13 +173,15 @@ def train(urls: DataFrame, rules: list[Rule], words: Segmenter, url_col: str = "
                     found.update((rule.action, t) for t in cutter.tokens(host, path))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(found.values(), pa.int64())], names=["action", "token", "n"])
 
-    counted = urls.select(F.col(url_col).alias("url")).mapInArrow(run, "action string, token string, n long").groupBy("action", "token").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.col("token").isNotNull(), F.desc("n"), "token", "action").limit(tokens + 2).collect()
-    counts: dict[str, dict[str, int]] = {ALLOW: {}, BLOCK: {}}
-    for r in top:
-        if r.token is not None:
-            counts[r.action][r.token] = r.n
-    return NaiveBayes(counts, {r.action: r.n for r in top if r.token is None})
+    counted = urls.select(F.col(url_col).alias("url")).mapInArrow(run, "action string, token string, n long")
+    of = lambda action: F.sum(F.when(F.col("action") == action, F.col("n")).otherwise(0)).alias(action)
+    every = written(counted.groupBy("token").agg(of(ALLOW), of(BLOCK)), "url-tokens")
+    docs = every.where("token IS NULL").first()
+    table = every.where("token IS NOT NULL")
+    totals = table.agg(F.coalesce(F.sum(ALLOW), F.lit(0)), F.coalesce(F.sum(BLOCK), F.lit(0)), F.count("*")).first()
+    top = table.orderBy(F.desc(F.col(ALLOW) + F.col(BLOCK)), "token").limit(tokens).collect()
+    counts = {action: {r.token: r[action] for r in top} for action in (ALLOW, BLOCK)}
+    return NaiveBayes(counts, {action: docs[action] for action in (ALLOW, BLOCK)} if docs else {}, tuple(totals), table)
 
 
 def judge(urls: DataFrame, rules: list[Rule], words: Segmenter, bayes: NaiveBayes, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -163,9 +189,10 @@ def judge(urls: DataFrame, rules: list[Rule], words: Segmenter, bayes: NaiveBaye
 
     A null url, or one without ``://``, has empty host and path, fits no rule and gets
     the model's verdict on no tokens, its prior.  Repeated rows are judged each; other
-    columns are not read.
+    columns are not read.  Tokens that the model does not hold in memory are looked up
+    in its table by a join.
     """
-    shared = urls.sparkSession.sparkContext.broadcast((rules, words.words, words.total, bayes.counts, bayes.docs))
+    shared = urls.sparkSession.sparkContext.broadcast((rules, words.words, words.total, bayes.counts, bayes.docs, bayes.totals))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, cutter, model = RuleBook(shared.value[0]), Segmenter(*shared.value[1:3]), NaiveBayes(*shared.value[3:])
@@ -174,12 +201,22 @@ def judge(urls: DataFrame, rules: list[Rule], words: Segmenter, bayes: NaiveBaye
             for url in batch.column(1).to_pylist():
                 host, path = split_url(url)
                 rule = book.find(host, path)
-                score = model.score(cutter.tokens(host, path))
-                rows.append((host, path, rule and rule.text, rule.action if rule else BLOCK if score > 0 else ALLOW, score))
-            columns = [*zip(*rows, strict=True)] or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64() if i == 4 else pa.string()) for i, c in enumerate(columns))], names=names)
-
-    names = ["id", "host", "path", "rule", "verdict", "score"]
+                tokens = cutter.tokens(host, path)
+                rest = [] if model.whole else [t for t in tokens if t not in model.weight]
+                score = model.score(tokens if model.whole else [t for t in tokens if t in model.weight])
+                rows.append((host, path, rule and rule.text, rule and rule.action, score, rest))
+            columns = [*zip(*rows, strict=True)] or [[]] * 6
+            kinds = [pa.string()] * 4 + [pa.float64(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], names=names)
+
+    names = ["id", "host", "path", "rule", "verdict", "score", "rest"]
     plain = urls.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
-    out = T.StructType([plain.schema["id"], *(T.StructField(n, T.StringType()) for n in names[1:5]), T.StructField("score", T.DoubleType())])
-    return plain.mapInArrow(run, out).withColumnRenamed("id", id_col)
+    out = T.StructType([plain.schema["id"], *(T.StructField(n, T.StringType()) for n in names[1:5]), T.StructField("score", T.DoubleType()), T.StructField("rest", T.ArrayType(T.StringType()))])
+    found = plain.mapInArrow(run, out)
+    if not bayes.whole:
+        found = written(found.withColumn("row", F.monotonically_increasing_id()), "url-scores")
+        weight = F.log((F.coalesce(BLOCK, F.lit(0)) + 1) / F.lit(float(bayes.nb))) - F.log((F.coalesce(ALLOW, F.lit(0)) + 1) / F.lit(float(bayes.na)))
+        more = found.select("row", F.explode("rest").alias("token")).join(bayes.table, "token", "left").groupBy("row").agg(F.sum(weight).alias("more"))
+        found = found.join(more, "row", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
+    verdict = F.coalesce("verdict", F.when(F.col("score") > 0, BLOCK).otherwise(ALLOW)).alias("verdict")
+    return found.select(F.col("id").alias(id_col), "host", "path", "rule", verdict, "score")

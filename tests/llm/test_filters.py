@@ -72,6 +72,21 @@ def test_bayes_learns_from_rules(spark):
     assert (got[100], got[101]) == ("block", "allow")
 
 
+def test_rare_tokens_and_words_count(spark):
+    rows = [(i, f"http://rareword{'abcdefgh'[i % 8]}x.{('net/es', 'com/a', 'org/q')[i % 3]}/t{'abcdefghijkl'[i % 12]}/s{'abcde'[i % 5]}", "the the rareword " + "ab cd " * (i % 4)) for i in range(90)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+
+    def judged(vocabulary, tokens):
+        words = urlfilter.word_model(df, vocabulary=vocabulary)
+        model = urlfilter.train(df, queries.URL_RULES, words, tokens=tokens)
+        return {r.page_id: r for r in urlfilter.judge(df, queries.URL_RULES, words, model).collect()}
+
+    want, got = judged(1000, 1000), judged(1, 3)
+    assert got.keys() == want.keys() and len(want) == 90
+    for k, r in want.items():
+        assert math.isclose(got[k].score, r.score, abs_tol=1e-9) and got[k].verdict == r.verdict and got[k].rule == r.rule
+
+
 def test_media(spark, odd, empty):
     rows = media.store(odd)
     got = media.read_back(rows).collect()
