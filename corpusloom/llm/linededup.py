@@ -1,22 +1,37 @@
 """Line dedup by a segment-partition edit join, in DataFrame and SQL functions alone.
 
 Two lines within edit distance t share, untouched, at least one of the t + 1 segments of
-the shorter one (pigeonhole).  Every distinct line of ``min_chars`` or more code points
-puts the hashes of its own segments in an index, by segment number and line length, and
-probes the indexes of its own length and of up to t less with the substrings that can
-still be that segment: those whose shift is within the edits that are possible left and
-right of it.  A key row also carries the parities of how often 20 frequent characters occur; an edit
-flips two of them at most, so pairs that differ in more than 2 t are dropped inside the
-join, before any row for them is made.  Candidate pairs are verified: common ends are cut off, then a banded
-bit-parallel recurrence (a vertical-difference word of 2 t + 1 diagonals moved along the
-band) gives the distance.
-
-A line is removed if an identical line, or one within t edits, stands earlier: in a
-document with a smaller id, or above it in its own.  All lines are those of the input.
-
-Distinct lines are aggregated before anything else, so a line that very many documents
-hold is one row in the join.  A line is known by a 64-bit hash; should two different lines
-share one (a second hash tells), both stay as they are and link with nothing.
+the shorter one (pigeonhole).  Every distinct line puts the hashes of its own segments in
+an index, by segment number and line length, and probes the indexes of its own length and
+of up to t less with the substrings that can still be that segment: those whose shift is
+within the edits that are possible left and right of it.
+
+Lines may differ in one edit for every ``CHARS_PER_EDIT`` code points of the shorter one,
+and in t at most; shorter lines are compared for equality alone.
+
+A line is removed if an identical line, or a near one, stands earlier: in a document with
+a smaller id, or above it in its own.  All lines are those of the input.  So one earlier
+near line is enough to settle a line, and the pairs of a large group need not be made:
+
+1. An index key is an aggregate: its leader, the line that stands first, and whether it
+   has other owners.  Each probe meets the leader alone, so this join is linear.
+2. Lines that meet a leader are verified against it.  The later line of a near pair is
+   settled.
+3. Keys with several owners are joined with their probes, but only for pairs whose later
+   line is not settled yet.  Each line carries a signature, the parities of its hashed
+   pairs of neighbouring characters in 512 bits: an edit flips four of them at most, so
+   the join makes no row for lines that are far apart.  What passes is verified.
+
+Verification cuts common ends off, and a banded bit-parallel recurrence (a
+vertical-difference word of 2 t + 1 diagonals moved along the band) decides; before it
+come conditions that near lines must fulfil, lengths and signatures.
+
+Copies are counted by line hash before anything else, and a line that very many documents
+hold is one row from then on.  A line is known by a 64-bit hash; should two different
+lines share one (a second hash tells), both stay as they are.
+
+Side tables of at most ``SMALL`` rows, which is counted, are broadcast; larger ones meet
+the lines in a shuffle.
 """
 
 from __future__ import annotations
@@ -24,46 +39,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import written
+from corpusloom.llm.shared import unused, written
 from corpusloom.llm.sqltext import let
 
+CHARS_PER_EDIT = 12
+#: Words of 64 bits of the signature; bits of it that one edit flips at most.
+WORDS, FLIPS = 8, 4
+#: Rows of a table that is broadcast.
+SMALL = 500_000
 
-def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, pos, line); a null text gives one row with a null line, an empty one an empty line."""
-    return df.select(F.col(id_col).alias("id"), F.posexplode_outer(F.split(text_col, "\n")).alias("pos", "line"))
+
+def small(table: DataFrame) -> DataFrame:
+    """A stored table, marked to be broadcast if it has at most SMALL rows."""
+    return F.broadcast(table) if table.count() <= SMALL else table
 
 
-#: The characters whose parities are kept, most frequent first.
-PARITY_CHARS = " enrtiashodulcgmpbfw"
-PARITY_BITS = len(PARITY_CHARS)
+def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, pos, line, h): row is a hash of the text, which tells apart rows that repeat an id.
 
+    Blank lines are left out.  A null text gives no line.
+    """
+    lines = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    return lines.where(r"trim(BOTH ' \t\r' FROM line) <> ''").withColumn("h", F.xxhash64("line"))
 
-def line_key() -> Column:
-    return F.xxhash64("line")
 
+def repeated_lines(lines: DataFrame) -> DataFrame:
+    """(h, first, single): lines that occur more than once, with the struct of their first (id, row, pos); single: no other line has the hash."""
+    counted = lines.select("h", F.xxhash64(F.lit("line"), "line").alias("g")).groupBy("h").agg(F.count("*").alias("copies"), F.min("g").alias("g"), F.max("g").alias("g_max"))
+    often = small(written(counted.where("copies > 1").select("h", (F.col("g") == F.col("g_max")).alias("single")), "repeated-lines"))
+    placed = lines.select("h", F.struct("id", "row", "pos").alias("at")).join(often, "h")
+    return written(placed.groupBy("h").agg(F.min("at").alias("first"), F.bool_and("single").alias("single")), "first-places")
 
-def parities() -> Column:
-    """A bit for each of PARITY_CHARS, all of one byte: the parity of how often it occurs.
 
-    The characters are taken out one after another, so what is left to scan gets short.
-    """
-    chars = ", ".join(f"'{c}'" for c in PARITY_CHARS)
-    step = let("replace(a.s, c, '')", "r", "named_struct('s', r, 'p', a.p * 2 + ((octet_length(a.s) - octet_length(r)) & 1))")
-    return F.expr(f"aggregate(array({chars}), named_struct('s', line, 'p', 0), (a, c) -> {step}, a -> a.p)")
+def distinct_lines(lines: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(h, line, n, first): each line once, where it stands first; lines that share a hash are left out."""
+    at = F.struct("id", "row", "pos")
+    known = lines.join(small(repeated), "h", "left").where(F.col("first").isNull() | F.col("single") & (F.col("first") == at))
+    return known.select("h", "line", F.length("line").alias("n"), at.alias("first"))
 
 
-def _keyed(distinct: DataFrame, places: list[tuple[int, int, int]], threshold: int, h: str, key: str) -> DataFrame:
-    """(h, key) for each line and place, a place being (how much shorter, segment, shift).
+def _keyed(distinct: DataFrame, places: list[tuple[int, int, int]], threshold: int, more: list[Column]) -> DataFrame:
+    """(key, h, more) for each line and place, a place being (how much shorter, segment, shift).
 
     Places are rows before they are keys: generated code stays small enough to be compiled.
     """
     parts = threshold + 1
-    each = distinct.select("h", "line", "n", "parity", F.expr("inline(array(" + ", ".join(f"named_struct('less', {a}, 'i', {i}, 'shift', {s})" for a, i, s in places) + "))"))
+    rows = ", ".join(f"named_struct('less', {a}, 'i', {i}, 'shift', {s}, 'own', {'true' if a == s == 0 else 'false'})" for a, i, s in places)
+    least = max(CHARS_PER_EDIT, 2 * threshold + 2)
+    each = distinct.where(F.col("n") >= least).select("h", "first", "line", "n", F.expr(f"inline(array({rows}))")).where(F.col("n") - F.col("less") >= least)
     n = F.col("n") - F.col("less")
     start = F.expr(f"CAST((n - less) * i DIV {parts} AS INT)")
     size = F.expr(f"CAST((n - less) * (i + 1) DIV {parts} AS INT)") - start
-    hashed = F.xxhash64(F.substring("line", start + F.col("shift") + 1, size), n, "i")
-    return each.select(F.col("h").alias(h), F.shiftleft(hashed, PARITY_BITS).bitwiseOR(F.col("parity").cast("long")).alias(key))
+    return each.select(F.xxhash64(F.substring("line", start + F.col("shift") + 1, size), n, "i").alias("key"), "h", *more)
 
 
 def index_places(threshold: int) -> list[tuple[int, int, int]]:
@@ -127,72 +154,105 @@ def within(a: str, b: str, threshold: int) -> str:
     return let(_common_prefix(a, b), "head", heads)
 
 
-def _verified(pairs: DataFrame, threshold: int) -> DataFrame:
-    """Keeps the pairs (short, long) whose edit distance is at most the threshold.
+def near(short: str, long: str, threshold: int) -> str:
+    """SQL text: whether two lines are within the edits that the shorter one allows."""
+    cases = " ".join(f"WHEN least({threshold}, length({short}) DIV {CHARS_PER_EDIT}) = {k} THEN {within(short, long, k)}" for k in range(threshold, 0, -1))
+    return f"CASE {cases} ELSE false END"
 
-    The built-in distance with a limit, compiled code of some microseconds a pair, goes
-    first: most candidates of a large group fail, and the recurrence in SQL functions
-    takes some milliseconds.
-    """
-    return pairs.where(F.expr(f"CASE WHEN levenshtein(short, long, {threshold}) < 0 THEN false ELSE {within('short', 'long', threshold)} END"))
-
-
-def distinct_lines(lines: DataFrame, min_chars: int) -> DataFrame:
-    """(h, line, n, parity, first): each line once; first is the struct of its first (id, pos)."""
-    long = lines.where(F.length("line") >= min_chars).select("id", "pos", "line", line_key().alias("h"), F.xxhash64(F.lit("line"), "line").alias("g"), parities().alias("parity"))
-    grouped = long.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("first"), F.first("line").alias("line"), F.first("parity").alias("parity"), F.min("g").alias("g"), F.max("g").alias("g_max"))
-    return grouped.where("g = g_max").select("h", "line", F.length("line").alias("n"), "parity", "first")
-
-
-def line_links(distinct: DataFrame, threshold: int) -> DataFrame:
-    """(ah, bh): pairs of different lines within the threshold, each once."""
-    indexed = _keyed(distinct, index_places(threshold), threshold, "bh", "bk")
-    probing = _keyed(distinct, probe_places(threshold), threshold, "ah", "ak")
-    same = F.shiftright("ak", PARITY_BITS) == F.shiftright("bk", PARITY_BITS)
-    flips = F.bit_count(F.col("ak").bitwiseXOR(F.col("bk")).bitwiseAND(F.lit((1 << PARITY_BITS) - 1)))
-    met = probing.join(indexed.hint("shuffle_hash"), same & (flips <= 2 * threshold) & (F.col("ah") != F.col("bh"))).select("ah", "bh").distinct()
-    # The parities are asked for again so that all sides read the same columns and share one exchange.
-    a = distinct.select(F.col("h").alias("ah"), F.col("line").alias("long"), F.col("parity").alias("ap"))
-    b = distinct.select(F.col("h").alias("bh"), F.col("line").alias("short"), F.col("parity").alias("bp"))
-    sized = met.join(a, "ah").join(b, "bh").where(F.bit_count(F.col("ap").bitwiseXOR(F.col("bp"))) <= 2 * threshold)
-    # Lines of one length find each other twice; one order is enough.
-    once = sized.where("length(short) < length(long) OR ah < bh")
-    return _verified(once, threshold).select("ah", "bh")
-
-
-def decisions(lines: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    """(h, earliest, n_links): of each distinct line, the first (id, pos) of itself and the lines it links with."""
-    distinct = distinct_lines(lines, min_chars)
-    links = written(line_links(distinct, threshold), "line-links")
-    firsts = distinct.select("h", "first")
-    both = links.unionByName(links.select(F.col("bh").alias("ah"), F.col("ah").alias("bh")))
-    near = both.join(firsts.select(F.col("h").alias("bh"), F.col("first").alias("earliest")), "bh").select(F.col("ah").alias("h"), "earliest", F.lit(1).alias("near"))
-    every = near.unionByName(firsts.select("h", F.col("first").alias("earliest"), F.lit(0).alias("near")))
-    return written(every.groupBy("h").agg(F.min("earliest").alias("earliest"), F.sum("near").alias("n_links")), "line-decisions")
-
-
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, min_chars: int = 24) -> DataFrame:
-    """(id, n_lines, n_links, removed): removed are the numbers of the lines to remove, from 0.
-
-    n_links: over the document's lines, other distinct lines within the threshold.
-    Lines shorter than min_chars stay and link with nothing.  A null text has no lines,
-    an empty one has one.  Rows that repeat an id are one document.  A null id comes
-    before all others.
+
+def meetings(distinct: DataFrame, threshold: int) -> DataFrame:
+    """(key, h, own, leader, many): probes that meet an index key which is not the line's alone.
+
+    leader: of the key's owners, the one that stands in the document with the least id;
+    many: it has other owners; own: the probe is itself a row of the index.
     """
-    if min_chars < 2 * threshold + 2:
-        raise ValueError("lines of so few characters have no segments to index")
+    order = F.coalesce(F.expr("try_cast(first.id AS BIGINT)"), F.lit(-(2**63))).alias("id")
+    indexed = _keyed(distinct, index_places(threshold), threshold, [order])
+    led = indexed.groupBy("key").agg(F.min_by("h", "id").alias("leader"), (F.min("h") != F.max("h")).alias("many"))
+    probes = _keyed(distinct, probe_places(threshold), threshold, [F.col("own")])
+    # Leaders are a table, so that adaptive execution can split the probes of a hot key.
+    return probes.join(written(led, "line-leaders").hint("shuffle_hash"), "key").where("many OR leader <> h")
+
+
+def signature(acting: DataFrame) -> DataFrame:
+    """(h, s0 .. s7) of lines: parities of their pairs of neighbouring characters."""
+    pairs = acting.select("h", F.expr(let("split(line, '')", "cs", "arrays_zip(cs, slice(cs, 2, size(cs)))")).alias("z")).select("h", F.explode("z").alias("z"))
+    hashed = pairs.select("h", F.xxhash64(F.col("z")["cs"], F.col("z")["1"]).alias("b"))
+    bit = "shiftleft(1L, CAST(shiftright(b, 3) & 63 AS INT))"
+    return hashed.groupBy("h").agg(*(F.expr(f"bit_xor(IF((b & {WORDS - 1}) = {w}, {bit}, 0L))").alias(f"s{w}") for w in range(WORDS)))
+
+
+def _flips(a: str, b: str) -> Column:
+    return F.expr(" + ".join(f"bit_count({a}.s{w} ^ {b}.s{w})" for w in range(WORDS)))
+
+
+def _later(pairs: DataFrame, actors: DataFrame, threshold: int) -> DataFrame:
+    """(h): the later line of each pair (x, y) that is near."""
+    side = lambda name: actors.select(F.col("h").alias(name), F.struct("line", "n", "first", *(f"s{w}" for w in range(WORDS))).alias(name + "_"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    fits = F.expr(f"abs(x_.n - y_.n) <= least({threshold}, least(x_.n, y_.n) DIV {CHARS_PER_EDIT})")
+    close = both.where(fits & (_flips("x_", "y_") <= F.expr(f"{FLIPS} * least({threshold}, least(x_.n, y_.n) DIV {CHARS_PER_EDIT})")))
+    ordered = close.select(F.expr("IF(x_.first < y_.first, y, x)").alias("h"), F.expr("IF(x_.n <= y_.n, x_.line, y_.line)").alias("short"), F.expr("IF(x_.n <= y_.n, y_.line, x_.line)").alias("long"))
+    return ordered.where(F.expr(near("short", "long", threshold))).select("h").distinct()
+
+
+def near_earlier(distinct: DataFrame, threshold: int) -> DataFrame:
+    """(h): the lines that have a near line standing earlier."""
+    met = written(meetings(distinct, threshold), "line-meetings")
+    first_pairs = met.where("h <> leader").select(F.greatest("h", "leader").alias("x"), F.least("h", "leader").alias("y")).distinct()
+    roles = first_pairs.select(F.explode(F.array("x", "y")).alias("h")).unionByName(met.where("many").select("h")).distinct()
+    acting = written(distinct.join(small(written(roles, "line-roles")), "h", "left_semi"), "acting-lines")
+    actors = written(acting.join(signature(acting), "h"), "line-actors")
+    settled = written(_later(first_pairs, actors, threshold), "lines-settled")
+    flags = settled.withColumn("done", F.lit(True))
+    known = actors.drop("line").join(flags, "h", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    hot = written(met.where("many").join(known, "h"), "line-hot-keys")
+    a, b = hot.alias("a"), hot.where("own").alias("b")
+    # Every probe of a key has met its leader.  Lines of one length find each other twice.
+    fresh = F.expr("a.h <> a.leader AND b.h <> a.leader AND (b.n < a.n OR a.h < b.h) AND NOT IF(a.first > b.first, a.done, b.done)")
+    more = a.join(b, (F.col("a.key") == F.col("b.key")) & fresh & (_flips("a", "b") <= FLIPS * threshold)).select(F.col("a.h").alias("x"), F.col("b.h").alias("y")).distinct()
+    return settled.unionByName(_later(written(more, "line-pairs"), actors, threshold)).distinct()
+
+
+def decisions(lines: DataFrame, threshold: int) -> DataFrame:
+    """(h, first, near) of the lines that have copies or an earlier near line: first (id, row, pos) of copies, and whether there is such a line."""
+    repeated = repeated_lines(lines)
+    distinct = written(distinct_lines(lines, repeated), "distinct-lines", compression="zstd")
+    gone = near_earlier(distinct, threshold).withColumn("near", F.lit(True))
+    both = repeated.where("single").select("h", "first").join(gone, "h", "full")
+    return written(both.select("h", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-decisions")
+
+
+def removals(df: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
+    """(id, row, removed, n_near): the numbers of the lines to remove, from 0; of them, those that have an earlier near line."""
     lines = lines_of(df, id_col, text_col)
-    found = decisions(lines, threshold, min_chars)
-    placed = lines.select("id", "pos", F.when(F.length("line") >= min_chars, line_key()).alias("h"))
-    judged = placed.join(found, "h", "left")
-    gone = F.when(F.col("earliest") < F.struct("id", "pos"), F.col("pos"))
-    rows = judged.groupBy("id").agg(F.count("pos").alias("n_lines"), F.sum(F.coalesce("n_links", F.lit(0))).alias("n_links"), F.array_sort(F.collect_list(gone)).alias("removed"))
-    return rows.withColumnRenamed("id", id_col)
-
-
-def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, min_chars: int = 24) -> DataFrame:
-    """df with the removed lines cut out of its texts; every other column as it was."""
-    found = dedup(df, id_col, text_col, threshold, min_chars).where(F.size("removed") > 0).select(F.col(id_col).alias("_id"), "removed")
-    keep = F.expr(let(f"split({text_col}, '\\n')", "ls", "array_join(transform(array_except(sequence(0, size(ls) - 1), removed), i -> ls[i]), '\\n')"))
-    joined = df.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    return joined.withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(keep)).drop("_id", "removed")
+    found = small(decisions(lines, threshold))
+    gone = lines.select("id", "row", "pos", "h").join(found, "h").where("near OR first < struct(id, row, pos)")
+    rows = gone.groupBy("id", "row").agg(F.array_sort(F.collect_set("pos")).alias("removed"), F.collect_set(F.when(F.col("near"), F.col("pos"))).alias("near"))
+    return rows.select("id", "row", "removed", F.size("near").cast("long").alias("n_near"))
+
+
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2) -> DataFrame:
+    """(id, n_lines, n_near, removed) of every row: removed are the numbers of the lines to remove, from 0.
+
+    n_near: the removed lines that have an earlier line near them; the others are later
+    copies.  Blank lines (blanks, tabs, returns) stay.  A null text has no lines, an empty
+    one has one.  Rows that repeat an id come in the order of a hash of their texts; those
+    that repeat id and text are one document and get the same row each.  A null id comes
+    before all others.  An empty table gives no rows; other columns are not read.
+    """
+    found = removals(df, id_col, text_col, threshold).withColumnsRenamed({"id": "_id", "row": "_row"})
+    plain = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    plain = plain.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
+    joined = plain.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
+    none = F.expr("CAST(array() AS array<int>)")
+    return joined.select(F.col("id").alias(id_col), "n_lines", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.coalesce("removed", none).alias("removed"))
+
+
+def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2) -> DataFrame:
+    """df with the removed lines cut out of its texts; every other column as it was, whatever its name."""
+    i, row, gone = unused(df, "_id", "_row", "_removed")
+    found = removals(df, id_col, text_col, threshold).select(F.col("id").alias(i), F.col("row").alias(row), F.col("removed").alias(gone))
+    keep = F.expr(let(f"split(`{text_col}`, '\\n')", "ls_", f"array_join(transform(array_except(sequence(0, size(ls_) - 1), `{gone}`), i_ -> ls_[i_]), '\\n')"))
+    joined = df.join(found, F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_col) == F.col(row)), "left")
+    return joined.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(keep)).select(df.columns)

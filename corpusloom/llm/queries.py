@@ -87,8 +87,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.dedup(table(spark, sf_dir, "documents"), threshold=2, min_chars=24)
-    return found.select("doc_id", "n_lines", "n_links", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
+    found = linededup.dedup(table(spark, sf_dir, "documents"), threshold=2)
+    return found.select("doc_id", "n_lines", "n_near", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -22,14 +22,25 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there and any executor can read it."""
     spark = df.sparkSession
     path = fresh_dir(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Those names, each with as many underscores before it as make it new to df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Deletes a table that written() made and nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from corpusloom.llm import components, embeddings, linededup, queries, simhash, substring
 
@@ -199,29 +200,45 @@ def distance_within(a, b, t):
     return 1 if t == 0 else 1 + min(distance_within(a[1:], b[1:], t - 1), distance_within(a[1:], b, t - 1), distance_within(a, b[1:], t - 1))
 
 
-def brute_lines(rows, threshold, min_chars):
-    first = {}
-    rows = [(i, t) for i, t in rows]
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+def brute_lines(rows, threshold=2):
+    """(n_lines, n_near, removed) of each row: (id, text)."""
+    key = lambda i, t, p: (i is not None, i or 0, row_hash(t), p)
+    places = {}
+    for i, t in rows:
         for p, line in enumerate(t.split("\n") if t is not None else []):
-            if len(line) >= min_chars:
-                first.setdefault(line, (i is not None, i or 0, p))
-    near = {a: [b for b in first if b != a and abs(len(a) - len(b)) <= threshold and distance_within(a, b, threshold) <= threshold] for a in first}
-    out = {}
+            if line.strip(" \t\r"):
+                places.setdefault(line, []).append(key(i, t, p))
+    first = {line: min(at) for line, at in places.items()}
+    allowed = lambda a, b: min(threshold, min(len(a), len(b)) // linededup.CHARS_PER_EDIT)
+    near = {a for a in first if any(first[b] < first[a] and abs(len(a) - len(b)) <= (k := allowed(a, b)) and k and distance_within(a, b, k) <= k for b in first if b != a)}
+    out = []
     for i, t in rows:
         lines = t.split("\n") if t is not None else []
-        gone = [p for p, x in enumerate(lines) if x in first and min([first[x], *(first[y] for y in near[x])]) < (i is not None, i or 0, p)]
-        out[i] = (len(lines), sum(len(near[x]) for x in lines if x in first), gone)
+        gone = [p for p, x in enumerate(lines) if x in first and (x in near or first[x] < key(i, t, p))]
+        out.append((i, len(lines), sum(lines[p] in near for p in gone), gone))
     return out
 
 
+def row_hash(text):
+    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def in_order(rows):
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, *r[1:]))
+
+
 def lines(df, **more):
-    return {r.doc_id: (r.n_lines, r.n_links, r.removed) for r in linededup.dedup(df, **more).collect()}
+    return in_order((r.doc_id, r.n_lines, r.n_near, r.removed) for r in linededup.dedup(df, **more).collect())
+
+
+def cut(rows, **more):
+    return in_order((i, "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone) if t is not None else None) for (i, t), (_, _, _, gone) in zip(rows, brute_lines(rows, **more), strict=True))
 
 
 def test_lines(spark, odd, empty):
     random.seed(7)
-    base = ["".join(random.choice("abä ") for _ in range(random.randint(8, 30))) for _ in range(40)]
+    base = ["".join(random.choice("abä ") for _ in range(random.randint(3, 50))) for _ in range(40)]
 
     def changed(s):
         s = list(s)
@@ -230,19 +247,40 @@ def test_lines(spark, odd, empty):
             s[p : p + random.randint(0, 1)] = random.choice(["", "x", "😀"])
         return "".join(s)
 
-    rows = [(i, "\n".join(changed(random.choice(base)) for _ in range(random.randint(0, 8)))) for i in range(80)]
+    rows = [(i if i % 9 else None if i % 2 else 4, "\n".join(changed(random.choice(base)) for _ in range(random.randint(0, 8)))) for i in range(80)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for threshold in (1, 2, 3):
-        assert lines(df, threshold=threshold, min_chars=8) == brute_lines(rows, threshold, 8), threshold
-    once = odd.dropDuplicates(["doc_id"])
-    assert lines(once) == brute_lines([(r.doc_id, r.text) for r in once.select("doc_id", "text").collect()], 2, 24)
-    assert lines(empty) == {}
-    cut = linededup.clean(df, threshold=2, min_chars=8)
-    want = brute_lines(rows, 2, 8)
-    for r in cut.collect():
-        text = dict(rows)[r.doc_id]
-        assert r.text == "\n".join(x for p, x in enumerate(text.split("\n")) if p not in want[r.doc_id][2])
-    assert linededup.clean(odd).columns == odd.columns
+        assert lines(df, threshold=threshold) == in_order(brute_lines(rows, threshold)), threshold
+    odds = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
+    assert lines(odd) == in_order(brute_lines(odds))
+    assert lines(empty) == []
+    got = in_order((r.doc_id, r.text) for r in linededup.clean(df).collect())
+    assert got == cut(rows)
+    clash = odd.withColumns({"_id": F.lit(1), "removed": F.lit(2), "_removed": F.lit(3), "row": F.lit(4), "first": F.lit(5)})
+    assert linededup.clean(clash).columns == clash.columns
+    assert in_order((r.doc_id, r.text) for r in linededup.clean(clash).collect()) == cut(odds)
+
+
+def test_lines_of_rows_that_repeat_an_id_stay_apart(spark):
+    rows = [(7, "a line that is a copy\nzzz"), (7, "a line that is its own\nyyy"), (3, "a line that is a copy\nshort dup"), (9, "short dup"), (7, "a line that is its own\nyyy")]
+    got = linededup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert in_order((r.doc_id, r.text) for r in got) == in_order([(7, "zzz"), (7, rows[1][1]), (7, rows[1][1]), (3, rows[2][1]), (9, "")])
+
+
+def test_a_large_group_of_near_lines(spark):
+    random.seed(3)
+    base = "".join(random.choice("abcdefgh ") for _ in range(90))
+    far = "".join(random.choice("abcdefgh ") for _ in range(90))
+    rows = []
+    for i in range(5000):
+        s = list(base[:45] + far[45:] if i % 5 == 4 else base)
+        for _ in range(random.choice([1, 1, 2, 9])):
+            s[random.randrange(len(s))] = random.choice("ijklmnop")
+        rows.append((i, "".join(s)))
+    got = {r.doc_id for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("size(removed) > 0").collect()}
+    codes = np.array([[ord(c) for c in t] for _, t in rows], np.int32)
+    want = {i for i in range(1, 5000) if ((codes[:i] != codes[i]).sum(axis=1) <= 2).any()}  # substitutions alone, so that no shift is nearer
+    assert got == want and 1000 < len(want) < 4999
 
 
 def test_queries_hold_their_contracts(spark, sample):
@@ -252,9 +290,8 @@ def test_queries_hold_their_contracts(spark, sample):
         assert r.kept_sha256 == hashlib.sha256(kept[r.doc_id].encode()).hexdigest()
     for r in queries.op6_simhash(spark, SF).collect():
         assert int(r.fingerprint, 16) == brute_fingerprint(texts[r.doc_id]) and len(r.fingerprint) == 16
-    want = brute_lines(texts.items(), 2, 24)
-    for r in queries.op10_lines(spark, SF).collect():
-        assert (r.n_lines, r.n_links, r.n_removed) == (*want[r.doc_id][:2], len(want[r.doc_id][2]))
+    want = {i: (n, near, len(gone)) for i, n, near, gone in brute_lines([*texts.items()])}
+    assert {r.doc_id: (r.n_lines, r.n_near, r.n_removed) for r in queries.op10_lines(spark, SF).collect()} == want
 
 
 def near_kept(spark, rows):
@@ -298,7 +335,7 @@ def test_the_radius_holds_for_pairs_of_just_the_similarity():
     for n, m, both in ((4, 5, 4), (12, 15, 12), (90, 90, 80), (800, 1000, 800)):
         beyond = 0
         for _ in range(300):
-            ones = rng.integers(0, 2, (n + m - both, 256))
+            ones = rng.integers(0, 2, (n + m - both, 64 * simhash.WIDE_WORDS))
             x, y = 2 * ones[:n].sum(axis=0) > n, 2 * ones[n - both :].sum(axis=0) > m
             beyond += int((x != y).sum() > (radii[n, m - n] if n <= simhash.MANY else radii[0, 0]))
         assert beyond == 0, (n, m)

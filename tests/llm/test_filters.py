@@ -203,7 +203,7 @@ def test_secrets(spark, odd, empty, sample):
 
 def test_native_operators_run_no_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for df in (secretscan.scan(docs), linededup.line_links(linededup.distinct_lines(linededup.lines_of(docs, "doc_id", "text"), 24), 2)):
+    for df in (secretscan.scan(docs), linededup.dedup(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Arrow|Pandas", plan)
 
