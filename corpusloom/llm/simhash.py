@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.components import Union, components
-from corpusloom.llm.shared import written
+from corpusloom.llm.shared import unused, written
 
 #: Fingerprints that a shard is meant to hold, that the top tree is built on, and that are compared outright.
 SHARD, SAMPLE, OUTRIGHT = 32_768, 16_384, 192
@@ -199,13 +199,21 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle
     return prints.join(known, "fp").select(id_col, "fp", "component_id")
 
 
-#: Words of 64 bits of the wide fingerprint.  The chance that a pair of the similarity is
-#: beyond its radius.  Number of shingles from which one radius holds.  Pairs a forest is
-#: built of at once, and pairs of two groups that are verified in the round after the first.
-WIDE_WORDS, MISSED, MANY, PAIRS, MOST = 4, 1e-9, 256, 1_000_000, 16
+#: Smallest hashes that lead a text to others, and words of 64 bits of the wide fingerprint.
+#: The chance that each of the two leaves out a pair of just the similarity.  Number of
+#: shingles from which one radius holds.  Pairs a forest is built of at once, and pairs of
+#: two groups that are verified in the round after the first.  Rows of a bucket that meet
+#: in one cell.
+KEYS, WIDE_WORDS, MISSED, MANY, PAIRS, MOST, CELL = 6, 16, 1e-4, 256, 1_000_000, 16, 32_768
 _TURNS = np.random.default_rng(42).integers(1, 1 << 63, WIDE_WORDS, dtype=np.uint64) | np.uint64(1)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(29))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
 def wide_radii(similarity: float) -> np.ndarray:
     """Radius by the smaller number of shingles, up to MANY, and by how many the other text has more.
 
@@ -218,7 +226,8 @@ def wide_radii(similarity: float) -> np.ndarray:
     most = [int(n / similarity) for n in range(MANY + 1)]
     pmf = [np.array([math.comb(k, i) * 0.5**k for i in range(k + 1)]) for k in range(most[-1] + 1)]
     tail = [np.append(np.cumsum(p[::-1])[::-1], 0.0) for p in pmf]  # tail[k][i]: i or more of k
-    ways = np.array([math.comb(bits, i) for i in range(bits + 1)], float)
+    at_bits = np.arange(bits + 1.0)
+    ways = np.array([math.lgamma(bits + 1) - math.lgamma(i + 1) - math.lgamma(bits - i + 1) for i in range(bits + 1)])
     out = np.full((MANY + 1, most[-1] - MANY + 1), -1, np.int16)
     for n in range(1, MANY + 1):
         for m in range(n, most[n] + 1):
@@ -227,24 +236,20 @@ def wide_radii(similarity: float) -> np.ndarray:
                 continue
             at = np.arange(both + 1)
             x, y = (tail[k - both][np.clip(k // 2 + 1 - at, 0, k - both + 1)] for k in (n, m))
-            p = float((pmf[both] * (x * (1 - y) + y * (1 - x))).sum())
-            beyond = np.cumsum((ways * p ** np.arange(bits + 1.0) * (1 - p) ** np.arange(bits, -1.0, -1))[::-1])[::-1]
+            p = min(max(float((pmf[both] * (x * (1 - y) + y * (1 - x))).sum()), 1e-300), 1 - 1e-16)
+            beyond = np.cumsum(np.exp(ways + at_bits * math.log(p) + (bits - at_bits) * math.log1p(-p))[::-1])[::-1]
             out[n, m - n] = int((np.append(beyond[1:], 0.0) > MISSED).sum())
     out[0] = out[MANY // 2 :].max() + 1
     return out
 
 
-def wide_fingerprint(text: bytes, shingle: int) -> tuple[int, np.ndarray]:
-    """(number of distinct shingles, WIDE_WORDS words of fingerprint) of the shingle set."""
-    h = shingle_set(text, shingle)
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """WIDE_WORDS words of fingerprint of a set of shingle hashes."""
     ones = np.zeros(64 * WIDE_WORDS, np.int64)
-    for i in range(0, len(h), 1 << 14):
-        x = h[i : i + (1 << 14), None] * _TURNS
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
+    for i in range(0, len(h), 1 << 13):
+        x = _mixed(h[i : i + (1 << 13), None] * _TURNS)
         ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return len(h), np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)
+    return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)
 
 
 class Forest:
@@ -312,8 +317,8 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(flat[a:b]) for a, b in zip(starts, ends.tolist()[min(shingle, len(words)) - 1 :], strict=False)], np.uint64))
 
 
-def similar(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose texts' shingle sets have that Jaccard similarity, exactly."""
+def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts' shingle sets have that Jaccard similarity, exactly.  texts: (s, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,75 +331,83 @@ def similar(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    texts = df.select(F.col(id_col).cast("long").alias("a"), F.col(text_col).alias("ta"))
-    joined = pairs.select("a", "b").join(texts, "a").join(texts.withColumnsRenamed({"a": "b", "ta": "tb"}), "b")
+    side = lambda name: texts.select(F.col("s").alias(name), F.col("text").alias("t" + name))
+    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, row, s, t, n, m0 ..): of each text's shingle set two digests, its size and the smallest of KEYS hashes.
+
+    row: a hash of the text, which tells apart rows that repeat an id.
+    """
+    names = ["s", "t", "n", *(f"m{k}" for k in range(KEYS))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(2).cast(pa.binary()):
+                h = shingle_set(text.as_py() or b"", shingle)
+                low = (h[:, None] * _TURNS[:KEYS]).min(axis=0) if len(h) else np.zeros(KEYS, np.uint64)
+                rows.append(np.concatenate(([_mixed(h).sum(dtype=np.uint64), _mixed(h * _TURNS[-1]).sum(dtype=np.uint64), np.uint64(len(h))], low)))
+            matrix = np.array(rows, np.uint64).reshape(-1, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.ascontiguousarray(c)) for c in matrix.T)], names=["id", "row", *names])
+
+    plain = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    return plain.mapInArrow(run, "id long, row long, " + ", ".join(f"{n} long" for n in names))
+
+
 def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """(id, component_id) of each row: groups of texts whose shingle sets are that similar.
-
-    Wide fingerprints within the radius of wide_radii are candidates if the numbers of
-    their shingles allow the similarity.  Fingerprints lie in bands by number of shingles; a band is a
-    space of its own with its top tree, and its fingerprints visit the next larger band.
-    Candidates are verified on the whole texts, in rounds: first a shard hands on a minimum
-    spanning forest of them, nearest pairs first, so that large groups stay small.  What
-    is verified is one group from then on, and the next rounds verify the candidates
+    """(id, row, component_id) of each row: groups of texts whose shingle sets are that similar.
+
+    Texts of equal sets are one from the start.  At such a similarity fingerprints differ
+    in so many bits that triangle bounds close almost no side of a tree, and a top tree
+    would send each fingerprint to most shards.  So here the smallest of ``KEYS`` hashes of
+    the set lead to buckets: two sets of the similarity s have one in common but for
+    (1 - s) ** KEYS of them.  A bucket's wide fingerprints are searched by a vantage-point
+    tree within the radius of wide_radii; a bucket of over ``CELL`` rows is cut into parts
+    that meet two by two.
+
+    Candidates are verified on the whole texts, in rounds: first a bucket hands on a
+    minimum spanning forest of them, nearest pairs first, so that large groups stay small.
+    What is verified is one group from then on, and the next rounds verify the candidates
     between different groups, up to MOST of each two and then MOST times as many, until
-    no shard has left one out.
-    Equal shingle sets, and texts without words, are one group.
+    no bucket has left one out.
+
+    component_id is the least id of the group.  Rows of a null id belong to a group but
+    never name it, unless all do.  Texts without words are one group.  Two sets that share
+    a 64-bit digest (a second one tells) link with nothing.
     """
-    base = math.log(1 / similarity)
     radii = wide_radii(similarity)
-    widest = [int(radii[0].max())] * (int(math.log(MANY) / base) + 3)
-    for b in range(int(math.log(MANY) / base)):  # bands that hold no more than MANY shingles, with their neighbours
-        widest[b] = max((int(r.max()) for n, r in enumerate(radii) if n and abs(int(math.log(n) / base) - b) <= 1), default=0)
     word = [f"w{i}" for i in range(WIDE_WORDS)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    prints = written(sketches(df, id_col, text_col, shingle), "sketches")
+    mins = [F.min(f"m{k}").alias(f"m{k}") for k in range(KEYS)]
+    each = written(prints.groupBy("s").agg(F.min("id").alias("id"), F.min_by("row", "id").alias("row"), F.min("n").alias("n"), F.min("t").alias("t"), F.max("t").alias("t_max"), *mins), "distinct-sets")
+    good = each.where("t = t_max AND n > 0 AND id IS NOT NULL")
+    keyed = good.select("s", F.explode(F.array(*(F.xxhash64(F.lit(k), f"m{k}") for k in range(KEYS)))).alias("key"))
+    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "near-keys")
+    met = written(keyed.join(sizes, "key"), "near-buckets")
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_fingerprint(t.as_py() or b"", shingle) for t in batch.column(1).cast(pa.binary())]
-            matrix = np.array([f[1] for f in found], np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in matrix.T)], names=["id", "n", *word])
-
-    plain = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    prints = written(plain.mapInArrow(run, "id long, n long, " + ", ".join(f"{w} long" for w in word)), "wide-fingerprints")
-    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / base).cast("int").alias("band")
-    each = written(prints.groupBy("n", *word).agg(F.min("id").alias("id")).select("*", band), "distinct-wide-fingerprints")
-    sizes = {r.band: r.n for r in each.groupBy("band").agg(F.count("*").alias("n")).collect()}
-    total = sum(sizes.values())
-    share = min(1.0, SAMPLE / max(total, 1))
-    sample = each.where(F.pmod(F.xxhash64(*word), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("band", *word).limit(4 * SAMPLE).collect()
-    points: dict[int, list] = {}
-    for r in sorted(sample):
-        points.setdefault(r.band, []).append(r[1:])
-    trees = {b: TopTree(np.array(points.get(b, [(0,) * WIDE_WORDS]), np.int64).view(np.uint64), -(-n // SHARD), max(0, widest[min(b, len(widest) - 1)])) for b, n in sizes.items()}
+            sets = [shingle_set(t.as_py() or b"", shingle) for t in batch.column(1).cast(pa.binary())]
+            matrix = np.array([wide_fingerprint(h) for h in sets], np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(h) for h in sets], pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in matrix.T)], names=["s", "text", "n", *word])
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            matrix = np.stack([batch.column(w).to_numpy() for w in word], axis=1).view(np.uint64)
-            bands = batch.column("band").to_numpy()
-            for b in np.unique(bands).tolist():
-                rows = np.flatnonzero(bands == b)
-                for to in (b, b + 1):
-                    if to not in trees:
-                        continue
-                    for shard, at, home in trees[to].route(matrix[rows]) if to == b else ((s, np.arange(len(rows)), np.zeros(len(rows), bool)) for s in range(trees[to].shards)):
-                        taken = batch.take(pa.array(rows[at]))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), to, np.int32)), pa.array(np.full(len(at), shard, np.int32)), pa.array(home), *(taken.column(c) for c in ("id", "n", *word, "grp"))], names=["to", "shard", "home", "id", "n", *word, "grp"])
+    asked = good.join(met.select("s").distinct(), "s", "left_semi").select("s", "id", "row")
+    plain = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    texts = plain.join(asked, ["id", "row"]).select("s", "text").dropDuplicates(["s"])
+    wide = written(texts.mapInArrow(widen, "s long, text string, n long, " + ", ".join(f"{w} long" for w in word)), "wide-fingerprints")
 
     def search(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(batches)
-            matrix = np.stack([table.column(w).to_numpy() for w in word], axis=1).view(np.uint64)
-            ids, n, group = (table.column(c).to_numpy() for c in ("id", "n", "grp"))
-            found = Forest(group, most)
+        def near(s: np.ndarray, n: np.ndarray, points: np.ndarray, group: np.ndarray, run: np.ndarray, home: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+            found = Forest(np.unique(np.stack((run, group)), axis=1, return_inverse=True)[1].ravel(), most)
 
             def rows(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-                a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+                a, b = np.minimum(s[x], s[y]), np.maximum(s[x], s[y])
                 return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), found.cut))], names=["a", "b", "cut"])
 
-            for x, y, d in pairs_within(matrix, table.column("home").to_numpy(), trees[table.column("to")[0].as_py()].radius):
+            for x, y, d in steps(points, run) if home is None else pairs_within(points, home, int(radii.max())):
                 few, many = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
                 row = np.where(few > MANY, 0, few)
                 fits = (few >= similarity * many) & (d <= radii[row, np.where(row, np.minimum(many - few, radii.shape[1] - 1), 0)])
@@ -403,29 +416,88 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, similar
                     yield rows(x, y)
             yield rows(*found.settle())
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in whole_runs(batches, ["key", "lo", "hi"]):
+                cell = np.stack([table.column(c).to_numpy() for c in ("key", "lo", "hi")])
+                cuts = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1
+                begin, end = np.r_[0, cuts], np.r_[cuts, cell.shape[1]]
+                numbers = np.repeat(np.arange(len(begin)), end - begin)
+                s, n, group = (table.column(c).to_numpy() for c in ("s", "n", "grp"))
+                points = np.stack([table.column(w).to_numpy() for w in word], axis=1).view(np.uint64)
+                small = np.repeat((end - begin <= OUTRIGHT) & (cell[1, begin] == cell[2, begin]), end - begin)
+                if small.any():
+                    yield from near(s[small], n[small], points[small], group[small], numbers[small], None)
+                for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+                    if not small[a]:
+                        # A cell of two parts: one side asks, the other is searched.
+                        home = np.ones(b - a, bool) if cell[1, a] == cell[2, a] else table.column("part").to_numpy()[a:b] == cell[1, a]
+                        yield from near(s[a:b], n[a:b], points[a:b], group[a:b], numbers[a:b], home)
+
         return run
 
-    known = each.where("id IS NOT NULL")
-    verified, tied, most = None, None, 0
+    parts = F.ceil(F.col("size") / CELL).cast("int")
+    part = F.pmod(F.xxhash64("s"), F.col("parts")).cast("int")
+    cells = met.withColumn("parts", parts).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.select("key", "s", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    verified, tied, tested, most = None, None, None, 0
     while True:
-        grouped = known.withColumn("grp", F.col("id")) if tied is None else known.join(tied, known.id == tied.node, "left").select(*known.columns, F.coalesce("component", "id").alias("grp"))
-        routed = grouped.mapInArrow(route, "to int, shard int, home boolean, id long, n long, " + ", ".join(f"{w} long" for w in word) + ", grp long")
-        met = written(routed.groupBy("to", "shard").applyInArrow(search(most), "a long, b long, cut boolean").where("a <> b").groupBy("a", "b").agg(F.max("cut").alias("cut")), "near-candidates")
-        alike = written(similar(met, df, id_col, text_col, shingle, similarity), "near-verified")
+        known = wide.drop("text")
+        known = known.withColumn("grp", F.col("s")) if tied is None else known.join(tied, known.s == tied.node, "left").select(*known.columns, F.coalesce("component", "s").alias("grp"))
+        ordered = cells.join(known, "s").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+        found = ordered.mapInArrow(search(most), "a long, b long, cut boolean").where("a <> b").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+        found = written(found, "near-candidates")
+        fresh = found if tested is None else found.join(tested, ["a", "b"], "left_anti")
+        alike = written(similar(fresh, wide, shingle, similarity), "near-verified")
+        tested = found.select("a", "b") if tested is None else tested.unionByName(fresh.select("a", "b"))
         if not alike.isEmpty():
             verified = alike if verified is None else verified.unionByName(alike)
             tied = written(components(verified), "near-components")
-        if most and met.where("cut").isEmpty() or not most and met.isEmpty():
+        if most and found.where("cut").isEmpty() or not most and found.isEmpty():
             break
         most = max(1, most) * MOST
     if tied is None:
-        tied = known.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
-    named = written(each.join(tied, each.id == tied.node, "left").select("n", *word, F.coalesce("component", "id").alias("component_id")), "near-groups")
-    return prints.join(named, ["n", *word]).select("id", "component_id")
+        return prints.join(each.select("s", F.col("id").alias("component_id")), "s").select("id", "row", "component_id")
+    least = each.join(tied, each.s == tied.node).groupBy("component").agg(F.min("id").alias("least"))
+    named = each.join(tied, each.s == tied.node, "left").join(least, "component", "left").select("s", "t", "t_max", F.coalesce("least", "id").alias("component_id"))
+    # Sets that only share a digest stay by themselves.
+    return prints.join(written(named, "near-groups").withColumnRenamed("t", "t_min"), "s").select("id", "row", F.when(F.col("t_min") == F.col("t_max"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], key: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of about so many rows from sorted batches; rows of one key are never parted."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            values = np.stack([table.column(c).to_numpy() for c in key])
+            cut = np.flatnonzero((values != values[:, -1:]).any(axis=0))
+            at = int(cut[-1]) + 1 if len(cut) else 0
+            if at:
+                yield table.slice(0, at)
+            held = table.slice(at).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def steps(points: np.ndarray, run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index arrays and distances of all pairs within runs, which are short and stand in order."""
+    step = 1
+    while True:
+        x = np.flatnonzero(run[step:] == run[:-step]) if step < len(run) else np.zeros(0, np.int64)
+        if not len(x):
+            return
+        yield x, x + step, distance(points[x], points[x + step])
+        step += 1
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """df without the rows whose group has a smaller id; rows with a null id stay."""
-    gone = near_groups(df, id_col, text_col, shingle, similarity).where("id <> component_id").select(F.col("id").alias("_gone")).distinct()
+    """df without the rows whose group has a smaller id; rows with a null id stay.
+
+    Rows that repeat an id with different texts are judged each; extra columns may have any name.
+    """
+    i, row = unused(df, "_id", "_row")
+    gone = near_groups(df, id_col, text_col, shingle, similarity).where("id <> component_id").select(F.col("id").alias(i), F.col("row").alias(row)).distinct()
     gone = written(gone, "near-copies")
-    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return df.join(gone, (F.col(id_col) == F.col(i)) & (F.xxhash64(text_col) == F.col(row)), "left_anti")
