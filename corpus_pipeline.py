@@ -32,8 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines that stand earlier, alike or within two edits."""
-    return with_length(linededup.clean(docs, threshold=2, min_chars=24), docs)
+    """Cuts lines that stand earlier, alike or within two edits (one for every twelve characters)."""
+    return with_length(linededup.clean(docs, threshold=2), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
