@@ -46,3 +46,21 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     out = np.arange(total, dtype=np.int64)
     out += np.repeat(starts - (ends - lengths), lengths)
     return out
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], key: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of about so many rows from sorted batches; rows of one key are never parted."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            values = np.stack([table.column(c).to_numpy() for c in key])
+            cut = np.flatnonzero((values != values[:, -1:]).any(axis=0))
+            at = int(cut[-1]) + 1 if len(cut) else 0
+            if at:
+                yield table.slice(0, at)
+            held = table.slice(at).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

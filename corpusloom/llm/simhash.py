@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm.arrowtext import whole_runs
 from corpusloom.llm.components import Union, components
 from corpusloom.llm.shared import unused, written
 
@@ -201,10 +202,9 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle
 
 #: Smallest hashes that lead a text to others, and words of 64 bits of the wide fingerprint.
 #: The chance that each of the two leaves out a pair of just the similarity.  Number of
-#: shingles from which one radius holds.  Pairs a forest is built of at once, and pairs of
-#: two groups that are verified in the round after the first.  Rows of a bucket that meet
-#: in one cell.
-KEYS, WIDE_WORDS, MISSED, MANY, PAIRS, MOST, CELL = 6, 16, 1e-4, 256, 1_000_000, 16, 32_768
+#: shingles from which one radius holds.  Rows of a bucket, and documents of a group with
+#: their sets, that are one part; parts meet two by two.
+KEYS, WIDE_WORDS, MISSED, MANY, CELL, SET_CELL = 6, 16, 1e-4, 256, 2048, 1024
 _TURNS = np.random.default_rng(42).integers(1, 1 << 63, WIDE_WORDS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -253,56 +253,26 @@ def wide_fingerprint(h: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    """Candidate pairs of one task, thinned to what a round may verify.
+    """A spanning forest of pairs of rows 0 .. n - 1; holds nothing for pairs whose ends are joined already."""
 
-    Ends of one verified group make no pair.  In the first round (most = 0) a minimum
-    spanning forest is kept, later the ``most`` nearest pairs of each two groups.  Two
-    fingerprints that are groups of their own are one pair, handed on as it is found.
-    """
+    def __init__(self, n: int):
+        self.found, self.label = Union(n), np.arange(n)
+        self.edges: list[tuple[int, int]] = []
+
+    def add(self, x: np.ndarray, y: np.ndarray, holds: Callable[[int, int], bool] | None = None) -> None:
+        """Takes the pairs in turn; holds: says whether a pair whose ends are not joined yet is one."""
+        apart = self.label[x] != self.label[y]
+        before = len(self.edges)
+        for i, j in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
+            if self.found.find(i) != self.found.find(j) and (holds is None or holds(i, j)):
+                self.found.join(i, j)
+                self.edges.append((i, j))
+        if len(self.edges) > before:
+            self.label = np.array([self.found.find(i) for i in range(len(self.label))], np.int64)
 
-    def __init__(self, group: np.ndarray, most: int):
-        _, self.group, sizes = np.unique(group, return_inverse=True, return_counts=True)
-        self.alone, self.n, self.most = sizes[self.group] == 1, len(group), most
-        self.held, self.kept, self.edges, self.cut = 0, 0, [], False
-
-    def add(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Holds the pairs; returns those that are handed on at once."""
-        apart = self.group[x] != self.group[y]
-        x, y, weight = x[apart], y[apart], weight[apart]
-        now = self.alone[x] & self.alone[y] & (self.most > 0)
-        self.edges.append((x[~now].astype(np.int32), y[~now].astype(np.int32), weight[~now].astype(np.int32)))
-        self.held += len(x) - int(now.sum())
-        if self.held > PAIRS + self.n + 2 * self.kept:
-            self.settle()
-        return x[now], y[now]
-
-    def settle(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.edges:
-            return np.zeros(0, np.int32), np.zeros(0, np.int32)
-        x, y, weight = (np.concatenate(c) for c in zip(*self.edges, strict=True))
-        if self.most:
-            g, h = self.group[x], self.group[y]
-            low, high, first, second = np.minimum(g, h), np.maximum(g, h), np.minimum(x, y), np.maximum(x, y)
-            order = np.lexsort((second, first, weight, high, low))
-            fresh = np.ones(len(order), bool)
-            low, high, first, second = (c[order] for c in (low, high, first, second))
-            fresh[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-            order, low, high = order[fresh], low[fresh], high[fresh]
-            starts = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])][: len(order)])
-            rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
-            self.cut |= bool((rank >= self.most).any())
-            keep = order[rank < self.most]
-        else:
-            order = np.argsort(weight, kind="stable")
-            found, keep = Union(self.n), []
-            for k, i, j in zip(order.tolist(), x[order].tolist(), y[order].tolist(), strict=True):
-                i, j = found.find(i), found.find(j)
-                if i != j:
-                    found.join(i, j)
-                    keep.append(k)
-        self.edges = [(x[keep], y[keep], weight[keep])]
-        self.held = self.kept = len(keep)
-        return x[keep], y[keep]
+    def rows(self, ids: np.ndarray) -> pa.RecordBatch:
+        at = np.array(self.edges, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], names=["a", "b"])
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -317,23 +287,12 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(flat[a:b]) for a, b in zip(starts, ends.tolist()[min(shingle, len(words)) - 1 :], strict=False)], np.uint64))
 
 
-def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts' shingle sets have that Jaccard similarity, exactly.  texts: (s, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, known = [], None
-            for x, y, b in zip(batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
-                if known is None or known[0] != b:  # the join sorts by b, so its text often is the last one
-                    known = b, shingle_set(y.as_py() or b"", shingle)
-                x, y = shingle_set(x.as_py() or b"", shingle), known[1]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
-    side = lambda name: texts.select(F.col("s").alias(name), F.col("text").alias("t" + name))
-    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Number of values that two sorted sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -365,14 +324,16 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, similar
     would send each fingerprint to most shards.  So here the smallest of ``KEYS`` hashes of
     the set lead to buckets: two sets of the similarity s have one in common but for
     (1 - s) ** KEYS of them.  A bucket's wide fingerprints are searched by a vantage-point
-    tree within the radius of wide_radii; a bucket of over ``CELL`` rows is cut into parts
-    that meet two by two.
+    tree within the radius of wide_radii, and the bucket hands on a spanning forest of what
+    it finds; the forests' components hold all candidates for each other.
 
-    Candidates are verified on the whole texts, in rounds: first a bucket hands on a
-    minimum spanning forest of them, nearest pairs first, so that large groups stay small.
-    What is verified is one group from then on, and the next rounds verify the candidates
-    between different groups, up to MOST of each two and then MOST times as many, until
-    no bucket has left one out.
+    Within a component the candidates are found again by the tree, nearest first, and
+    verified on the whole shingle sets as long as their ends are not one group already;
+    a task hands on a spanning forest of the verified pairs.  So rows that leave a task
+    grow with the rows it reads, not with the pairs.  The work on a large group of texts
+    that are alike but below the similarity still grows with the square of the group; it
+    is dealt to cells: buckets of over ``CELL`` rows and components of over ``SET_CELL``
+    documents are cut into parts that meet two by two.
 
     component_id is the least id of the group.  Rows of a null id belong to a group but
     never name it, unless all do.  Texts without words are one group.  Two sets that share
@@ -392,95 +353,87 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, similar
         for batch in batches:
             sets = [shingle_set(t.as_py() or b"", shingle) for t in batch.column(1).cast(pa.binary())]
             matrix = np.array([wide_fingerprint(h) for h in sets], np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(h) for h in sets], pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in matrix.T)], names=["s", "text", "n", *word])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary()), *(pa.array(np.ascontiguousarray(c)) for c in matrix.T)], names=["s", "n", "hashes", *word])
 
     asked = good.join(met.select("s").distinct(), "s", "left_semi").select("s", "id", "row")
     plain = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     texts = plain.join(asked, ["id", "row"]).select("s", "text").dropDuplicates(["s"])
-    wide = written(texts.mapInArrow(widen, "s long, text string, n long, " + ", ".join(f"{w} long" for w in word)), "wide-fingerprints")
-
-    def search(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def near(s: np.ndarray, n: np.ndarray, points: np.ndarray, group: np.ndarray, run: np.ndarray, home: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-            found = Forest(np.unique(np.stack((run, group)), axis=1, return_inverse=True)[1].ravel(), most)
-
-            def rows(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-                a, b = np.minimum(s[x], s[y]), np.maximum(s[x], s[y])
-                return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), found.cut))], names=["a", "b", "cut"])
-
-            for x, y, d in steps(points, run) if home is None else pairs_within(points, home, int(radii.max())):
-                few, many = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-                row = np.where(few > MANY, 0, few)
-                fits = (few >= similarity * many) & (d <= radii[row, np.where(row, np.minimum(many - few, radii.shape[1] - 1), 0)])
-                x, y = found.add(x[fits], y[fits], d[fits])
-                if len(x):
-                    yield rows(x, y)
-            yield rows(*found.settle())
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for table in whole_runs(batches, ["key", "lo", "hi"]):
-                cell = np.stack([table.column(c).to_numpy() for c in ("key", "lo", "hi")])
-                cuts = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1
-                begin, end = np.r_[0, cuts], np.r_[cuts, cell.shape[1]]
-                numbers = np.repeat(np.arange(len(begin)), end - begin)
-                s, n, group = (table.column(c).to_numpy() for c in ("s", "n", "grp"))
-                points = np.stack([table.column(w).to_numpy() for w in word], axis=1).view(np.uint64)
-                small = np.repeat((end - begin <= OUTRIGHT) & (cell[1, begin] == cell[2, begin]), end - begin)
-                if small.any():
-                    yield from near(s[small], n[small], points[small], group[small], numbers[small], None)
-                for a, b in zip(begin.tolist(), end.tolist(), strict=True):
-                    if not small[a]:
-                        # A cell of two parts: one side asks, the other is searched.
-                        home = np.ones(b - a, bool) if cell[1, a] == cell[2, a] else table.column("part").to_numpy()[a:b] == cell[1, a]
-                        yield from near(s[a:b], n[a:b], points[a:b], group[a:b], numbers[a:b], home)
-
-        return run
-
-    parts = F.ceil(F.col("size") / CELL).cast("int")
-    part = F.pmod(F.xxhash64("s"), F.col("parts")).cast("int")
-    cells = met.withColumn("parts", parts).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select("key", "s", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    verified, tied, tested, most = None, None, None, 0
-    while True:
-        known = wide.drop("text")
-        known = known.withColumn("grp", F.col("s")) if tied is None else known.join(tied, known.s == tied.node, "left").select(*known.columns, F.coalesce("component", "s").alias("grp"))
-        ordered = cells.join(known, "s").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-        found = ordered.mapInArrow(search(most), "a long, b long, cut boolean").where("a <> b").groupBy("a", "b").agg(F.max("cut").alias("cut"))
-        found = written(found, "near-candidates")
-        fresh = found if tested is None else found.join(tested, ["a", "b"], "left_anti")
-        alike = written(similar(fresh, wide, shingle, similarity), "near-verified")
-        tested = found.select("a", "b") if tested is None else tested.unionByName(fresh.select("a", "b"))
-        if not alike.isEmpty():
-            verified = alike if verified is None else verified.unionByName(alike)
-            tied = written(components(verified), "near-components")
-        if most and found.where("cut").isEmpty() or not most and found.isEmpty():
-            break
-        most = max(1, most) * MOST
-    if tied is None:
-        return prints.join(each.select("s", F.col("id").alias("component_id")), "s").select("id", "row", "component_id")
+    wide = written(texts.mapInArrow(widen, "s long, n long, hashes binary, " + ", ".join(f"{w} long" for w in word)), "wide-fingerprints")
+
+    def points_of(table: pa.Table) -> np.ndarray:
+        return np.stack([table.column(w).to_numpy() for w in word], axis=1).view(np.uint64)
+
+    def fitting(n: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of the pairs those within the radius of their numbers of shingles, nearest first."""
+        for x, y, d in found:
+            few, many = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            row = np.where(few > MANY, 0, few)
+            fits = (few >= similarity * many) & (d <= radii[row, np.where(row, np.minimum(many - few, radii.shape[1] - 1), 0)])
+            order = np.flatnonzero(fits)
+            order = order[np.argsort(d[order], kind="stable")]
+            yield x[order], y[order]
+
+    def cells_of(table: pa.Table, group: str) -> Iterator[tuple[int, int, np.ndarray | None]]:
+        """(from, to, rows that are searched) of each cell; None: all of them, and they are few."""
+        cell = np.stack([table.column(c).to_numpy() for c in (group, "lo", "hi")])
+        cuts = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), cell.shape[1]], strict=True):
+            if cell[1, a] != cell[2, a]:
+                yield a, b, table.column("part").to_numpy()[a:b] == cell[1, a]
+            else:
+                yield a, b, np.ones(b - a, bool) if b - a > OUTRIGHT else None
+
+    reach = int(radii.max())
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, ["key", "lo", "hi"]):
+            s, n, points = table.column("s").to_numpy(), table.column("n").to_numpy(), points_of(table)
+            found, run = Forest(len(s)), np.full(len(s), -1)
+            for k, (a, b, home) in enumerate(cells_of(table, "key")):
+                if home is None:
+                    run[a:b] = k
+                    continue
+                for x, y in fitting(n[a:b], pairs_within(points[a:b], home, reach)):
+                    found.add(x + a, y + a)
+            few = np.flatnonzero(run >= 0)
+            for x, y in fitting(n[few], steps(points[few], run[few])):
+                found.add(few[x], few[y])
+            yield found.rows(s)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, ["component", "lo", "hi"], 2_000):
+            s, n, points = table.column("s").to_numpy(), table.column("n").to_numpy(), points_of(table)
+            sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in table.column("hashes").combine_chunks()]
+            found = Forest(len(s))
+
+            def alike(i: int, j: int) -> bool:
+                both = shared(sets[i], sets[j])  # noqa: B023  used within the turn
+                return both >= similarity * (len(sets[i]) + len(sets[j]) - both)  # noqa: B023
+
+            for a, b, home in cells_of(table, "component"):
+                home = np.ones(b - a, bool) if home is None else home
+                for x, y in fitting(n[a:b], pairs_within(points[a:b], home, reach)):
+                    found.add(x + a, y + a, alike)
+            yield found.rows(s)
+
+    def in_cells(rows: DataFrame, group: str, most: int) -> DataFrame:
+        """rows (group, s, size) dealt to cells: part, and the lesser and the greater part of the cell."""
+        parts = rows.withColumn("parts", F.ceil(F.col("size") / most).cast("int"))
+        parts = parts.withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return parts.select(group, "s", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+
+    ordered = in_cells(met, "key", CELL).join(wide.drop("hashes"), "s").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    candidates = written(components(ordered.mapInArrow(search, "a long, b long")), "near-candidates")
+    sizes = candidates.groupBy("component").agg(F.count("*").alias("size"))
+    members = in_cells(candidates.join(sizes, "component").select("component", F.col("node").alias("s"), "size"), "component", SET_CELL)
+    ordered = members.join(wide, "s").repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+    tied = written(components(ordered.mapInArrow(verify, "a long, b long")), "near-components")
     least = each.join(tied, each.s == tied.node).groupBy("component").agg(F.min("id").alias("least"))
     named = each.join(tied, each.s == tied.node, "left").join(least, "component", "left").select("s", "t", "t_max", F.coalesce("least", "id").alias("component_id"))
     # Sets that only share a digest stay by themselves.
     return prints.join(written(named, "near-groups").withColumnRenamed("t", "t_min"), "s").select("id", "row", F.when(F.col("t_min") == F.col("t_max"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def whole_runs(batches: Iterator[pa.RecordBatch], key: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
-    """Tables of about so many rows from sorted batches; rows of one key are never parted."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-        if sum(b.num_rows for b in held) >= rows:
-            table = pa.Table.from_batches(held).combine_chunks()
-            values = np.stack([table.column(c).to_numpy() for c in key])
-            cut = np.flatnonzero((values != values[:, -1:]).any(axis=0))
-            at = int(cut[-1]) + 1 if len(cut) else 0
-            if at:
-                yield table.slice(0, at)
-            held = table.slice(at).to_batches()
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def steps(points: np.ndarray, run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Index arrays and distances of all pairs within runs, which are short and stand in order."""
     step = 1
