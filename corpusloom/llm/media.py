@@ -1,13 +1,14 @@
 """Media columns: content-addressed payloads in tar shards.
 
 Writing: each task appends its payloads to tar shards in the shared folder, named by
-the SHA-256 digest of the payload, each distinct payload once per task.  The rows keep
-digest, shard, offset and length.  A shard is written under an attempt's name and then
-moved to its final one, which follows from the partition alone, so a task that is run
-again leaves the same files.
+the SHA-256 digest of the payload, each distinct payload once per task.  One place is
+then chosen for each digest, so all rows with a payload have the same shard, offset and
+length; members that other tasks have stored for it are not referred to.  A shard is
+written under an attempt's name and then moved to its final one, which follows from the
+partition alone; where a task is run again, the shard that is there stays.
 
-Reading: a range read of the header alone fills the metadata columns (width, height,
-bit depth); a range read of the whole member gives the payload back.
+Reading: ``read_headers`` makes range reads of headers alone and fills the metadata
+columns (width, height, bit depth); ``read_payloads`` makes range reads of whole members.
 
 The stored form is a PNG of 8-bit grey samples, 192 to a row: lossless, and less than
 half the size of the samples for text.
@@ -115,14 +116,21 @@ class ShardWriter:
         if self.stream is not None:
             self.stream.write(b"\0" * 1024)
             self.stream.close()
-            self.fs.move(self.temporary, f"{self.root}/{self.name()}")
+            final = f"{self.root}/{self.name()}"
+            if self.fs.get_file_info(final).type == pafs.FileType.NotFound:
+                self.fs.move(self.temporary, final)
+            else:  # an earlier attempt of this task, which has stored the same bytes
+                self.fs.delete_file(self.temporary)
             self.stream, self.number = None, self.number + 1
 
 
 def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, digest, shard, offset, length): payloads of all rows, written to shards.
 
-    Null counts as the empty text.  Runs at once: the rows are a table in the shared folder.
+    Null counts as the empty text.  Repeated rows stay rows and share a payload; an empty
+    table gives no rows; other columns are not read.  A task holds one batch of texts and
+    the places of the payloads it has stored last.  Runs at once: the rows are a table in
+    the shared folder.
     """
     folder = fresh_dir(df.sparkSession, "media")
 
@@ -147,39 +155,66 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     plain = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = T.StructType([plain.schema["id"], T.StructField("n_bytes", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("shard", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())])
-    rows = plain.mapInArrow(run, out).withColumn("folder", F.lit(folder))
-    return written(rows, "media-rows").withColumnRenamed("id", id_col)
+    rows = written(plain.mapInArrow(run, out), "media-places")
+    place = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p"))
+    named = rows.select("id", "n_bytes", "digest").join(place, "digest").select("id", "n_bytes", "digest", "p.shard", "p.offset", "p.length", F.lit(folder).alias("folder"))
+    # In the order of the shards, so that a reader opens few; rows of one payload can part.
+    return named.repartitionByRange("shard", "offset", "id").sortWithinPartitions("shard", "offset").withColumnRenamed("id", id_col)
 
 
-def read_back(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """store()'s rows with width, height and bit_depth, and payload_bytes, payload_sha256,
-    tail_crc32, media_bytes, media_sha256 and feature of the bytes as stored."""
+class RangeReader:
+    """Range reads of shard members; the shard read last stays open."""
+
+    def __init__(self):
+        self.at, self.file = None, None
+
+    def read(self, folder: str, shard: str, offset: int, length: int) -> bytes:
+        if (folder, shard) != self.at:
+            self.close()
+            fs, root = pafs.FileSystem.from_uri(folder)
+            self.at, self.file = (folder, shard), fs.open_input_file(f"{root}/{shard}")
+        return self.file.read_at(length, offset)
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+        self.at, self.file = None, None
+
+
+_KINDS = {pa.int64(): T.LongType(), pa.string(): T.StringType()}
+_PLACE = ("folder", "shard", "offset", "length", "digest")
+
+
+def _read(rows: DataFrame, new: list[tuple[str, pa.DataType]], made) -> DataFrame:
+    """rows and the new columns: made(read, place) gives their values, once for each place of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = RangeReader()
         for batch in batches:
-            got: dict[str, tuple] = {}
-            files: dict[tuple, pa.NativeFile] = {}
-            at = {name: batch.column(name).to_pylist() for name in ("digest", "folder", "shard", "offset", "length")}
-            for digest, folder, shard, offset, length in sorted(set(zip(*at.values(), strict=True)), key=lambda r: r[1:]):
-                if digest in got:
-                    continue
-                if (folder, shard) not in files:
-                    for f in files.values():
-                        f.close()
-                    store_fs, root = pafs.FileSystem.from_uri(folder)
-                    files = {(folder, shard): store_fs.open_input_file(f"{root}/{shard}")}
-                f = files[folder, shard]
-                shape = png_header(f.read_at(HEADER_BYTES, offset))
-                media = f.read_at(length, offset)
-                payload = from_png(media)
-                if hashlib.sha256(payload).hexdigest() != digest:
-                    raise ValueError(f"{shard}@{offset}: stored bytes do not match their digest")
-                got[digest] = (*shape, len(payload), digest, zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload))
-            for f in files.values():
-                f.close()
-            columns = [*zip(*(got[d] for d in at["digest"]), strict=True)] or [[]] * len(new)
+            places = [*zip(*(batch.column(c).to_pylist() for c in _PLACE), strict=True)]
+            got = {p: made(reader.read, *p) for p in sorted(set(places))}
+            columns = [*zip(*(got[p] for p in places), strict=True)] or [[]] * len(new)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, (_, k) in zip(columns, new, strict=True))], names=[*batch.schema.names, *(n for n, _ in new)])
+        reader.close()
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(n, _KINDS[k]) for n, k in new)]))
+
+
+def read_headers(rows: DataFrame) -> DataFrame:
+    """store()'s rows with width, height and bit_depth, from the first HEADER_BYTES of each member alone."""
+    new = [("width", pa.int64()), ("height", pa.int64()), ("bit_depth", pa.int64())]
+    return _read(rows, new, lambda read, folder, shard, offset, length, digest: png_header(read(folder, shard, offset, HEADER_BYTES)))
+
+
+def read_payloads(rows: DataFrame) -> DataFrame:
+    """store()'s rows with payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of the bytes as stored."""
+    new = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+
+    def made(read, folder: str, shard: str, offset: int, length: int, digest: str) -> tuple:
+        media = read(folder, shard, offset, length)
+        payload = from_png(media)
+        if hashlib.sha256(payload).hexdigest() != digest:
+            raise ValueError(f"{shard}@{offset}: stored bytes do not match their digest")
+        return len(payload), digest, zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload)
 
-    new = [("width", pa.int64()), ("height", pa.int64()), ("bit_depth", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
-    kinds = {pa.int64(): T.LongType(), pa.string(): T.StringType()}
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(n, kinds[k]) for n, k in new)]))
+    return _read(rows, new, made)

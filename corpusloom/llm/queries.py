@@ -47,7 +47,7 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = media.read_back(media.store(table(spark, sf_dir, "documents")))
+    rows = media.read_payloads(media.read_headers(media.store(table(spark, sf_dir, "documents"))))
     return rows.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
         "digest", "shard", "offset", "length", "width", "height", "bit_depth",
