@@ -16,14 +16,15 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.shared import written
 
 ALLOW, BLOCK = "allow", "block"
-LONGEST_WORD = 24
+#: A label of a host has at most so many characters, so no longer word can stand in it.
+LONGEST_WORD = 63
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _PIECES = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7f]+")
 
@@ -134,23 +135,40 @@ class NaiveBayes:
         return self.prior + sum(self.weight.get(t, self.absent) for t in tokens)
 
 
+def frequent(counted: DataFrame, n: str, most: int) -> Column:
+    """Rows whose count is so large that at most ``most`` rows have one of its size.
+
+    Sizes are steps of an eighth of a doubling, so a histogram of some hundred rows is all
+    that comes to the driver.
+    """
+    size = F.floor(F.log2(F.expr(n).cast("double")) * 8)
+    held, border = 0, None
+    for r in counted.groupBy(size.alias("size")).agg(F.count("*").alias("rows")).orderBy(F.desc("size")).collect():
+        held += r.rows
+        if held > most:
+            break
+        border = r.size
+    return F.lit(False) if border is None else size >= border
+
+
 def word_model(pages: DataFrame, html_col: str = "html", vocabulary: int = 50_000, url_col: str = "url") -> Segmenter:
     """Counts the words of the visible text of all pages.
 
-    The model holds the ``vocabulary`` most frequent words, and of the others those that
-    stand somewhere in a host; no host is segmented by any other word.  The total is that of all words.
+    The model holds at most ``vocabulary`` of the most frequent words, and of the others
+    those that stand somewhere in a host; no host is segmented by any other word.  The
+    total is that of all words.  A null page has none; repeated rows count each.
     """
     visible = F.lower(F.regexp_replace(F.col(html_col), "<[^>]*>", " "))
-    words = pages.select(F.explode(F.split(visible, "[^a-z]+")).alias("word")).where(f"length(word) BETWEEN 2 AND {LONGEST_WORD}")
+    words = pages.select(F.explode(F.split(visible, "[^a-z]+")).alias("word")).where(f"length(word) BETWEEN 1 AND {LONGEST_WORD}")
     counted = written(words.groupBy("word").agg(F.count("*").alias("n")), "url-words")
     total, different = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = {r.word: r.n for r in counted.orderBy(F.desc("n"), "word").limit(vocabulary).collect()}
+    top = {r.word: r.n for r in counted.where(frequent(counted, "n", vocabulary)).collect()}
     if different > len(top):
 
         def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 runs = {run for url in batch.column(0).to_pylist() for run in _PIECES.findall(split_url(url)[0]) if run.isascii() and not run[0].isdigit()}
-                found = {run[i:j] for run in runs for i in range(len(run)) for j in range(i + 2, min(len(run), i + LONGEST_WORD) + 1)}
+                found = {run[i:j] for run in runs for i in range(len(run)) for j in range(i + 1, min(len(run), i + LONGEST_WORD) + 1)}
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["word"])
 
         inside = pages.select(F.col(url_col).alias("url")).mapInArrow(parts, "word string").distinct()
@@ -159,7 +177,11 @@ def word_model(pages: DataFrame, html_col: str = "html", vocabulary: int = 50_00
 
 
 def train(urls: DataFrame, rules: list[Rule], words: Segmenter, url_col: str = "url", tokens: int = 100_000) -> NaiveBayes:
-    """Naive Bayes over all urls that a rule judges; the ``tokens`` most frequent tokens are held in memory, all in its table."""
+    """Naive Bayes over all urls that a rule judges; at most ``tokens`` of the most frequent tokens are held in memory, all in its table.
+
+    A null url is judged by no rule; repeated rows count each; without any url that a rule
+    judges, every url gets the prior's verdict, allow.
+    """
     shared = urls.sparkSession.sparkContext.broadcast((rules, words.words, words.total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +201,7 @@ def train(urls: DataFrame, rules: list[Rule], words: Segmenter, url_col: str = "
     docs = every.where("token IS NULL").first()
     table = every.where("token IS NOT NULL")
     totals = table.agg(F.coalesce(F.sum(ALLOW), F.lit(0)), F.coalesce(F.sum(BLOCK), F.lit(0)), F.count("*")).first()
-    top = table.orderBy(F.desc(F.col(ALLOW) + F.col(BLOCK)), "token").limit(tokens).collect()
+    top = table.where(frequent(table, f"{ALLOW} + {BLOCK}", tokens)).collect()
     counts = {action: {r.token: r[action] for r in top} for action in (ALLOW, BLOCK)}
     return NaiveBayes(counts, {action: docs[action] for action in (ALLOW, BLOCK)} if docs else {}, tuple(totals), table)
 
