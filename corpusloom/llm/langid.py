@@ -6,9 +6,9 @@ inverse document frequency and normalised.  Each language has several centroids,
 by spherical k-means; a text gets the language of the centroid with the largest cosine.
 A text whose cosine is far below what training texts of its length reach is rejected.
 
-Training takes at most about ``per_language`` texts of each language, those with the
-smallest text hash: a bounded sample of labelled rows, chosen without a shuffle.
-Every text is predicted whole.
+Training takes about ``per_language`` different texts of each of the ``languages`` labels
+with the most of them, those with the smallest text hash: a bounded sample of labelled
+rows.  Copies of a text count once.  Every text is predicted whole.
 """
 
 from __future__ import annotations
@@ -98,57 +98,83 @@ def fit(languages: list[str], tallies: np.ndarray, clusters: int = 3, margin: fl
     return model
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 400, clusters: int = 3) -> CentroidModel | None:
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 400, clusters: int = 3, languages: int = 256) -> CentroidModel | None:
     """A model of the labelled rows of df; None if no text with a letter has a label.
 
-    The sample is bounded: rows whose text hash lies under a border that lets about
-    ``per_language`` of a language through.  Only counters come to the driver.
+    The sample is bounded, however often texts repeat: rows whose text hash lies under a
+    border that lets about ``per_language`` different texts of a language through are
+    counted once each, and at most twice as many of them are taken.  Only counters come
+    to the driver.  Rows with a null text or label say nothing.
     """
-    rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not sizes:
         return None
-    border = F.create_map(*[F.lit(v) for name, n in sizes.items() for v in (name, min(2**63 - 1, -(2**63) + 2**64 * per_language // n))])
-    sample = rows.where(F.xxhash64("text") <= border[F.col("lang")])
+    borders = [(r.lang, min(2**63 - 1, -(2**63) + 2**64 * per_language // max(r.n, 1))) for r in sizes]
+    border = F.broadcast(df.sparkSession.createDataFrame(borders, "lang string, border long"))
+    sample = rows.join(border, "lang").where("h <= border").select("lang", "h", "text")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()  # a task sees about per_language different texts a language
         for batch in batches:
-            pairs = [(lang, t) for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if has_letter(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([counts(p[1]).astype("<i4").tobytes() for p in pairs], pa.binary())], names=["lang", "tally"])
-
-    got = sorted((r.lang, bytes(r.tally)) for r in sample.mapInArrow(tally, "lang string, tally binary").toLocalIterator())
+            found = []
+            for lang, h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (lang, h) not in seen:
+                    seen.add((lang, h))
+                    if has_letter(text):
+                        found.append((lang, h, counts(text).astype("<i4").tobytes()))
+            columns = [*zip(*found, strict=True)] or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["lang", "h", "tally"])
+
+    once = sample.mapInArrow(tally, "lang string, h long, tally binary").groupBy("lang", "h").agg(F.first("tally").alias("tally"))
+    got = sorted((r.lang, r.h, bytes(r.tally)) for r in once.limit(2 * per_language * len(borders)).toLocalIterator())
     if not got:
         return None
-    return fit([g[0] for g in got], np.stack([np.frombuffer(g[1], "<i4") for g in got]), clusters)
+    return fit([g[0] for g in got], np.stack([np.frombuffer(g[2], "<i4") for g in got]), clusters)
+
+
+def keep_known(df: DataFrame, model: CentroidModel | None, text_col: str = "text") -> DataFrame:
+    """df without the rows that predict() rejects; columns as they are, whatever their names."""
+    shared, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                yield part.filter(pa.array([not rejected for _, _, rejected in verdicts(shared.value, part.column(at).to_pylist())], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
 
+def verdicts(model: CentroidModel | None, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+    """(language, score, whether it is rejected) of each text."""
+    out = [(UNKNOWN, 0.0, True)] * len(texts)
+    good = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
+    if good:
+        for i, a, b, c in zip(good, *model.judge(np.stack([counts(texts[i]) for i in good])), strict=True):
+            out[i] = model.languages[a], float(b), bool(c)
+    return out
 
-def predict(df: DataFrame, model: CentroidModel | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
-    """(id, the carried columns, the text if it is kept, lang_pred, score, rejected) of each row.
+
+def predict(df: DataFrame, model: CentroidModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score, rejected) of each row, repeated ones too.
 
     A null text or one without letters gets ``und``, score 0 and is rejected; so does
-    every text if there is no model.  Columns that are not carried are not read.
+    every text if there is no model.  Other columns are not read.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = part.column(0).to_pylist()
-                good = [i for i, t in enumerate(texts) if known is not None and has_letter(t)]
-                lang, score, out = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
-                if good:
-                    for i, a, b, c in zip(good, *known.judge(np.stack([counts(texts[i]) for i in good])), strict=True):
-                        lang[i], score[i], out[i] = known.languages[a], float(b), bool(c)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *part.columns[:keep_text], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], names=names)
-
-    keep = [id_col, *carry]
-    plain = df.select(F.col(text_col).alias("_judged"), *keep)
-    text = [T.StructField(text_col, T.StringType())] if keep_text else []
-    fields = [*plain.schema.fields[1:], *text, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    names = [f.name for f in fields]
-    return plain.mapInArrow(run, T.StructType(fields))
+                columns = [*zip(*verdicts(shared.value, part.column(1).to_pylist()), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.float64(), pa.bool_()), strict=True))], names=names)
+
+    plain = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    names = ["id", "lang_pred", "score", "rejected"]
+    out = T.StructType([plain.schema["id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    return plain.mapInArrow(run, out).withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str) -> Column:
