@@ -7,7 +7,8 @@ positions get new pairs, and only their lists are updated.  A new pair always ha
 higher rank than the merge that made it, so one ascending sweep equals encoding each
 pre-token by itself.
 
-Texts are encoded whole; null counts as the empty text.  A special string of the
+Texts are encoded whole; null counts as the empty text.  A text longer than a block is
+encoded in pieces, cut where a pre-token ends whatever stands around it.  A special string of the
 tokenizer file becomes its own id, as the tokenizers library does by default.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import pretokens
-from corpusloom.llm.arrowtext import blocks, spread, utf8_buffers
+from corpusloom.llm.arrowtext import BLOCK_BYTES, blocks, spread, utf8_buffers
 
 NONE = np.int32(2**31 - 1)
 
@@ -172,6 +173,19 @@ class PairIndexEncoder:
         total = np.concatenate(([0], np.cumsum(lengths)))
         return self.flat[spread(self.starts[place], lengths)], total[before]
 
+    def encode_rows(self, offsets: np.ndarray, body: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(i, j, ids, starts) of runs of texts [i, j), as encode() has them; no run is longer than a block or one text."""
+        for i, j in blocks(offsets):
+            at = offsets[i : j + 1]
+            part = body[at[0] : at[-1]]
+            if len(part) <= 2 * BLOCK_BYTES:
+                yield i, j, *self.encode(at - at[0], part)
+                continue
+            cuts = pretokens.safe_cuts(part, BLOCK_BYTES)
+            found = [self.encode(np.array([0, b - a]), part[a:b])[0] for a, b in zip(cuts, cuts[1:], strict=False)]
+            ids = np.concatenate(found)
+            yield i, j, ids, np.array([0, len(ids)])
+
     def decode(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all texts one after another, where each text's bytes start and the end)."""
         lengths = self.byte_len[ids]
@@ -194,7 +208,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     vocabulary: path of a byte-level BPE file of the tokenizers library, the same on
     every executor.  One pass over the scan, no shuffle; memory holds one block of
-    texts, or the longest text.  A null or empty text has no ids (an empty binary);
+    texts, or the longest text and its ids.  A null or empty text has no ids (an empty binary);
     repeated rows stay rows; other columns of df are neither read nor returned, so
     their names do not matter.
     """
@@ -203,9 +217,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         bpe = encoder(vocabulary)
         for batch in batches:
             offsets, body = utf8_buffers(batch.column(1))
-            for i, j in blocks(offsets):
-                at = offsets[i : j + 1]
-                ids, starts = bpe.encode(at - at[0], body[at[0] : at[-1]])
+            for i, j, ids, starts in bpe.encode_rows(offsets, body):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _binary(starts * 4, ids.astype("<u4"), pa.binary())], names=["id", "ids"])
 
     plain = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

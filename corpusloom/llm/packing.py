@@ -13,7 +13,8 @@ still open at the end of a partition are laid one after another, cut at the capa
 and the last, short one into powers of two.  Sequences whose length is a power of two
 need no padding, so a partition ends without any.
 
-Memory: one block of texts and the open bins, fewer than ``capacity`` ids a class.
+Memory: one block of texts, or the longest text with its ids, and the open bins, fewer
+than ``capacity`` ids a class.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.arrowtext import blocks, utf8_buffers
+from corpusloom.llm.arrowtext import utf8_buffers
 from corpusloom.llm.bpe import encoder
 
 #: Sequence numbers of one partition; its number stands above these bits.
@@ -122,9 +123,7 @@ def pack(df: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0,
             kinds = [batch.schema.field(0).type, *[pa.int64()] * 6]
             offsets, body = utf8_buffers(batch.column(1))
             docs = batch.column(0).to_pylist()
-            for i, j in blocks(offsets):
-                at = offsets[i : j + 1]
-                ids, starts = bpe.encode(at - at[0], body[at[0] : at[-1]])
+            for i, j, ids, starts in bpe.encode_rows(offsets, body):
                 for doc, a, b in zip(docs[i:j], starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                     packer.add(doc, np.concatenate((ids[a:b], end)))
                 yield rows()

@@ -104,6 +104,35 @@ def borders(offsets: np.ndarray, body: np.ndarray, special: bytes = b"") -> tupl
     return (cuts if at_byte is None else at_byte[cuts]).astype(np.int64), before.astype(np.int64)
 
 
+def safe_cuts(body: np.ndarray, limit: int) -> list[int]:
+    """Byte offsets, from 0 to the end, that cut a long text into pieces of about ``limit`` bytes.
+
+    A cut lies before a blank or line feed between two ASCII letters or digits: the
+    pre-token before it ends there and the next one begins there, whatever else the text
+    holds, and no special string has such a place.  Where there is none for long, a piece
+    is longer.
+    """
+    out, n = [0], len(body)
+    while n - out[-1] > limit:
+        at = out[-1] + limit
+        while at < n:
+            end = min(at + limit, n - 1)
+            here = np.isin(body[at:end], (32, 10)) & _PLAIN[body[at - 1 : end - 1]] & _PLAIN[body[at + 1 : end + 1]]
+            hits = np.flatnonzero(here)
+            if len(hits):
+                at += int(hits[0])
+                break
+            at = max(end, at + 1)
+        if at >= n - 1:
+            break
+        out.append(at)
+    return [*out, n]
+
+
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
 def distinct(cuts: np.ndarray, body: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     """(distinct pre-tokens, index into them of each pre-token)."""
     if len(cuts) < 2:
