@@ -183,7 +183,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
     groups = max(-(-total // GROUP_BYTES), parts)
     buckets = min(max(-(-total // (6 * BUCKET_WORDS)), parts), 1 << 24)
 
-    docs = df.select(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(groups)).cast("int").alias("grp"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = df.select(F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(groups)).cast("int").alias("grp"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def ask_anchors(table: pa.Table) -> pa.Table:
         words, _ = _group(table)
