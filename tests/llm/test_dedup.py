@@ -107,13 +107,53 @@ def test_embeddings(spark):
     got = embeddings.dedup(df).collect()
     want = brute_vectors(rows)
     pairs = sum(n for _, n, _ in want)
-    assert sum(r.n_links for r in got) >= 0.99 * pairs  # recall of the passes
-    wrong = [r for r, w in zip(sorted(got, key=lambda r: r.vec_id), want, strict=True) if (r.vec_id, r.n_links, r.component_id) != w]
-    assert len(wrong) <= 0.01 * len(rows)
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == want and pairs > 1000
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert embeddings.dedup(df.where("false")).count() == 0
 
 
+def test_embeddings_of_a_crowded_label(spark):
+    rng = np.random.default_rng(3)
+    common = rng.standard_normal(32)
+    far = 0.8**0.5 * common / np.linalg.norm(common) + 0.2**0.5 * (lambda y: y / np.linalg.norm(y, axis=1, keepdims=True))(rng.standard_normal((6000, 32)))
+    other = rng.standard_normal((6000, 32))
+    other -= (other * far).sum(axis=1, keepdims=True) * far / (far * far).sum(axis=1, keepdims=True)
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    near = 0.983 * far / np.linalg.norm(far, axis=1, keepdims=True) + math.sqrt(1 - 0.983**2) * other
+    x = np.concatenate([far, near])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    want = (x @ x.T >= 0.98).sum() - len(x)
+    got = embeddings.dedup(df).collect()
+    assert sum(r.n_links for r in got) >= 0.999 * want
+
+
+def test_windows_reach_over_range_borders(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((2500, 6))
+    reps = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "rep long, vec array<double>, label long")
+    parts, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            links = embeddings.candidate_links(reps, 0.98, passes=3, window=16)
+            got.append({(r.node, r.component) for r in components.components(links).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert got[0] == got[1] and len(got[0]) > 100
+
+
+def test_link_counts_of_large_components(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal(16) + rng.standard_normal((300, 16)) * 0.15
+    members = spark.createDataFrame([(i, 1, v.tolist(), 1 + i % 3, 0, 300) for i, v in enumerate(x)], "rep long, label long, vec array<double>, weight long, component long, n_members long")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.98) & ~np.eye(300, dtype=bool)
+    want = {i: int(n) for i, n in enumerate(near @ (1 + np.arange(300) % 3))}
+    for block in (64, 1024):
+        assert {r.rep: r.n for r in embeddings.link_counts(members, 0.98, block).collect()} == want
+
+
 # --- SimHash ---
 
 

@@ -56,7 +56,7 @@ def test_segmentation_is_the_likeliest():
         options = []
         for k in range(1, len(run) + 1):
             cost, rest = best(run[k:])
-            options.append((cost + seg.cost.get(run[:k], seg.unknown[min(k, 24)]), (run[:k], *rest)))
+            options.append((cost + seg.cost.get(run[:k], seg.unknown[min(k, 63)]), (run[:k], *rest)))
         return min(options)
 
     for run in ("therein", "thethere", "xthen", "in", "zzz"):
@@ -89,7 +89,7 @@ def test_rare_tokens_and_words_count(spark):
 
 def test_media(spark, odd, empty):
     rows = media.store(odd)
-    got = media.read_back(rows).collect()
+    got = media.read_payloads(media.read_headers(rows)).collect()
     texts = [(r.doc_id, (r.text or "").encode()) for r in odd.select("doc_id", "text").collect()]
     assert len(got) == len(texts)
     want = {(hashlib.sha256(media.padded(t)).hexdigest(), len(t)): t for _, t in texts}  # blanks alone pad to the same payload
@@ -100,13 +100,38 @@ def test_media(spark, odd, empty):
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(t), len(p), zlib.crc32(p[-16:]))
         assert (r.width, r.height, r.bit_depth) == (192, len(p) // 192, 8)
         assert values.setdefault(t, (r.media_bytes, r.media_sha256, r.feature)) == (r.media_bytes, r.media_sha256, r.feature)
+    places: dict = {}
+    assert all(places.setdefault(r.digest, (r.shard, r.offset, r.length)) == (r.shard, r.offset, r.length) for r in got)  # one place a payload
     one = got[0]
     folder = rows.first().folder
     with tarfile.open(f"{folder}/{one.shard}") as tar:  # shards are tar files, members named by digest
         member = tar.getmember(f"{one.digest}.png")
         assert (member.offset_data, member.size) == (one.offset, one.length)
         assert media.from_png(tar.extractfile(member).read())[: one.n_bytes] == want[one.payload_sha256, one.n_bytes]
-    assert media.read_back(media.store(empty)).count() == 0
+    assert media.read_payloads(media.read_headers(media.store(empty))).count() == 0
+
+
+def test_headers_are_read_without_payloads_and_shards_of_an_earlier_attempt_stay(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    for _ in range(2):
+        writer = media.ShardWriter(folder, 3)
+        shard, offset = writer.add("x.png", media.to_png(media.padded(b"text")))
+        writer.close()
+    assert [p.name for p in tmp_path.iterdir()] == [shard]
+    short = (tmp_path / shard).read_bytes()[: offset + media.HEADER_BYTES]
+    (tmp_path / shard).write_bytes(short)  # no payload is left
+    rows = spark.createDataFrame([(folder, shard, offset, 10**6, "d")], "folder string, shard string, offset long, length long, digest string")
+    assert [(r.width, r.height, r.bit_depth) for r in media.read_headers(rows).collect()] == [(192, 1, 8)]
+
+
+def test_feature_equals_a_plain_model():
+    for text in (b"", b"abc", bytes(range(32, 127)) * 9):
+        p = media.padded(text)
+        n = len(p) // 64
+        mean = sum(p) / len(p)
+        bits = "".join("1" if sum(p[i * n : (i + 1) * n]) / n > mean else "0" for i in range(64))
+        spread = math.sqrt(sum((x - mean) ** 2 for x in p) / len(p))
+        assert media.feature(p) == f"mean={mean:.4f};std={spread:.4f};ahash={int(bits, 2):016x}"
 
 
 def test_language_held_out(spark, sample, odd, empty):
@@ -117,8 +142,10 @@ def test_language_held_out(spark, sample, odd, empty):
     assert sum(r.lang_pred == r.lang for r in held) >= 0.98 * len(held) and all(0 <= r.score <= 1 for r in got)
     assert sum(r.rejected for r in got) <= 0.01 * len(got)
     model = langid.train(docs.where(~langid.held_out("doc_id")))
-    odds = langid.predict(odd, model, carry=("source",)).collect()
+    odds = langid.predict(odd, model).collect()
     assert len(odds) == odd.count()
+    known = langid.keep_known(odd.withColumns({"score": F.lit(1), "lang_pred": F.lit(2), "rejected": F.lit(3)}), model)
+    assert known.columns[-3:] == ["score", "lang_pred", "rejected"] and known.count() == sum(not r.rejected for r in odds)
     plain = {r.doc_id: r for r in odds}
     assert all(plain[i].lang_pred == "und" and plain[i].rejected for i in (0, 1, 2, 3, 5))
     assert langid.train(empty) is None and langid.predict(empty, None).count() == 0
@@ -134,6 +161,26 @@ def base_model(text):
     return sorted(found + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16])
 
 
+def test_nearest_centroid_equals_a_plain_model(spark, sample):
+    texts = [*sample[1].values()][:60]
+    model = langid.train(sample[0])
+    names, tallies = model.languages, [langid.counts(t) for t in texts]
+    for (lang, score, _), tally in zip(langid.verdicts(model, texts), tallies, strict=True):
+        v = [math.log1p(c) * w for c, w in zip(tally.tolist(), model.idf.tolist(), strict=True)]
+        size = math.sqrt(sum(x * x for x in v)) or 1
+        cosines = [sum(x / size * y for x, y in zip(v, c, strict=True) if x) for c in model.centroids.tolist()]
+        best = max(range(len(cosines)), key=lambda i: cosines[i])
+        assert lang == names[model.owner[best]] and math.isclose(score, min(1, max(0, cosines[best])), abs_tol=1e-4)
+
+
+def test_copies_do_not_fill_the_training_sample(spark):
+    rows = [(i, "the same words again and again", "en") for i in range(5000)] + [(9000 + i, f"andere worte {i} hier", "de") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    model = langid.train(df, per_language=20)
+    assert model.languages == ["de", "en"] and len(model.centroids) <= 6
+    assert langid.train(df, languages=1).languages == ["de"]
+
+
 def cdf(z):
     return 1 / (1 + math.exp(-min(max(1.5976 * z + 0.07056 * z**3, -700), 700)))
 
@@ -162,13 +209,15 @@ def random_model(text, base):
         z_serial = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:], strict=False)) / ((k * k - 1) / 12 * math.sqrt(n - 1))
         expected = n * (n - 1) / 2 * 0.065
         p = 0.35 ** sum(x > 9 for x in v) if k == 16 else cdf((q - expected) / math.sqrt(expected * 0.935 + n * (n - 1) * (n - 2) * 0.0006))
-        found.append((m.start(), m.end(), n, max(z_chi, abs(z_runs), abs(z_serial)) <= secretscan.Z_LIMIT, p))
+        battery = min(1.0, 3 * min(1 - cdf(z_chi), 2 * (1 - cdf(abs(z_runs))), 2 * (1 - cdf(abs(z_serial)))))
+        found.append((m.start(), m.end(), n, battery, p))
     if not found:
         return []
     mean = sum(f[2] for f in found) / len(found)
-    weighted = [f[4] / (f[2] / mean) for f in found]
-    limit = max((p for i, p in enumerate(sorted(weighted)) if p <= secretscan.Q * (i + 1) / len(found)), default=-1)
-    return [(a, 3, b) for (a, b, _, ok, _), p in zip(found, weighted, strict=True) if ok and p <= limit]
+    weighted = lambda i: [f[i] / (f[2] / mean) for f in found]
+    limit = lambda ps, level: max((p for i, p in enumerate(sorted(ps)) if p <= level * (i + 1) / len(ps)), default=-1)
+    bat, txt = weighted(3), weighted(4)
+    return [(a, 3, b) for (a, b, *_), x, y in zip(found, bat, txt, strict=True) if x > limit(bat, secretscan.Q_RANDOM) and y <= limit(txt, secretscan.Q)]
 
 
 def test_secrets(spark, odd, empty, sample):
@@ -190,8 +239,7 @@ def test_secrets(spark, odd, empty, sample):
         assert all(t[s.start : s.end] == s.body for s in got[i].spans)
     assert any(s.rank == 3 for s in got[0].spans) and not any(s.rank == 3 for s in got[9].spans)
     assert secretscan.scan(empty).count() == 0 and secretscan.scan(odd).count() == odd.count()
-    plain = df.drop("base")
-    clean = {r.doc_id: r.text for r in secretscan.redact(plain).collect()}
+    clean = {r.doc_id: r.text for r in secretscan.redact(df.withColumn("spans", F.lit(5))).collect()}
     for i, t in rows:
         want, at = "", 0
         for a, _, b in [(s.start, s.rank, s.end) for s in got[i].spans]:
@@ -222,7 +270,27 @@ def test_pipeline_stages(spark, sample, odd, empty):
     assert not before.where(F.expr(f"text RLIKE '{secretscan.HEX}'")).count()
     last = corpus_pipeline.STAGES[-1][1](spark, before, SF)
     assert {r.doc_id for r in last.collect()} == {r.doc_id for r in before.select("doc_id").collect()}
-    plain = odd.select(docs.columns)
-    for some in (plain, empty.select(docs.columns)):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, some, SF).collect()
+    clash = {c: F.lit(c) for c in ("score", "lang_pred", "rejected", "removed", "_id", "_row", "row", "_gone", "component_id", "spans", "base", "_t")}
+    for some in (odd.withColumns(clash), empty.withColumns(clash)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, some, SF)
+            assert after.columns == some.columns, name
+            assert all(r.rejected == "rejected" and r._row == "_row" for r in after.collect()), name
+        corpus_pipeline.STAGES[-1][1](spark, some, SF).collect()
+
+
+def test_a_text_of_very_many_matches_takes_seconds(spark):
+    import time
+
+    random.seed(2)
+    text = " ".join("".join(random.choice("0123456789abcdef") for _ in range(16)) + random.choice(["", " AKIA" + "Z9" * 8, " " + made(random)]) for _ in range(30_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    got, clean = secretscan.scan(df).first(), secretscan.redact(df).first().text
+    assert time.time() - began < 30
+    assert [(s.start, s.rank, s.end) for s in got.base] == base_model(text)
+    assert clean.count("[REDACTED]") >= 30_000 and not re.search(secretscan.HEX, clean)
+
+
+def made(rng):
+    return "".join(rng.choice(secretscan.ALPHABETS["base64"]) for _ in range(24))

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from corpusloom.llm import bpe, packing
+from corpusloom.llm import bpe, packing, pretokens
 from corpusloom.llm.arrowtext import utf8_buffers
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -85,3 +85,20 @@ def test_packing(odd, empty, sample):
 def test_a_run_gives_the_same_rows_again(sample):
     first, second = (sorted(map(tuple, packing.pack(sample[0], PATH).collect())) for _ in range(2))
     assert first == second
+
+
+def test_long_texts_are_cut_where_pre_tokens_end():
+    random.seed(9)
+    text = "".join(random.choice(["word ", "a\nb", "don't ", "  12 3", "ünï cö ", "\n\n x", "<|endoftext|>", "中文 "]) for _ in range(4000))
+    body = np.frombuffer(text.encode(), np.uint8)
+    cuts = pretokens.safe_cuts(body, 500)
+    assert cuts[0] == 0 and cuts[-1] == len(body) and len(cuts) > 20
+    whole = LIBRARY.encode(text, add_special_tokens=False).ids
+    encoder = bpe.encoder(PATH)
+    assert [i for a, b in zip(cuts, cuts[1:], strict=False) for i in encoder.encode(np.array([0, b - a]), body[a:b])[0].tolist()] == whole
+    long = "some words of a very long text, don't cut 'em\n" * 250_000
+    offsets, body = utf8_buffers(pa.array(["x", long, "y"]))
+    found = [*encoder.encode_rows(offsets, body)]
+    assert [f[:2] for f in found] == [(0, 1), (1, 2), (2, 3)]
+    assert found[1][2].tolist() == LIBRARY.encode(long, add_special_tokens=False).ids
+    assert pretokens.safe_cuts(np.full(5000, 120, np.uint8), 500) == [0, 5000]
