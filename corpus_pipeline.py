@@ -21,14 +21,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def with_length(docs: DataFrame, before: DataFrame) -> DataFrame:
     """docs with n_chars counted anew, as texts have been cut."""
-    return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(before.schema["n_chars"].dataType))).select(before.columns)
+    n = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(before.schema["n_chars"].dataType))
+    return docs.withColumn("n_chars", n).select(before.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that language ID rejects: no letters, or far from every centroid."""
     model = langid.train(docs.where(~langid.held_out("doc_id")))
-    judged = langid.predict(docs, model, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")), keep_text=True)
-    return judged.where("NOT rejected").select(docs.columns)
+    return langid.keep_known(docs, model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group of near copies: five words, 0.8 or more.
 
-    Texts that hold no words after line dedup are no copies of each other and stay.
+    Texts that hold no words after line dedup are one group.
     """
     return simhash.drop_near_copies(docs, shingle=5, similarity=0.8)
 
