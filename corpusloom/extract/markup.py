@@ -122,7 +122,7 @@ def apply(files: DataFrame, rule, schema: str, path: str = "path", content: str
     return found.select("file_path", "ordinal", F.from_json("fact", schema).alias("f")).select("file_path", "ordinal", "f.*")
 
 
-def import_closure(found: DataFrame, depth: int = 10) -> DataFrame:
+def import_closure(found: DataFrame, depth: int | None = None) -> DataFrame:
     """(source, target, depth) of XML files reached by imports; cycles are cut."""
     from corpusloom.operators.graph import closure
 

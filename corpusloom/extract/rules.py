@@ -283,6 +283,7 @@ def http_calls(unit: Unit, path: str) -> Iterator[Fact]:
 
 def call_sites(unit: Unit, path: str) -> Iterator[Fact]:
     """Calls whose target type is known from the class itself, its fields or the method's parameters."""
+    # A wildcard import names no type, so it says nothing about one.
     library = {n.rsplit(".", 1)[-1] for n, _, wild in unit.imports if not wild and n.startswith(tuple(LIBRARY_PREFIXES))}
     for t in unit.all_types():
         fields = {f.name: simple(f.type) for f in (*t.fields, *t.components)}

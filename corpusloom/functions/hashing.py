@@ -19,7 +19,7 @@ def task_id(*parts: Column) -> Column:
 
 
 def short_id(text: Column) -> Column:
-    """Hex of the 32-bit polynomial string hash (factor 31) over code points of the basic plane."""
-    codes = F.transform(F.split(text, ""), lambda c: F.when(c == "", 0).otherwise(F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("long")))
-    total = F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    """Hex of the 32-bit polynomial string hash (factor 31) over 16-bit units; wide characters are two of them."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(....)"), F.lit(1))
+    total = F.aggregate(units, F.lit(0).cast("long"), lambda h, c: (h * 31 + F.conv(c, 16, 10).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF)))
     return F.lower(F.hex(total))

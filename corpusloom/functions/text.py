@@ -13,6 +13,9 @@ SECRET_PATTERNS = {
     "digits": r"\b[0-9]{13,19}\b",
 }
 
+#: What every match of a pattern contains.
+FIXED_PARTS = {"token": 'token = "', "email": "@"}
+
 
 def slugify(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
@@ -99,8 +102,10 @@ def source_lines(text: Column, first: Column, last: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
+    """Every kind replaced, first to last; a text without a kind's fixed part is not searched for it."""
     for kind, pattern in SECRET_PATTERNS.items():
-        text = F.regexp_replace(text, pattern, f"[REDACTED:{kind}]")
+        put = F.regexp_replace(text, pattern, f"[REDACTED:{kind}]")
+        text = F.when(text.contains(FIXED_PARTS[kind]), put).otherwise(text) if kind in FIXED_PARTS else put
     return text
 
 
@@ -145,3 +150,30 @@ def component_by_path(path: Column, rules: list[tuple[str, str]], otherwise: str
 
 def source_ref(path: Column, first: Column, last: Column) -> Column:
     return F.when(first.isNull() | (first <= 0), path).otherwise(F.concat(path, F.lit(":"), first.cast("string"), F.lit("-"), F.coalesce(last, first).cast("string")))
+
+
+def flow_key(kind: Column, path: Column, class_name: Column, method: Column) -> Column:
+    """TYPE:file:class:method, the key under which a flow's analysis is kept; null counts as empty."""
+    return F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("")) for c in (kind, path, class_name, method)])
+
+
+def snake_case(name: Column) -> Column:
+    return F.lower(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2"))
+
+
+def class_header(text: Column, line: Column) -> Column:
+    """The nearest line at or above that opens a type, with the annotation lines right above it; null if there is none."""
+    lines = F.slice(F.split(text, "\n"), F.lit(1), line)
+    opens = F.transform(lines, lambda x, i: F.when(x.rlike(r"\b(?:class|interface|enum|record)\s+\w+"), i + 1).otherwise(0))
+    at = F.array_max(opens)
+    above = F.reverse(F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0))))
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("on"))
+    marked = F.aggregate(above, start, lambda s, x: F.struct(F.when(s.on & F.trim(x).startswith("@"), s.n + 1).otherwise(s.n).alias("n"), (s.on & F.trim(x).startswith("@")).alias("on")), lambda s: s.n)
+    return F.when(at > 0, F.array_join(F.slice(lines, at - marked, marked + 1), "\n"))
+
+
+def enrichment_context(flow: Column, summary: Column, calls: Column) -> Column:
+    """What a prompt is told of a flow: its name, its summary and its outgoing calls (structs of method and url)."""
+    listed = F.array_join(F.transform(calls, lambda c: F.concat_ws(" ", c.method, c.url)), ", ")
+    parts = [F.concat(F.lit("Flow "), flow), F.when(summary != "", F.concat(F.lit("Enrichment: "), summary)), F.when(F.size(calls) > 0, F.concat(F.lit("Calls: "), listed))]
+    return F.concat_ws("\n", *parts)

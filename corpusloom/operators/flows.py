@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scoring, text
+from corpusloom.sources.shared import written
 
 #: Paths that no flow is made of, and parts of class names likewise.
 TRIVIAL_PATHS = ["/actuator", "/actuator/health", "/actuator/info", "/actuator/metrics", "/health", "/info", "/metrics", "/env", "/beans", "/configprops", "/mappings", "/trace", "/httptrace"]
@@ -46,12 +47,13 @@ def known_methods(scheduled: DataFrame, listeners: DataFrame, events: DataFrame)
 
 
 def prioritised(entries: DataFrame, edges: DataFrame, enriched: DataFrame, tested: DataFrame) -> DataFrame:
-    """Entries that are not trivial with their priority, highest first; equal ones by id."""
+    """Entries that are not trivial with their priority and rank, highest first; equal ones by id."""
     out = edges.where("resolved_status = 'RESOLVED'").groupBy(F.col("source_file").alias("file_path")).agg(F.count("*").alias("out_degree"))
     flag = lambda df, name: df.select("file_path").distinct().withColumn(name, F.lit(True))
     both = entries.join(out, "file_path", "left").join(flag(enriched, "_enriched"), "file_path", "left").join(flag(tested, "_tested"), "file_path", "left")
     score = scoring.priority(F.coalesce("_enriched", F.lit(False)), F.coalesce("out_degree", F.lit(0)), F.col("ep_type") == "HTTP", F.coalesce("_tested", F.lit(False)))
-    return both.where(~is_trivial(F.col("path"), F.col("class_name"))).withColumn("priority_score", score).drop("out_degree", "_enriched", "_tested").orderBy(F.desc("priority_score"), "id")
+    scored = both.where(~is_trivial(F.col("path"), F.col("class_name"))).withColumn("priority_score", score).drop("out_degree", "_enriched", "_tested")
+    return ranked(scored, [F.desc("priority_score"), F.asc("id")], "priority_rank")
 
 
 def orphaned_methods(known: DataFrame, entries: DataFrame, edges: DataFrame) -> DataFrame:
@@ -106,6 +108,53 @@ def traceability(steps: DataFrame, flows: DataFrame) -> tuple[DataFrame, DataFra
     return nodes, following.select("flow_id", "source", "target", kind.alias("link_type"))
 
 
+def steps_by_file(steps: DataFrame) -> DataFrame:
+    """(flow_id, source_file, steps, first_line): each flow's steps by file, in their order, and the first line they name."""
+    kept = steps.where("NOT unresolved AND source_file IS NOT NULL")
+    row = F.struct("step_index", "component_type", "class_name", "method_name", "start_line", "end_line")
+    return kept.groupBy("flow_id", "source_file").agg(F.array_sort(F.collect_list(row)).alias("steps"), F.min(F.when(F.col("start_line") > 0, F.col("start_line"))).alias("first_line"))
+
+
+def nothing_to_extract(floating: DataFrame, topics: DataFrame, entries: DataFrame) -> bool:
+    """Whether extraction can be skipped: no pending link of either kind and no entry point."""
+    return floating.where("status = 'PENDING'").isEmpty() and topics.where("status = 'PENDING'").isEmpty() and entries.isEmpty()
+
+
+def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """df with the place of each row in the order, from 0.
+
+    Rows are sorted by ranges; only the number of rows of each range comes to the driver.
+    """
+    placed = written(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part, offsets, n = F.shiftright("_at", 33), [], 0
+    for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+        offsets.append((r.part, n))
+        n += r.n
+    before = df.sparkSession.createDataFrame(offsets, "_part long, _before long")
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + inside).drop("_part", "_before", "_at")
+
+
+def feature_members(flows: DataFrame) -> DataFrame:
+    """(flow_id, feature, feature_ordinal) of the flows that are not set aside; features in the order of their names."""
+    kept = flows.where("NOT quarantined").select("flow_id", "feature")
+    ordinals = ranked(kept.select("feature").distinct(), [F.asc("feature")], "feature_ordinal")
+    return kept.join(ordinals, "feature").select("flow_id", "feature", "feature_ordinal")
+
+
+def rules_of_flows(steps: DataFrame, enrichment: DataFrame) -> DataFrame:
+    """(flow_id, rules, edge_cases): what the documents of a flow's files say, the last document of a file counting."""
+    files = steps.where("NOT unresolved AND source_file IS NOT NULL").select("flow_id", F.col("source_file").alias("file_path")).distinct()
+    last = enrichment.where("document IS NOT NULL").groupBy("file_path").agg(F.max_by("document", "task_id").alias("document"))
+    met = files.join(last, "file_path")
+    return met.groupBy("flow_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("document.business_rules")))).alias("rules"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("document.edge_cases")))).alias("edge_cases"))
+
+
+def totals(members: DataFrame) -> DataFrame:
+    """One row: number of features and of their flows."""
+    return members.agg(F.count_distinct("feature").alias("features"), F.count("flow_id").alias("flows"))
+
+
 def group_by_claims(flows: list[tuple[str, str]], claims: list[tuple[str, list[str]]]) -> list[tuple[str, list[str]]]:
     """Features from an outside grouping: (name, short ids) claims over (flow id, short id), in order.
 

@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.sources.shared import written
 
-def closure(edges: DataFrame, source: str, target: str, depth: int = 20) -> DataFrame:
-    """(source, target, depth) of all pairs joined by a path; depth is the shortest one's.
 
-    A recursive query with a cycle guard: a node on the path is not entered again.
+def closure(edges: DataFrame, source: str, target: str, depth: int | None = None) -> DataFrame:
+    """(source, target, depth) of all pairs of different nodes joined by a path; depth is the shortest one's.
+
+    Breadth first to a fixed point: each round joins the pairs found last with the edges
+    and takes off those that are known, so cycles end by themselves and no path is walked
+    twice.  Rounds are tables in the shared folder.  depth bounds the rounds; None is no bound.
     """
-    edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s IS NOT NULL AND t IS NOT NULL").distinct().createOrReplaceTempView("_closure_edges")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE walk(source, target, path, depth) AS (
-          SELECT s, t, array(s, t), 1 FROM _closure_edges
-          UNION ALL
-          SELECT w.source, e.t, array_append(w.path, e.t), w.depth + 1
-          FROM walk w JOIN _closure_edges e ON w.target = e.s
-          WHERE w.depth < {depth} AND NOT array_contains(w.path, e.t))
-        SELECT source, target, CAST(min(depth) AS BIGINT) AS depth FROM walk WHERE source <> target GROUP BY source, target""")
+    steps = edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).where("_from IS NOT NULL AND _to IS NOT NULL AND _from <> _to").distinct()
+    steps = written(steps, "closure-edges")
+    seen = frontier = steps.select(F.col("_from").alias("source"), F.col("_to").alias("target"), F.lit(1).cast("long").alias("depth"))
+    d = 1
+    while depth is None or d < depth:
+        d += 1
+        further = frontier.join(steps, F.col("target") == F.col("_from")).where("source <> _to").select("source", F.col("_to").alias("target"), F.lit(d).cast("long").alias("depth")).distinct()
+        frontier = written(further.join(seen.select("source", "target"), ["source", "target"], "left_anti"), "closure-frontier")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
 
 
 def orphans(known: DataFrame, key: str, *reached: DataFrame) -> DataFrame:
@@ -33,12 +40,14 @@ def orphans(known: DataFrame, key: str, *reached: DataFrame) -> DataFrame:
     return known.join(every, key, "left_anti")
 
 
-def callers(edges: DataFrame, file: str) -> DataFrame:
-    return edges.where(F.col("target_file") == file)
+def callers(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """Edges that lead into one of the files (a table of one column)."""
+    return edges.join(files.select(F.col(files.columns[0]).alias("target_file")), "target_file", "left_semi")
 
 
-def callees(edges: DataFrame, file: str) -> DataFrame:
-    return edges.where(F.col("source_file") == file)
+def callees(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """Edges that start in one of the files."""
+    return edges.join(files.select(F.col(files.columns[0]).alias("source_file")), "source_file", "left_semi")
 
 
 def flow_candidates(edges: DataFrame) -> DataFrame:
@@ -136,33 +145,59 @@ class Tracer:
 
 
 STEP_SCHEMA = "flow_id string, step_index int, component_type string, class_name string, method_name string, source_file string, start_line int, end_line int, enrichments array<string>, unresolved boolean"
-#: Facts that are sent to every executor; beyond this, traces run by levels() over joins.
-MOST_EDGES = 2_000_000
+def _reached(entries: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
+    """(root, file, class, method) of the nodes that a trace of each entry can expand."""
+    calls = edges.where("resolved_status = 'RESOLVED'").select("source_file", "source_class", "source_method", F.struct(F.col("target_file").alias("file"), F.col("target_class").alias("class"), F.col("target_method").alias("method")).alias("next")).distinct()
+    frontier = seen = entries.select(F.col("id").alias("root"), F.col("file_path").alias("file"), F.col("class_name").alias("class"), F.col("method_name").alias("method")).distinct()
+    for _ in range(max_depth - 1):
+        by_file = frontier.join(calls, (F.col("file") == F.col("source_file")) & (F.col("method") == F.col("source_method"))).select("root", "next.*")
+        by_class = frontier.join(calls, (F.col("class") == F.col("source_class")) & (F.col("method") == F.col("source_method"))).select("root", "next.*")
+        frontier = written(by_file.unionByName(by_class).distinct().join(seen, ["root", "file", "class", "method"], "left_anti"), "trace-frontier")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
 
 
 def trace_flows(entries: DataFrame, edges: DataFrame, db: DataFrame, http: DataFrame, components: DataFrame, framework: tuple[str, ...] = (), max_depth: int = 5) -> DataFrame:
     """Flow steps and, with unresolved set, the unresolved calls of every entry point.
 
-    Depth-first order with a visited set for the whole flow is no relational operation:
-    entries are traced in parallel over a broadcast of the graph, whose size is checked.
+    Depth-first order with a visited set for the whole flow is no relational operation.
+    So joins first gather what each entry can reach within max_depth calls, and every
+    entry is then traced over its own part of the graph; no task holds more than that.
     """
-    if (n := edges.limit(MOST_EDGES + 1).count()) > MOST_EDGES:
-        raise ValueError(f"{n} edges: more than are broadcast; use levels() for graphs of this size")
-    order = [c for c in ("source_file", "source_class", "source_method", "ordinal") if c in edges.columns]
-    facts = [[r.asDict() for r in t.collect()] for t in (edges.orderBy(*order), db, http)]
-    shared = entries.sparkSession.sparkContext.broadcast((*facts, {r[0]: r[1] for r in components.collect()}))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tracer = Tracer(*shared.value, framework, max_depth)
-        for batch in batches:
-            rows = []
-            for e in batch.itertuples():
-                steps, unresolved = tracer.trace(e.file_path, e.class_name, e.method_name, e.start_line, e.end_line)
-                rows += [{"flow_id": e.id, "unresolved": False, **s} for s in steps]
-                rows += [{"flow_id": e.id, "unresolved": True, "step_index": k, "component_type": None, "class_name": None, "method_name": call, "source_file": e.file_path, "start_line": 0, "end_line": 0, "enrichments": []} for k, call in enumerate(unresolved)]
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in STEP_SCHEMA.split(", ")])
-
-    return entries.select("id", "file_path", "class_name", "method_name", F.coalesce("start_line", F.lit(0)).alias("start_line"), F.coalesce("end_line", F.lit(0)).alias("end_line")).mapInPandas(run, STEP_SCHEMA)
+    reached = written(_reached(entries, edges, max_depth), "trace-nodes")
+    order = [c for c in ("source_file", "source_class", "source_method", "ordinal", "target_class", "target_method", "arg_count") if c in edges.columns]
+    e = edges.select("*", F.struct(*order).alias("_order"))
+    near = lambda on: reached.select("root", *on).distinct()
+    by_file = e.join(near(["file", "method"]), (F.col("source_file") == F.col("file")) & (F.col("source_method") == F.col("method"))).drop("file", "method")
+    by_class = e.join(near(["class", "method"]), (F.col("source_class") == F.col("class")) & (F.col("source_method") == F.col("method"))).drop("class", "method")
+    own = written(by_file.unionByName(by_class).dropDuplicates(), "trace-edges")
+    classes = own.select("root", F.col("target_class").alias("class")).unionByName(near(["class"])).distinct()
+    accesses = db.join(classes, db.class_name == classes["class"]).drop("class")
+    at = reached.select("root", F.col("file").alias("source_file"), F.col("method").alias("source_method")).distinct()
+    calls = http.join(at, ["source_file", "source_method"])
+    names = own.select("root", F.explode(F.array("target_file", "target_class")).alias("key")).unionByName(near(["file"]).select("root", F.col("file").alias("key"))).distinct()
+    kinds = names.join(components.select(F.col(components.columns[0]).alias("key"), F.col(components.columns[1]).alias("type")), "key").select("root", "key", "type")
+    starts = entries.select(F.col("id").alias("root"), "file_path", "class_name", "method_name", F.coalesce("start_line", F.lit(0)).alias("start_line"), F.coalesce("end_line", F.lit(0)).alias("end_line"))
+    parts = None
+    for kind, df in (("entry", starts), ("edge", own), ("db", accesses), ("http", calls), ("component", kinds)):
+        one = df.select("root", F.lit(kind).alias("kind"), F.to_json(F.struct(*[c for c in df.columns if c != "root"]), {"ignoreNullFields": "false"}).alias("body"))
+        parts = one if parts is None else parts.unionByName(one)
+
+    def trace(rows: pd.DataFrame) -> pd.DataFrame:
+        of = {k: [json.loads(b) for b in rows["body"][rows["kind"] == k]] for k in ("entry", "edge", "db", "http", "component")}
+        text = lambda x: json.dumps(x, sort_keys=True)
+        found = sorted(of["edge"], key=lambda x: ([(v is not None, v) for v in x["_order"].values()], text(x)))
+        tracer = Tracer(found, sorted(of["db"], key=text), sorted(of["http"], key=text), {c["key"]: c["type"] for c in of["component"]}, framework, max_depth)
+        out = []
+        for entry in sorted(of["entry"], key=text):
+            steps, unresolved = tracer.trace(entry["file_path"], entry["class_name"], entry["method_name"], entry["start_line"], entry["end_line"])
+            out += [{"flow_id": rows["root"].iloc[0], "unresolved": False, **s} for s in steps]
+            out += [{"flow_id": rows["root"].iloc[0], "unresolved": True, "step_index": k, "component_type": None, "class_name": None, "method_name": call, "source_file": entry["file_path"], "start_line": 0, "end_line": 0, "enrichments": []} for k, call in enumerate(unresolved)]
+        return pd.DataFrame(out, columns=[f.split()[0] for f in STEP_SCHEMA.split(", ")])
+
+    return parts.groupBy("root").applyInPandas(trace, STEP_SCHEMA)
 
 
 def waves(roots: DataFrame, dependencies: DataFrame, task: str, needs: str, hops: int = 3) -> DataFrame:

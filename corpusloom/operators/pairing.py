@@ -30,8 +30,44 @@ def test_candidates(path: Column, suffixes: tuple[str, ...] = ("Test", "Tests",
     return F.array(*beside, *trees)
 
 
-def is_test_file(path: Column, suffixes: tuple[str, ...] = ("Test", "Tests", "IT")) -> Column:
-    return path.contains("/src/test/") | path.contains("/src/integration-test/") | path.rlike(r"(?:" + "|".join(suffixes) + r")\.java$")
+#: Endings and beginnings of test class names.
+SUFFIXES, PREFIXES = ("Test", "Tests", "IT"), ("Test",)
+
+
+def _named_as_test(fqn: Column) -> Column:
+    name = F.element_at(F.split(fqn, r"\."), -1)
+    return name.rlike(r"(?:" + "|".join(SUFFIXES) + r")$") | name.rlike(r"^(?:" + "|".join(PREFIXES) + ")")
+
+
+def _under(path: Column, folder: str) -> Column:
+    return F.concat(F.lit("/"), path).contains(folder)
+
+
+def is_test_class(path: Column, fqn: Column) -> Column:
+    """Whether a file is a test: by its folder, or by the name of its first type."""
+    return _under(path, "/src/test/") | _under(path, "/src/integration-test/") | _named_as_test(fqn)
+
+
+def test_index(file_types: DataFrame, imports: DataFrame, library: list[str]) -> DataFrame:
+    """(fqn, test_file): the classes a test file imports, and those its name stands for.
+
+    Test files are those named so outside of src/main.  Library classes, wildcard and
+    static imports say nothing.
+    """
+    tests = file_types.where(~_under(F.col("file_path"), "/src/main/") & _named_as_test(F.col("fqn"))).select(F.col("file_path").alias("test_file"), "fqn")
+    foreign = F.col("fqn").rlike("^(?:" + "|".join(p.replace(".", r"\.") for p in library) + ")")
+    imported = imports.where(~foreign & ~F.col("fqn").endswith(".*")).select(F.col("file_path").alias("test_file"), "fqn").join(tests.select("test_file"), "test_file", "left_semi")
+    package, name = F.regexp_extract("fqn", r"^(.*\.)?([^.]*)$", 1), F.element_at(F.split("fqn", r"\."), -1)
+    bare = [F.when(name.endswith(s) & (F.length(name) > len(s)), F.concat(package, F.expr(f"substring(element_at(split(fqn, '[.]'), -1), 1, length(element_at(split(fqn, '[.]'), -1)) - {len(s)})"))) for s in SUFFIXES]
+    bare += [F.when(name.startswith(p) & (F.length(name) > len(p)), F.concat(package, F.expr(f"substring(element_at(split(fqn, '[.]'), -1), {len(p) + 1})"))) for p in PREFIXES]
+    inferred = tests.select("test_file", F.explode(F.array_compact(F.array(*bare))).alias("fqn"))
+    return imported.select("fqn", "test_file").unionByName(inferred.select("fqn", "test_file")).distinct()
+
+
+def first_tests(file_types: DataFrame, index: DataFrame) -> DataFrame:
+    """(source_file, test_file): of each file that is no test, the first test by path that the index has for its class."""
+    sources = file_types.where(~is_test_class(F.col("file_path"), F.col("fqn"))).select(F.col("file_path").alias("source_file"), "fqn")
+    return sources.join(index.groupBy("fqn").agg(F.min("test_file").alias("test_file")), "fqn").select("source_file", "test_file")
 
 
 def resolve_paths(names: DataFrame, name: str, files: DataFrame, path: str = "path") -> DataFrame:

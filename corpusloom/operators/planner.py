@@ -37,6 +37,22 @@ def finding_flags(findings: DataFrame, task: str, kind: str, wanted: dict[str, l
     return findings.groupBy(task).agg(*flags, *counts)
 
 
+#: Finding types by kind of database access.
+GRANULAR_TYPES = {"SPRING_DATA": "SPRING_DATA_INTERFACE", "STORED_PROCEDURE": "DATABASE_PROCEDURE_CALL", "NATIVE_SQL": "NATIVE_SQL_QUERY", "JPQL_HQL": "JPQL_HQL_QUERY"}
+
+
+def reclassified(accesses: DataFrame, validators: DataFrame) -> DataFrame:
+    """(file_path, class_name, finding_type): finding types that facts get besides their own.
+
+    Only some kinds of access have one; a validator does if it is no framework's own and
+    its isValid has a body.
+    """
+    kind = F.col("type")
+    mapped = F.coalesce(*[F.when(kind == k, v) for k, v in GRANULAR_TYPES.items()]).alias("finding_type")
+    own = validators.where("NOT is_built_in AND trim(is_valid_body) <> ''")
+    return accesses.where(kind.isin(*GRANULAR_TYPES)).select("file_path", "class_name", mapped).unionByName(own.select("file_path", "class_name", F.lit("CONSTRAINT_VALIDATOR").alias("finding_type")))
+
+
 #: The finding types that make a task a flow.
 FLOW_TYPES = ["ENDPOINT", "SCHEDULED_TASK", "EVENT_LISTENER", "KAFKA_LISTENER", "RABBITMQ_LISTENER", "ACTIVEMQ_LISTENER", "SERVLET", "TEMPLATE_FORM"]
 

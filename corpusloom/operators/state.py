@@ -96,3 +96,24 @@ def set_status(tasks: DataFrame, findings: DataFrame, where: Column, status: str
 def split_cached(wanted: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(rows the cache answers, rows still to be computed)."""
     return wanted.select(key).join(cache, key), wanted.join(cache.select(key), key, "left_anti")
+
+
+def preview(rows: DataFrame, by: str, item: str, n: int = 3) -> DataFrame:
+    """(by, first, n): the first n items of each group, sorted, and how many there are.
+
+    Groups stay small on the way: each task hands on the least n items of a group.
+    """
+    numbered = rows.withColumn("_task", F.spark_partition_id()).groupBy(by, "_task").agg(F.slice(F.array_sort(F.collect_list(item)), 1, n).alias("_least"), F.count("*").alias("_n"))
+    return numbered.groupBy(by).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_least"))), 1, n).alias("first"), F.sum("_n").alias("n"))
+
+
+def group_key(rows: DataFrame, by: str, item: str) -> DataFrame:
+    """(by, cache_key): SHA-256 of the group's sorted items, comma-joined, whatever order they come in."""
+    ordered = F.array_join(F.array_sort(F.collect_list(F.col(item).cast("string"))), ",")
+    return rows.groupBy(by).agg(F.sha2(ordered.cast("binary"), 256).alias("cache_key"))
+
+
+def merged(rows: DataFrame, key: list[str], keep_first: dict[str, str], collect: list[str]) -> DataFrame:
+    """One row per key: of columns in keep_first the value with the least order column, of the others all values."""
+    kept = [F.min_by(c, order).alias(c) for c, order in keep_first.items()]
+    return rows.groupBy(*key).agg(*kept, *(F.collect_list(c).alias(c) for c in collect))

@@ -1,38 +1,13 @@
-"""Every query of the engine by name, and the SQL that checks it."""
+"""Queries of the relational operators over the star schema, and the SQL that checks them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import hashing, scoring, text
 from corpusloom.operators import graph, links, pairing, planner, resolve, state
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its oracle."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def joined(items: Column, by: str = "|") -> Column:
-    return F.array_join(items, by)
-
+from corpusloom.plans.registry import ORACLES, QUERIES, joined, query, table  # noqa: F401  read by the entry
 
 # --- identity and text -----------------------------------------------------------------
 
@@ -77,7 +52,7 @@ def slugify(spark, sf):
     return table(spark, sf, "part").select("p_name", text.slugify(F.col("p_name")).alias("slug")).distinct()
 
 
-@query()
+@query("SELECT p_partkey, lower(to_hex(list_reduce(list_concat([CAST(0 AS BIGINT)], list_transform(string_split(p_name, ''), lambda x: CAST(unicode(x) AS BIGINT))), lambda h, x: (h * 31 + x) % 4294967296))) AS short_id FROM part")
 def short_id(spark, sf):
     return table(spark, sf, "part").select("p_partkey", hashing.short_id(F.col("p_name")).alias("short_id"))
 
@@ -165,59 +140,49 @@ def _page_calls(spark, sf) -> tuple[DataFrame, DataFrame]:
 @query(f"SELECT page_id, url, CASE WHEN score > 0 THEN path END AS endpoint, score AS confidence, CASE WHEN score > 0 THEN 'RESOLVED' ELSE 'PENDING' END AS status FROM ({_scores_sql('url')}) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ordinal) = 1")
 def best_link_match(spark, sf):
     calls, ends = _page_calls(spark, sf)
-    found = links.best_match(calls, ends, "page_id", "path", [F.upper("verb") == F.upper("http_method")], scoring.url_confidence(F.col("url"), F.col("path")), "ordinal")
+    found = links.best_match(calls, ends, "page_id", "path", [F.upper("verb") == F.upper("http_method")], scoring.url_confidence(F.col("url"), F.col("path")), "ordinal", keys=links.segment_keys(F.col("url"), F.col("path")))
     return found.drop("verb")
 
 
 @query(f"SELECT page_id, url, score AS confidence, path AS endpoint FROM ({_scores_sql('template')}) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ordinal) = 1 AND score >= 0.5")
 def template_match(spark, sf):
     calls, ends = _page_calls(spark, sf)
-    return links.best_match(calls, ends, "page_id", "path", [F.upper("verb") == F.upper("http_method")], scoring.template_confidence(F.col("url"), F.col("path")), "ordinal", least=0.5).drop("verb")
+    return links.best_match(calls, ends, "page_id", "path", [F.upper("verb") == F.upper("http_method")], scoring.template_confidence(F.col("url"), F.col("path")), "ordinal", least=0.5, keys=links.segment_keys(F.col("url"), F.col("path"), ends=True)).drop("verb")
 
 
 # --- links ----------------------------------------------------------------------------------
 
 
 @query("""
-WITH p AS (SELECT s_suppkey AS producer, s_nationkey AS topic FROM supplier WHERE s_acctbal > 5000),
-c AS (SELECT c_custkey AS consumer, c_nationkey AS topic FROM customer WHERE c_acctbal > 9000)
+WITH p AS (SELECT s_suppkey AS producer, s_suppkey * 2 AS topic FROM supplier),
+c AS (SELECT c_custkey AS consumer, unnest(list_distinct([c_custkey // 15, c_custkey // 7])) AS topic FROM customer),
+linked AS (SELECT DISTINCT consumer FROM c WHERE topic IN (SELECT topic FROM p))
 SELECT topic, producer, consumer, 'RESOLVED' AS status FROM p JOIN c USING (topic)
 UNION ALL SELECT topic, producer, NULL, 'PENDING' FROM p WHERE topic NOT IN (SELECT topic FROM c)
-UNION ALL SELECT topic, NULL, consumer, 'PENDING' FROM c WHERE topic NOT IN (SELECT topic FROM p)""")
+UNION ALL SELECT topic, NULL, consumer, 'PENDING' FROM c WHERE consumer NOT IN (SELECT consumer FROM linked)""")
 def topic_links(spark, sf):
-    producers = table(spark, sf, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("producer"), F.col("s_nationkey").alias("topic"))
-    consumers = table(spark, sf, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("consumer"), F.array("c_nationkey").alias("topics"))
+    producers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("producer"), (F.col("s_suppkey") * 2).alias("topic"))
+    consumers = table(spark, sf, "customer").select(F.col("c_custkey").alias("consumer"), F.expr("array_distinct(array(c_custkey DIV 15, c_custkey DIV 7))").alias("topics"))
     return links.match_links(producers, consumers, "producer", "consumer")
 
 
 @query("""
-WITH p AS (SELECT DISTINCT p_brand AS producer, split_part(p_type, ' ', 1) AS topic FROM part WHERE p_size < 5 AND p_brand LIKE 'Brand#1%'),
-c AS (SELECT p_partkey AS consumer, unnest(list_distinct(string_split(p_type, ' '))) AS topic FROM part WHERE p_size > 45),
+WITH p AS (SELECT DISTINCT p_brand AS producer, split_part(p_type, ' ', 1) AS topic FROM part),
+c AS (SELECT p_partkey AS consumer, unnest(list_distinct(string_split(p_type, ' ')[1 + p_partkey % 2:3])) AS topic FROM part),
 linked AS (SELECT DISTINCT consumer FROM c WHERE topic IN (SELECT topic FROM p))
 SELECT topic, producer, consumer, 'RESOLVED' AS status FROM p JOIN c USING (topic)
 UNION ALL SELECT topic, producer, NULL, 'PENDING' FROM p WHERE topic NOT IN (SELECT topic FROM c)
 UNION ALL SELECT topic, NULL, consumer, 'PENDING' FROM c WHERE consumer NOT IN (SELECT consumer FROM linked)""")
 def multi_topic_links(spark, sf):
     part = table(spark, sf, "part")
-    producers = part.where("p_size < 5 AND p_brand LIKE 'Brand#1%'").select(F.col("p_brand").alias("producer"), F.split("p_type", " ")[0].alias("topic")).distinct()
-    consumers = part.where("p_size > 45").select(F.col("p_partkey").alias("consumer"), F.array_distinct(F.split("p_type", " ")).alias("topics"))
+    producers = part.select(F.col("p_brand").alias("producer"), F.split("p_type", " ")[0].alias("topic")).distinct()
+    consumers = part.select(F.col("p_partkey").alias("consumer"), F.array_distinct(F.slice(F.split("p_type", " "), (1 + F.col("p_partkey") % 2).cast("int"), F.lit(3))).alias("topics"))
     return links.match_links(producers, consumers, "producer", "consumer")
 
 
 @query("SELECT conv_id, turn, role AS source, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS target FROM conversations QUALIFY target IS NOT NULL")
 def consecutive_edges(spark, sf):
-    c = table(spark, sf, "conversations")
-    from pyspark.sql import Window
-
-    following = F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return c.select("conv_id", "turn", F.col("role").alias("source"), following.alias("target")).where("target IS NOT NULL")
-
-
-@query("SELECT DISTINCT a.l_orderkey AS source, b.l_orderkey AS target FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey AND a.l_orderkey <> b.l_orderkey")
-def cross_flow(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct()
-    other = li.withColumnRenamed("l_orderkey", "target")
-    return li.join(other, ["l_partkey", "l_suppkey"]).where("l_orderkey <> target").select(F.col("l_orderkey").alias("source"), "target").distinct()
+    return links.consecutive_edges(table(spark, sf, "conversations"), "conv_id", "turn", "role")
 
 
 @query("SELECT l.url AS page, m.url AS target FROM (SELECT DISTINCT path AS url FROM (SELECT " + _NORMAL_SQL.format(_PATH_SQL.format("url")) + " AS path FROM pages)) l JOIN (VALUES ('/en/{id}'), ('/de/{id}')) m(url) ON len(string_split(l.url, '/')) = len(string_split(m.url, '/')) AND string_split(l.url, '/')[2] = string_split(m.url, '/')[2]")
@@ -326,23 +291,22 @@ UNION ALL SELECT w.conv_id, c.turn, w.depth + 1 FROM walk w JOIN conversations c
 SELECT DISTINCT conv_id, turn, CAST(depth AS BIGINT) AS depth FROM walk""")
 def flow_trace_turns(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn").distinct()
-    c.createOrReplaceTempView("_turns")
-    return spark.sql("""
-        WITH RECURSIVE walk(conv_id, turn, depth) AS (
-          SELECT conv_id, turn, 0L FROM _turns WHERE turn = 0
-          UNION ALL SELECT w.conv_id, c.turn, w.depth + 1 FROM walk w JOIN _turns c ON c.conv_id = w.conv_id AND c.turn = w.turn + 1 WHERE w.depth < 4)
-        SELECT DISTINCT conv_id, turn, depth FROM walk""")
+    node = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
+    edges = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.lit(True).alias("_next")), ["conv_id", "turn"]).select(node(F.col("turn")).alias("s"), node(F.col("turn") + 1).alias("t"))
+    found = graph.levels(c.where("turn = 0").select(node(F.col("turn")).alias("root")), edges, "s", "t", 4)
+    part = lambda i, name: F.split("node", ":")[i].cast(c.schema[name].dataType).alias(name)
+    return found.select(part(0, "conv_id"), part(1, "turn"), "depth")
 
 
 @query("""
-WITH e AS (SELECT 'c' || c_custkey AS s, 'n' || c_nationkey AS t FROM customer WHERE c_custkey <= 50
- UNION SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders WHERE o_custkey <= 50
+WITH e AS (SELECT 'c' || c_custkey AS s, 'n' || c_nationkey AS t FROM customer
+ UNION SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders
  UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
 w1 AS (SELECT s AS root, t AS node FROM e WHERE s LIKE 'o%'), w2 AS (SELECT DISTINCT root, t AS node FROM w1 JOIN e ON s = node), w3 AS (SELECT DISTINCT root, t AS node FROM w2 JOIN e ON s = node)
 SELECT DISTINCT s AS root, s AS node, CAST(0 AS BIGINT) AS depth FROM e WHERE s LIKE 'o%' UNION ALL SELECT DISTINCT root, node, CAST(1 AS BIGINT) FROM w1 UNION ALL SELECT root, node, CAST(2 AS BIGINT) FROM w2 UNION ALL SELECT root, node, CAST(3 AS BIGINT) FROM w3""")
 def flow_trace_typed(spark, sf):
-    pair = lambda name, s, sk, t, tk, few: table(spark, sf, name).where(few).select(F.concat(F.lit(s), F.col(sk).cast("string")).alias("s"), F.concat(F.lit(t), F.col(tk).cast("string")).alias("t"))
-    edges = pair("customer", "c", "c_custkey", "n", "c_nationkey", "c_custkey <= 50").unionByName(pair("orders", "o", "o_orderkey", "c", "o_custkey", "o_custkey <= 50")).unionByName(pair("nation", "n", "n_nationkey", "r", "n_regionkey", "true")).distinct()
+    pair = lambda name, s, sk, t, tk: table(spark, sf, name).select(F.concat(F.lit(s), F.col(sk).cast("string")).alias("s"), F.concat(F.lit(t), F.col(tk).cast("string")).alias("t"))
+    edges = pair("customer", "c", "c_custkey", "n", "c_nationkey").unionByName(pair("orders", "o", "o_orderkey", "c", "o_custkey")).unionByName(pair("nation", "n", "n_nationkey", "r", "n_regionkey")).distinct()
     return graph.levels(edges.where("s LIKE 'o%'").select("s"), edges, "s", "t", 5)
 
 
@@ -432,9 +396,13 @@ def mermaid_chains(spark, sf):
     return steps.where(F.size("steps") > 1).select("l_orderkey", render.chain(F.col("steps")).alias("mermaid"))
 
 
-@query()
+@query("""SELECT CAST(doc_id AS VARCHAR) AS task_id, '{"task_id":"' || doc_id || '","file_path":"src/main/java/Doc' || doc_id || '.java","summary":"Dry run: no analysis was made.","business_rules":[{"id":"BR-1","text":"Placeholder rule"}],"dependencies":[],"http_calls":[],"edge_cases":[],"test_file":"src/test/java/Doc' || doc_id || 'Test.java","confidence":0.5}' AS document FROM documents""")
 def enriched_stub(spark, sf):
     from corpusloom.operators import enrich
 
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("task_id"), F.concat(F.lit("src/main/java/Doc"), F.col("doc_id").cast("string"), F.lit(".java")).alias("file_path"))
     return enrich.stub(docs).select("task_id", F.to_json("document").alias("document"))
+
+
+# The other catalogues register their queries when they are loaded.
+from corpusloom.plans import extraction_catalog, operator_catalog  # noqa: E402, F401

@@ -37,51 +37,83 @@ def nested_validators(validators: DataFrame) -> DataFrame:
     return validators.groupBy("file_path", "class_name").agg(F.array_sort(F.collect_list(F.struct("element_name", "annotation_type", "is_built_in", "is_valid_body"))).alias("constraints"))
 
 
-def json_index(relations: dict[str, DataFrame], links: dict[str, DataFrame], target: str = "target_name") -> DataFrame:
-    """One JSON text per target with an array for each relation that has rows, and one for the links.
+def append_metric(metric: DataFrame, path: str) -> None:
+    """Metrics are only ever added."""
+    metric.withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(path)
 
-    Empty arrays become null and to_json leaves nulls out.  A target's facts meet in one
-    row, as the document asks for; facts outside every target (null) are left out.
-    """
+
+def metrics(spark: SparkSession, path: str) -> DataFrame:
+    return read_table(spark, path)
+
+
+def index_rows(relations: dict[str, DataFrame], target: str = "target_name") -> DataFrame:
+    """(target, relation, body): a row of JSON for each fact that lies in a target; nulls are left out."""
     out = None
     for name, df in relations.items():
-        body = F.struct(*[c for c in df.columns if c != target])
-        one = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.array_sort(F.collect_list(F.to_json(body))).alias(name))
-        out = one if out is None else out.join(one, target, "full")
-    parts = [F.concat(F.lit(f'"{n}":['), F.array_join(n, ","), F.lit("]")) for n in relations]
-    per = out.select(F.concat(F.lit('{"name":'), F.to_json(F.struct(F.col(target).alias("n"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(target).alias("n")))) - 6), F.lit(","), F.concat_ws(",", *parts), F.lit("}")).alias("document"), F.col(target).alias("section"))
-    for name, df in links.items():
-        got = df.agg(F.array_sort(F.collect_list(F.to_json(F.struct(*df.columns)))).alias("rows")).where("size(rows) > 0")
-        per = per.unionByName(got.select(F.concat(F.lit("["), F.array_join("rows", ","), F.lit("]")).alias("document"), F.lit(f"links:{name}").alias("section")))
-    return per
-
-
-def write_index(index: DataFrame, path: str, generated_at: str) -> None:
-    """The documents of json_index as one file; targets and link kinds are few."""
-    rows = {r.section: json.loads(r.document) for r in index.collect()}
-    body = {"version": MANIFEST_VERSION, "generated_at": generated_at, "targets": [rows[k] for k in sorted(rows) if not k.startswith("links:")]}
-    body |= {k.removeprefix("links:"): rows[k] for k in sorted(rows) if k.startswith("links:")}
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(body, f, indent=2, ensure_ascii=False)
+        body = F.to_json(F.struct(*[c for c in df.columns if c != target])).alias("body")
+        one = df.where(F.col(target).isNotNull()).select(F.col(target).alias("target_name"), F.lit(name).alias("relation"), body)
+        out = one if out is None else out.unionByName(one)
+    return out
+
 
+def write_index(relations: dict[str, DataFrame], links: dict[str, DataFrame], path: str, generated_at: str) -> None:
+    """One JSON document: targets with an array for each relation that has rows, and arrays of links; empty ones are left out.
 
-def manifest(features: DataFrame, flows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row per feature: its part of the manifest as JSON, with empty strings as null."""
+    Rows come sorted from the executors, one partition at a time, and are written as they come.
+    """
+    rows = index_rows(relations).orderBy("target_name", "relation", "body")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f'{{"version": {json.dumps(MANIFEST_VERSION)}, "generated_at": {json.dumps(generated_at)}, "targets": [')
+        at: tuple = (None, None)
+        for r in rows.toLocalIterator():
+            if r.target_name != at[0]:
+                f.write(("" if at[0] is None else "]},\n") + f'{{"name": {json.dumps(r.target_name)}')
+            if (r.target_name, r.relation) != at:
+                f.write(("]" if r.target_name == at[0] else "") + f', {json.dumps(r.relation)}: [{r.body}')
+            else:
+                f.write(",\n" + r.body)
+            at = r.target_name, r.relation
+        f.write("]" if at[0] is None else "]}]")
+        for name, df in links.items():
+            first = True
+            for r in df.select(F.to_json(F.struct(*df.columns)).alias("body")).orderBy("body").toLocalIterator():
+                f.write((f', {json.dumps(name)}: [' if first else ",\n") + r.body)
+                first = False
+            if not first:
+                f.write("]")
+        f.write("}\n")
+
+
+def manifest(features: DataFrame, flows: DataFrame, nodes: DataFrame, edges: DataFrame, relationships: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
+    """One row per feature: its part of the manifest as JSON, with empty strings as null.
+
+    relationships: with the feature they are attached to; rules: (flow_id, rules, edge_cases).
+    """
     by_flow = nodes.groupBy("flow_id").agg(F.array_sort(F.collect_list(F.struct("node", "component_type", "label", "source_ref"))).alias("nodes"))
     linked = edges.groupBy("flow_id").agg(F.array_sort(F.collect_list(F.struct("source", "target", "link_type"))).alias("edges"))
     blank = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
     each = flows.join(by_flow, "flow_id", "left").join(linked, "flow_id", "left").join(features.select("flow_id", "feature_id"), "flow_id")
-    flow = F.struct("flow_id", "ep_type", blank("http_method"), blank("path"), blank("class_name"), blank("method_name"), "complexity", "confidence", F.coalesce("nodes", F.array().cast(by_flow.schema["nodes"].dataType)).alias("nodes"), F.coalesce("edges", F.array().cast(linked.schema["edges"].dataType)).alias("edges"))
-    return each.groupBy("feature_id").agg(F.min("feature").alias("name"), F.array_sort(F.collect_list(flow)).alias("flows")).select("feature_id", F.to_json(F.struct(F.lit(MANIFEST_VERSION).alias("version"), "feature_id", "name", "flows")).alias("document"))
+    said = [] if rules is None else ["rules", "edge_cases"]
+    if rules is not None:
+        each = each.join(rules, "flow_id", "left")
+    flow = F.struct("flow_id", *said, "ep_type", blank("http_method"), blank("path"), blank("class_name"), blank("method_name"), "complexity", "confidence", F.coalesce("nodes", F.array().cast(by_flow.schema["nodes"].dataType)).alias("nodes"), F.coalesce("edges", F.array().cast(linked.schema["edges"].dataType)).alias("edges"))
+    grouped = each.groupBy("feature_id").agg(F.min("feature").alias("name"), F.collect_list(flow).alias("flows")).withColumn("flows", F.array_sort("flows", lambda a, b: F.when(a.flow_id < b.flow_id, -1).when(a.flow_id > b.flow_id, 1).otherwise(0)))
+    related = []
+    if relationships is not None:
+        by_feature = relationships.groupBy(F.col("feature").alias("name")).agg(F.array_sort(F.collect_list(F.struct("source_flow", "target_flow", "type", "via"))).alias("relationships"))
+        grouped, related = grouped.join(by_feature, "name", "left"), ["relationships"]
+    return grouped.select("feature_id", F.to_json(F.struct(F.lit(MANIFEST_VERSION).alias("version"), "feature_id", "name", "flows", *related)).alias("document"))
 
 
 def markdown(features: DataFrame, flows: DataFrame, steps: DataFrame, orphans: DataFrame, relationships: DataFrame) -> str:
     """The spec: contents, features with their flows and steps, relationships, orphans, flows set aside."""
     row = render.table_row(F.col("step_index"), F.col("component_type"), F.concat_ws(".", "class_name", "method_name"), F.col("source_file"))
-    tables = steps.where("NOT unresolved").groupBy("flow_id").agg(F.array_sort(F.collect_list(F.struct("step_index", row.alias("row")))).alias("rows")).select("flow_id", F.array_join(F.col("rows.row"), "\n").alias("table"))
+    label = F.concat_ws(".", "class_name", "method_name")
+    ordered = steps.where("NOT unresolved").groupBy("flow_id").agg(F.array_sort(F.collect_list(F.struct("step_index", row.alias("row"), label.alias("label")))).alias("rows"))
+    tables = ordered.select("flow_id", F.array_join(F.col("rows.row"), "\n").alias("table"), render.chain(F.col("rows"), "step_index").alias("chain"))
     each = flows.join(tables, "flow_id", "left")
     title = F.coalesce(F.when(F.col("ep_type") == "HTTP", F.concat_ws(" ", "http_method", "path")), F.concat_ws(".", "class_name", "method_name"))
-    body = F.concat(F.lit("### "), title, F.lit("\n\nComplexity: "), F.col("complexity"), F.lit("\n\n| # | Component | Call | Source |\n|-|-|-|-|\n"), F.coalesce("table", F.lit("")))
+    body = F.concat(F.lit("### "), title, F.lit("\n\nComplexity: "), F.col("complexity"), F.lit("\n\n| # | Component | Call | Source |\n|-|-|-|-|\n"), F.coalesce("table", F.lit("")), F.coalesce(F.concat(F.lit("\n\n```mermaid\ngraph LR\n"), "chain", F.lit("\n```")), F.lit("")))
     parts = {r.feature: r.text for r in each.where("NOT quarantined").withColumn("_t", title).groupBy("feature").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_t", body.alias("b")))), lambda x: x.b), "\n\n").alias("text")).collect()}
     lines = ["# Specification", "", *[f"- {f}" for f in sorted(parts)], ""]
     for f in sorted(parts):

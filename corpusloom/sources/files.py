@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,8 +64,11 @@ def parse_manifest(text: str) -> dict:
     return block(0, lines[0][0])[0] if lines else {}
 
 
-def validate_manifest(manifest: dict) -> list[tuple[str, str]]:
-    """(level, message) of each fault; no ERROR means that it can be scanned."""
+def validate_manifest(manifest: dict, exists: Callable[[str], bool] | None = None) -> list[tuple[str, str]]:
+    """(level, message) of each fault; no ERROR means that it can be scanned.
+
+    exists: tells whether a path is there; without it paths are not looked at.
+    """
     found: list[tuple[str, str]] = []
     targets = manifest.get("targets")
     if not isinstance(targets, list) or not targets:
@@ -77,6 +81,8 @@ def validate_manifest(manifest: dict) -> list[tuple[str, str]]:
             if not target.get(name):
                 found.append(("ERROR", f"targets[{i}].{name} is required"))
         found += [("WARNING", f"targets[{i}].{name} is not known") for name in sorted(set(target) - TARGET_FIELDS)]
+        if exists and target.get("path") and not exists(target["path"]):
+            found.append(("WARNING", f"targets[{i}].path {target['path']} does not exist"))
     return found
 
 
@@ -114,6 +120,11 @@ def split_excluded(files: DataFrame, relative: str, globs: list[str]) -> tuple[D
     return flagged.where("NOT excluded").drop("excluded"), flagged.where("excluded").drop("excluded"), flagged.groupBy("excluded").agg(F.count("*").alias("n"))
 
 
+def any_case(ending: str) -> str:
+    """A glob for names that end so, in letters of either case."""
+    return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ending)
+
+
 def read_files(spark: SparkSession, targets: list[ScanTarget], pattern: str = "*.java") -> DataFrame:
     """(path, relative, target_name, content, content_hash): each file once, under its first target.
 
@@ -142,3 +153,9 @@ def language_level(version: str | None) -> int:
     """The language level of a Java version: 8, 11, 14 to 18, otherwise 17."""
     digits = re.sub(r"^1\.", "", str(version or "")).split(".")[0]
     return int(digits) if digits in {"8", "11", "14", "15", "16", "17", "18"} else 17
+
+
+def level_of(version: Column) -> Column:
+    """language_level as a column expression."""
+    digits = F.split(F.regexp_replace(F.coalesce(version, F.lit("")), r"^1\.", ""), r"\.")[0]
+    return F.when(digits.isin("8", "11", "14", "15", "16", "17", "18"), digits.try_cast("int")).otherwise(17)

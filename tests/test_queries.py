@@ -43,6 +43,6 @@ def test_rows_only_queries(spark):
 
 
 def test_no_python_and_no_cartesian_in_relational_plans(spark):
-    for name in ("topic_links", "call_resolution", "qualification", "upsert_tasks", "recovery_transition", "cross_flow"):
+    for name in ("topic_links", "call_resolution", "qualification", "upsert_tasks", "recovery_transition"):
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan, name
