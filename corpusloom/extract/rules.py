@@ -100,30 +100,44 @@ def view_name(t: Type, m: Method, seen: frozenset = frozenset()) -> str:
     return ""
 
 
+def spring_endpoints(t: Type) -> Iterator[dict]:
+    controller = t.annotation("Controller", "RestController")
+    if not controller:
+        return
+    base = (_mapping(t.annotations) or ("", [""]))[1][0]
+    for m in t.methods:
+        if not (mapped := _mapping(m.annotations)):
+            continue
+        of = lambda name, m=m: [p for p in m.params if any(a.name == name for a in p.annotations)]
+        named = lambda p, name: next(a for a in p.annotations if a.name == name).text("value", "name") or p.name
+        view = controller.name == "Controller" and not m.annotation("ResponseBody") and simple(m.type) in ("ModelAndView", "String", "View", "void")
+        for one in mapped[1]:
+            yield {
+                "http_method": mapped[0], "path": join_path(base, one), "controller_name": t.name, "method_name": m.name,
+                "path_variables": [named(p, "PathVariable") for p in of("PathVariable")], "query_parameters": [named(p, "RequestParam") for p in of("RequestParam")],
+                "serves_view": view, "view_name": view_name(t, m) if view else "", "request_bodies": [p.type for p in of("RequestBody")], "start_line": m.start, "end_line": m.end,
+            }
+
+
+def servlet_endpoints(t: Type) -> Iterator[dict]:
+    if not any(simple(x) == "HttpServlet" for x in t.extends):
+        return
+    at = t.annotation("WebServlet")
+    for m in t.methods:
+        if m.name in SERVLET_METHODS and len(m.params) == 2:
+            for one in (at.text("urlPatterns", "value") if at else "").split(","):
+                yield {"http_method": SERVLET_METHODS[m.name], "path": one, "controller_name": t.name, "method_name": m.name, "path_variables": [], "query_parameters": [], "serves_view": False, "view_name": "", "request_bodies": [], "start_line": m.start, "end_line": m.end}
+
+
+#: Endpoint detectors, asked for each type; more can be added.
+ENDPOINT_DETECTORS: list[Callable[[Type], Iterator[dict]]] = [spring_endpoints, servlet_endpoints]
+
+
 def endpoints(unit: Unit, path: str) -> Iterator[Fact]:
     for t in unit.all_types():
-        controller = t.annotation("Controller", "RestController")
-        if controller:
-            base = (_mapping(t.annotations) or ("", [""]))[1][0]
-            for m in t.methods:
-                if not (mapped := _mapping(m.annotations)):
-                    continue
-                of = lambda name, m=m: [p for p in m.params if any(a.name == name for a in p.annotations)]
-                named = lambda p, name: next(a for a in p.annotations if a.name == name).text("value", "name") or p.name
-                view = controller.name == "Controller" and not m.annotation("ResponseBody") and simple(m.type) in ("ModelAndView", "String", "View", "void")
-                for one in mapped[1]:
-                    yield "endpoint", {
-                        "http_method": mapped[0], "path": join_path(base, one), "controller_name": t.name, "method_name": m.name,
-                        "path_variables": [named(p, "PathVariable") for p in of("PathVariable")], "query_parameters": [named(p, "RequestParam") for p in of("RequestParam")],
-                        "serves_view": view, "view_name": view_name(t, m) if view else "", "request_bodies": [p.type for p in of("RequestBody")], "start_line": m.start, "end_line": m.end,
-                    }
-        if any(simple(x) == "HttpServlet" for x in t.extends):
-            at = t.annotation("WebServlet")
-            paths = (at.text("urlPatterns", "value") if at else "").split(",")
-            for m in t.methods:
-                if m.name in SERVLET_METHODS and len(m.params) == 2:
-                    for one in paths:
-                        yield "endpoint", {"http_method": SERVLET_METHODS[m.name], "path": one, "controller_name": t.name, "method_name": m.name, "path_variables": [], "query_parameters": [], "serves_view": False, "view_name": "", "request_bodies": [], "start_line": m.start, "end_line": m.end}
+        for detect in ENDPOINT_DETECTORS:
+            for fact in detect(t):
+                yield "endpoint", fact
 
 
 def schedules(unit: Unit, path: str) -> Iterator[Fact]:
@@ -193,92 +207,174 @@ def _db(kind: str, t: Type, m: Method | None, sql: str = "", table: str = "", pr
     return "db_access", {"type": kind, "sql": sql, "table_hint": table, "procedure_name": procedure, "method_name": m.name if m else "", "class_name": t.name, "entity_type": entity, "is_transaction_root": root, "start_line": m.start if m else t.start, "end_line": m.end if m else t.end, "param_count": count}
 
 
-def database(unit: Unit, path: str) -> Iterator[Fact]:
+def named_queries(t: Type, unit: Unit) -> Iterator[Fact]:
+    for a in t.annotations:
+        if a.name in ("NamedQuery", "NamedNativeQuery"):
+            yield _db("NATIVE_SQL" if "Native" in a.name else "JPQL_HQL", t, None, a.text("query"))
+        elif a.name in ("NamedQueries", "NamedNativeQueries"):
+            for q in re.findall(r'query="((?:\\.|[^"\\])*)"', a.values.get("value", "")):
+                yield _db("NATIVE_SQL" if "Native" in a.name else "JPQL_HQL", t, None, q)
+
+
+def spring_data(t: Type, unit: Unit) -> Iterator[Fact]:
     data = {n.rsplit(".", 1)[-1] for n, _, wild in unit.imports if n.startswith("org.springframework.data") and not wild}
     by_jdbc = any(n == "org.springframework.data.jdbc.repository.query.Query" for n, _, _ in unit.imports)
+    repository = next((x for x in t.extends if simple(x) in data), None) if t.kind == "interface" else None
+    if not repository:
+        return
+    args = split_top(repository.partition("<")[2].rpartition(">")[0])
+    entity = args[0] if args else ""
+    for m in t.methods:
+        if q := m.annotation("Query"):
+            native = q.values.get("nativeQuery") == "true" or by_jdbc
+            yield _db("NATIVE_SQL" if native else "JPQL_HQL", t, m, q.text("value"), entity=entity, count=len(m.params))
+        elif m.name in DERIVED_EXACT or m.name.startswith(tuple(DERIVED_PREFIXES)):
+            yield _db("SPRING_DATA", t, m, entity=entity, count=len(m.params))
+
+
+def transactions(t: Type, unit: Unit) -> Iterator[Fact]:
+    own = t.annotation("Transactional")
+    for m in t.methods:
+        if m.annotation("Transactional") or own and "public" in m.modifiers:
+            yield _db("TRANSACTION", t, m, root=True, count=len(m.params))
+
+
+def procedures(t: Type, unit: Unit) -> Iterator[Fact]:
+    for m in t.methods:
+        if p := m.annotation("Procedure"):
+            yield _db("STORED_PROCEDURE", t, m, procedure=p.text("name", "value", "procedureName"), count=len(m.params))
+
+
+def jdbc_template(t: Type, m: Method, c: Call) -> Fact | None:
+    scope, sql = c.scope.lower(), first_string(c)
+    return _db("JDBC_TEMPLATE", t, m, sql, _table(sql)) if ("jdbctemplate" in scope or "npjt" in scope) and c.name in JDBC_VERBS else None
+
+
+def raw_jdbc(t: Type, m: Method, c: Call) -> Fact | None:
+    scope, sql = c.scope.lower(), first_string(c)
+    prepared = c.name in ("prepareStatement", "prepareCall") and "conn" in scope
+    run = c.name in STATEMENT_VERBS and c.args and "jdbctemplate" not in scope and ("stmt" in scope or "statement" in scope)
+    return _db("RAW_JDBC", t, m, sql, _table(sql)) if prepared or run else None
+
+
+def _created(t: Type, m: Method, c: Call, native: tuple[str, ...], query: tuple[str, ...], other: str) -> Fact:
+    kind = "NATIVE_SQL" if c.name in native else "JPQL_HQL" if c.name in query else other
+    return _db(kind, t, m, first_string(c) if c.name.startswith("create") else "")
+
+
+def entity_manager(t: Type, m: Method, c: Call) -> Fact | None:
+    scope = c.scope.lower()
+    fits = ("entitymanager" in scope or scope == "em") and c.name in ENTITY_MANAGER_VERBS
+    return _created(t, m, c, ("createNativeQuery",), ("createQuery", "createNamedQuery"), "ENTITY_MANAGER") if fits else None
+
+
+def hibernate_session(t: Type, m: Method, c: Call) -> Fact | None:
+    fits = "session" in c.scope.lower() and c.name in SESSION_VERBS
+    return _created(t, m, c, ("createNativeQuery", "createSQLQuery"), ("createQuery",), "HIBERNATE_SESSION") if fits else None
+
+
+#: Database detectors of types, and of calls, of which the first that knows a call counts; more can be added.
+DB_TYPE_DETECTORS: list[Callable[[Type, Unit], Iterator[Fact]]] = [named_queries, spring_data, transactions, procedures]
+DB_CALL_DETECTORS: list[Callable[[Type, Method, Call], Fact | None]] = [jdbc_template, raw_jdbc, entity_manager, hibernate_session]
+
+
+def database(unit: Unit, path: str) -> Iterator[Fact]:
     for t in unit.all_types():
-        for a in t.annotations:
-            if a.name in ("NamedQuery", "NamedNativeQuery"):
-                yield _db("NATIVE_SQL" if "Native" in a.name else "JPQL_HQL", t, None, a.text("query"))
-            elif a.name in ("NamedQueries", "NamedNativeQueries"):
-                for q in re.findall(r'query="((?:\\.|[^"\\])*)"', a.values.get("value", "")):
-                    yield _db("NATIVE_SQL" if "Native" in a.name else "JPQL_HQL", t, None, q)
-        repository = next((x for x in t.extends if simple(x) in data), None) if t.kind == "interface" else None
-        if repository:
-            args = split_top(repository.partition("<")[2].rpartition(">")[0])
-            entity = args[0] if args else ""
-            for m in t.methods:
-                if q := m.annotation("Query"):
-                    native = q.values.get("nativeQuery") == "true" or by_jdbc
-                    yield _db("NATIVE_SQL" if native else "JPQL_HQL", t, m, q.text("value"), entity=entity, count=len(m.params))
-                elif m.name in DERIVED_EXACT or m.name.startswith(tuple(DERIVED_PREFIXES)):
-                    yield _db("SPRING_DATA", t, m, entity=entity, count=len(m.params))
-        own = t.annotation("Transactional")
+        for detect in DB_TYPE_DETECTORS:
+            yield from detect(t, unit)
         for m in t.methods:
-            if m.annotation("Transactional") or own and "public" in m.modifiers:
-                yield _db("TRANSACTION", t, m, root=True, count=len(m.params))
-            if p := m.annotation("Procedure"):
-                yield _db("STORED_PROCEDURE", t, m, procedure=p.text("name", "value", "procedureName"), count=len(m.params))
             for c in m.calls:
-                scope = c.scope.lower()
-                if c.created or not scope:
-                    continue
-                sql = first_string(c)
-                if ("jdbctemplate" in scope or "npjt" in scope) and c.name in JDBC_VERBS:
-                    yield _db("JDBC_TEMPLATE", t, m, sql, _table(sql))
-                elif c.name in ("prepareStatement", "prepareCall") and ("conn" in scope):
-                    yield _db("RAW_JDBC", t, m, sql, _table(sql))
-                elif c.name in STATEMENT_VERBS and c.args and "jdbctemplate" not in scope and ("stmt" in scope or "statement" in scope):
-                    yield _db("RAW_JDBC", t, m, sql, _table(sql))
-                elif ("entitymanager" in scope or scope == "em") and c.name in ENTITY_MANAGER_VERBS:
-                    kind = "NATIVE_SQL" if "Native" in c.name else "JPQL_HQL" if c.name in ("createQuery", "createNamedQuery") else "ENTITY_MANAGER"
-                    yield _db(kind, t, m, sql if c.name.startswith("create") else "")
-                elif "session" in scope and c.name in SESSION_VERBS:
-                    kind = "NATIVE_SQL" if c.name in ("createNativeQuery", "createSQLQuery") else "JPQL_HQL" if c.name == "createQuery" else "HIBERNATE_SESSION"
-                    yield _db(kind, t, m, sql if c.name.startswith("create") else "")
+                if not c.created and c.scope:
+                    found = next((f for detect in DB_CALL_DETECTORS if (f := detect(t, m, c))), None)
+                    if found:
+                        yield found
 
 
-def http_calls(unit: Unit, path: str) -> Iterator[Fact]:
-    def fact(verb: str, url: str, client: str, t: Type, m: Method) -> Fact:
-        return "http_call", {"method": verb, "url_pattern": url, "is_expression": "${" in url, "client_type": client, "encapsulated_in": m.name, "class_name": t.name}
+def _http(verb: str, url: str, client: str, t: Type, m: Method) -> Fact:
+    return "http_call", {"method": verb, "url_pattern": url, "is_expression": "${" in url, "client_type": client, "encapsulated_in": m.name, "class_name": t.name}
+
+
+def feign(t: Type, m: Method) -> Iterator[Fact]:
+    client = t.annotation("FeignClient")
+    if client and (mapped := _mapping(m.annotations)):
+        verb = "REQUEST" if m.annotation("RequestMapping") else mapped[0]
+        at = client.text("url").rstrip("/") + join_path("", mapped[1][0]) if client.text("url") else join_path(client.text("url", "path"), mapped[1][0])
+        yield _http(verb, at, "FEIGN", t, m)
+
+
+def http_exchange(t: Type, m: Method) -> Iterator[Fact]:
+    base = t.annotation("HttpExchange")
+    for a in m.annotations:
+        if a.name in EXCHANGES:
+            yield _http(EXCHANGES[a.name], join_path(base.text("url", "value") if base else "", a.text("url", "value")), "HTTP_EXCHANGE", t, m)
+
+
+def _argument(c: Call) -> str:
+    return unquote(c.args[0]) if c.args else ""
+
+
+def apache_request(t: Type, m: Method, c: Call) -> Fact | None:
+    return _http(APACHE_REQUESTS[c.name], _argument(c), "APACHE_HTTP_CLIENT", t, m) if c.created and c.name in APACHE_REQUESTS else None
+
+
+def rest_template(t: Type, m: Method, c: Call) -> Fact | None:
+    if "resttemplate" not in c.scope.lower() or c.name not in REST_TEMPLATE:
+        return None
+    verb = next((v for v in HTTP_VERBS if len(c.args) > 1 and v in c.args[1]), "EXCHANGE") if c.name == "exchange" else REST_TEMPLATE[c.name]
+    return _http(verb, _argument(c), "REST_TEMPLATE", t, m)
+
+
+def fluent_client(t: Type, m: Method, c: Call) -> Fact | None:
+    """WebClient and RestClient: client.verb().uri(...)."""
+    low = c.scope.lower()
+    if c.name not in ("get", "post", "put", "delete", "patch") or c.args or "webclient" not in low and "restclient" not in low:
+        return None
+    uri = next((d.args[0] for d in m.calls if d.name == "uri" and d.args and d.scope.startswith(f"{c.scope}.{c.name}()")), "")
+    return _http(c.name.upper(), unquote(uri), "WEB_CLIENT" if "webclient" in low else "REST_CLIENT", t, m)
 
+
+def java_http_client(t: Type, m: Method, c: Call) -> Fact | None:
+    if c.name not in ("send", "sendAsync") or "httpclient" not in c.scope.lower():
+        return None
+    made = re.search(r'HttpRequest\.newBuilder\((?:URI\.create\("([^"]*)"\))?\)(?:.*?\.uri\(URI\.create\("([^"]*)"\)\))?', m.text, re.S)
+    verb = next((v for v in HTTP_VERBS if f".{v}(" in m.text), "GET")
+    return _http(verb, (made[1] or made[2] or "") if made else "", "JAVA_NET_HTTP_CLIENT", t, m)
+
+
+def url_connection(t: Type, m: Method, c: Call) -> Fact | None:
+    made = re.search(r'new URL\("([^"]*)"', m.text) if c.name == "openConnection" else None
+    if not made:
+        return None
+    methods = [unquote(d.args[0]) for d in m.calls if d.name == "setRequestMethod" and d.args]
+    return _http(methods[-1] if methods else "GET", made[1], "HTTP_URL_CONNECTION", t, m)
+
+
+def apache_execute(t: Type, m: Method, c: Call) -> Fact | None:
+    return _http("EXECUTE", _argument(c), "APACHE_HTTP_CLIENT", t, m) if c.name == "execute" and "httpclient" in c.scope.lower() else None
+
+
+def ok_http(t: Type, m: Method, c: Call) -> Fact | None:
+    if c.name != "newCall" or "okhttp" not in m.text.lower():
+        return None
+    made = re.search(r'\.url\("([^"]*)"', m.text)
+    verb = next((v.upper() for v in ("post", "put", "delete", "patch") if f".{v}(" in m.text), "GET")
+    return _http(verb, made[1] if made else "", "OK_HTTP", t, m)
+
+
+#: HTTP detectors of declared clients, and of calls, of which the first that knows a call counts; more can be added.
+HTTP_METHOD_DETECTORS: list[Callable[[Type, Method], Iterator[Fact]]] = [feign, http_exchange]
+HTTP_CALL_DETECTORS: list[Callable[[Type, Method, Call], Fact | None]] = [apache_request, rest_template, fluent_client, java_http_client, url_connection, apache_execute, ok_http]
+
+
+def http_calls(unit: Unit, path: str) -> Iterator[Fact]:
     for t in unit.all_types():
-        feign, exchange = t.annotation("FeignClient"), t.annotation("HttpExchange")
         for m in t.methods:
-            if feign and (mapped := _mapping(m.annotations)):
-                verb = "REQUEST" if m.annotation("RequestMapping") else mapped[0]
-                yield fact(verb, join_path(feign.text("url", "path"), mapped[1][0]) if not feign.text("url") else feign.text("url").rstrip("/") + join_path("", mapped[1][0]), "FEIGN", t, m)
-            for a in m.annotations:
-                if a.name in EXCHANGES:
-                    yield fact(EXCHANGES[a.name], join_path(exchange.text("url", "value") if exchange else "", a.text("url", "value")), "HTTP_EXCHANGE", t, m)
-            methods = [unquote(c.args[0]) for c in m.calls if c.name == "setRequestMethod" and c.args]
-            okhttp = "okhttp" in m.text.lower()
+            for detect in HTTP_METHOD_DETECTORS:
+                yield from detect(t, m)
             for c in m.calls:
-                scope, low = c.scope, c.scope.lower()
-                url = unquote(c.args[0]) if c.args else ""
-                if c.created:
-                    if c.name in APACHE_REQUESTS:
-                        yield fact(APACHE_REQUESTS[c.name], url, "APACHE_HTTP_CLIENT", t, m)
-                elif "resttemplate" in low and c.name in REST_TEMPLATE:
-                    verb = next((v for v in HTTP_VERBS if len(c.args) > 1 and v in c.args[1]), "EXCHANGE") if c.name == "exchange" else REST_TEMPLATE[c.name]
-                    yield fact(verb, url, "REST_TEMPLATE", t, m)
-                elif c.name in ("get", "post", "put", "delete", "patch") and ("webclient" in low or "restclient" in low) and not c.args:
-                    uri = next((d.args[0] for d in m.calls if d.name == "uri" and d.args and d.scope.startswith(f"{scope}.{c.name}()")), "")
-                    yield fact(c.name.upper(), unquote(uri), "WEB_CLIENT" if "webclient" in low else "REST_CLIENT", t, m)
-                elif c.name in ("send", "sendAsync") and "httpclient" in low:
-                    made = re.search(r'HttpRequest\.newBuilder\((?:URI\.create\("([^"]*)"\))?\)(?:.*?\.uri\(URI\.create\("([^"]*)"\)\))?', m.text, re.S)
-                    verb = next((v for v in HTTP_VERBS if f".{v}(" in m.text), "GET")
-                    yield fact(verb, (made[1] or made[2] or "") if made else "", "JAVA_NET_HTTP_CLIENT", t, m)
-                elif c.name == "openConnection":
-                    made = re.search(r'new URL\("([^"]*)"', m.text)
-                    if made:
-                        yield fact(methods[-1] if methods else "GET", made[1], "HTTP_URL_CONNECTION", t, m)
-                elif c.name == "execute" and "httpclient" in low:
-                    yield fact("EXECUTE", url, "APACHE_HTTP_CLIENT", t, m)
-                elif c.name == "newCall" and okhttp:
-                    made = re.search(r'\.url\("([^"]*)"', m.text)
-                    verb = next((v.upper() for v in ("post", "put", "delete", "patch") if f".{v}(" in m.text), "GET")
-                    yield fact(verb, made[1] if made else "", "OK_HTTP", t, m)
+                found = next((f for detect in HTTP_CALL_DETECTORS if (not c.created or detect is apache_request) and (f := detect(t, m, c))), None)
+                if found:
+                    yield found
 
 
 def call_sites(unit: Unit, path: str) -> Iterator[Fact]:

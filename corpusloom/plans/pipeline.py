@@ -143,12 +143,23 @@ def _others(spark: SparkSession, targets: list[files.ScanTarget], pattern: str)
         raise
 
 
+def _by_topic(publishers: DataFrame, listeners: DataFrame) -> DataFrame:
+    return links.match_links(publishers, listeners, "file_path", "file_path", pattern="is_pattern")
+
+
+#: How producers and consumers of a broker are linked; more brokers can be added.
+TOPIC_STRATEGIES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "KAFKA": _by_topic,
+    "RABBITMQ": lambda publishers, listeners: _by_topic(links.rabbit_producers(publishers), listeners),
+    "ACTIVEMQ": _by_topic,
+}
+
+
 def topic_links(publishers: DataFrame, listeners: DataFrame) -> DataFrame:
     """Links of all brokers: each broker's producers meet its own consumers."""
     out = None
-    for broker, *_ in rules.BROKERS:
-        producers = publishers.where(F.col("broker") == broker)
-        one = links.match_links(links.rabbit_producers(producers) if broker == "RABBITMQ" else producers, listeners.where(F.col("broker") == broker), "file_path", "file_path", pattern="is_pattern").withColumn("broker", F.lit(broker))
+    for broker, resolve_ in TOPIC_STRATEGIES.items():
+        one = resolve_(publishers.where(F.col("broker") == broker), listeners.where(F.col("broker") == broker)).withColumn("broker", F.lit(broker))
         out = one if out is None else out.unionByName(one)
     return out
 

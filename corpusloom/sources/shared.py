@@ -22,16 +22,42 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there and any executor can read it."""
+def stored(df: DataFrame, label: str, compression: str = "snappy") -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, and the table's path."""
     spark = df.sparkSession
     path = fresh_dir(spark, label)
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends there and any executor can read it."""
+    return stored(df, label, compression)[0]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Tables:
+    """Tables that an operator writes on its way, and that nothing reads once its result is stored."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+        table, path = stored(df, label, compression)
+        self.paths.append(path)
+        return table
+
+    def drop(self) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
+        self.paths = []
 
 
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Deletes a table that written() made and nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        delete(spark, path)

@@ -149,3 +149,24 @@ def test_commands(spark, tmp_path, capsys):
     assert ws.read("tasks").where("status = 'FAILED'").count() == 1
     cli.main(["clean", *base])
     assert not (tmp_path / "s").exists()
+
+
+def test_detectors_can_be_added():
+    from corpusloom.extract import javaparse, rules
+
+    def graphql(t):
+        for m in t.methods:
+            if m.annotation("QueryMapping"):
+                yield {"http_method": "QUERY", "path": m.name, "controller_name": t.name, "method_name": m.name}
+
+    rules.ENDPOINT_DETECTORS.append(graphql)
+    rules.DB_CALL_DETECTORS.append(lambda t, m, c: rules._db("MONGO", t, m) if c.scope == "mongo" else None)
+    rules.HTTP_CALL_DETECTORS.append(lambda t, m, c: rules._http("GET", "x", "GRPC", t, m) if c.scope == "stub" else None)
+    try:
+        unit = javaparse.parse("class A { @QueryMapping String q() { mongo.find(1); stub.call(); return null; } }")
+        assert [f["path"] for _, f in rules.endpoints(unit, "")] == ["q"]
+        assert [f["type"] for _, f in rules.database(unit, "")] == ["MONGO"]
+        assert [f["client_type"] for _, f in rules.http_calls(unit, "")] == ["GRPC"]
+    finally:
+        for found in (rules.ENDPOINT_DETECTORS, rules.DB_CALL_DETECTORS, rules.HTTP_CALL_DETECTORS):
+            found.pop()
