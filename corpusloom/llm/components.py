@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import remove, written
+from corpusloom.llm.shared import Tables, remove, written
 
 #: At most so many nodes can have more edges than 1 / HOT_NODES of all.
 HOT_NODES, HOT_DEGREE = 4096, 256
@@ -32,15 +32,17 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row[0], row[1]
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50, tables: Tables | None = None) -> DataFrame:
     """(node, component) of every node with an edge to another; component is its least reachable node.
 
     Edges may repeat and point either way; those with a null end or from a node to
-    itself say nothing.  A table without edges gives no rows.
+    itself say nothing.  A table without edges gives no rows.  tables: gets the last
+    round's table, which the result reads.
     """
     ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND x <> y")
     found = ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    now = written(found, "edges")
+    keep = tables or Tables(edges.sparkSession)
+    now = keep.written(found, "edges")
     state = _state(now)
     for _ in range(rounds):
         if not state[0]:
@@ -50,7 +52,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
         large = written(large, "edges-large")
         least = _with_least(large, state[0])
         small = least.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        after = written(small, "edges")
+        after = keep.written(small, "edges")
         then, state = state, _state(after)
         remove(after.sparkSession, large)
         remove(after.sparkSession, now)

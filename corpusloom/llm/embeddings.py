@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.arrowtext import whole_runs
 from corpusloom.llm.components import Union, components
-from corpusloom.llm.shared import written
+from corpusloom.llm.shared import Tables, written
 
 #: Bits of a code; vectors that each is compared with; members of a component that one task
 #: counts; least passes; vectors of the sample; share of isolated pairs that all passes miss.
@@ -113,7 +113,7 @@ def near_in_window(x: np.ndarray, least: float, window: int) -> Iterator[tuple[n
         yield np.flatnonzero(np.einsum("ij,ij->i", x[:-step], x[step:]) >= least), step
 
 
-def candidate_links(reps: DataFrame, least: float, passes: int, window: int = WINDOW) -> DataFrame:
+def candidate_links(reps: DataFrame, least: float, passes: int, window: int = WINDOW, tables: Tables | None = None) -> DataFrame:
     """(a, b): spanning forests of the pairs that the passes verify."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +184,7 @@ def candidate_links(reps: DataFrame, least: float, passes: int, window: int = WI
     order = ["turn", "label", "size", "code", "rep"]
     ordered = coded.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     numbers = [T.StructField(c, T.LongType()) for c in ("a", "b", "border", "place")]
-    found = written(ordered.mapInArrow(compare, T.StructType([*numbers, *[out[c] for c in kept]])), "vector-candidates")
+    found = (tables or Tables(reps.sparkSession)).written(ordered.mapInArrow(compare, T.StructType([*numbers, *[out[c] for c in kept]])), "vector-candidates")
     borders = found.where("border IS NOT NULL").groupBy("border").applyInArrow(over_border, "a long, b long")
     return found.where("border IS NULL").select("a", "b").unionByName(borders)
 
@@ -248,16 +248,18 @@ def dedup(df: DataFrame, least: float = 0.98, id_col: str = "vec_id", vec_col: s
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.col(label_col).cast("long").alias("label"))
     good = F.coalesce(F.col("label").isNotNull() & F.col("id").isNotNull() & usable("vec"), F.lit(False))
     valid = rows.where(good)
-    reps = written(valid.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "vectors")
-    found = candidate_links(reps, least, passes or passes_needed(reps, least, window), window)
-    tied = written(components(found), "vector-components")
+    tables = Tables(df.sparkSession)
+    reps = tables.written(valid.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "vectors")
+    found = candidate_links(reps, least, passes or passes_needed(reps, least, window), window, tables)
+    tied = tables.written(components(found, tables=tables), "vector-components")
     sizes = tied.groupBy("component").agg(F.count("*").alias("n_members"))
     members = reps.join(tied, reps.rep == tied.node).join(sizes, "component").select("rep", "label", "vec", "weight", "component", "n_members")
-    counts = link_counts(written(members, "component-vectors"), least)
+    counts = link_counts(tables.written(members, "component-vectors"), least)
     known = written(
         reps.join(tied.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left").select("label", "vec", "weight", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "rep").alias("component_id")),
         "vector-groups",
     )
+    tables.drop()
     linked = valid.join(known, ["label", "vec"]).select("id", (F.col("weight") - 1 + F.col("n")).alias("n_links"), "component_id")
     alone = rows.where(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     every = linked.unionByName(alone)

@@ -39,7 +39,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import unused, written
+from corpusloom.llm.shared import Tables, unused, written
 from corpusloom.llm.sqltext import let
 
 CHARS_PER_EDIT = 12
@@ -63,12 +63,13 @@ def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.where(r"trim(BOTH ' \t\r' FROM line) <> ''").withColumn("h", F.xxhash64("line"))
 
 
-def repeated_lines(lines: DataFrame) -> DataFrame:
+def repeated_lines(lines: DataFrame, tables: Tables) -> DataFrame:
     """(h, first, single): lines that occur more than once, with the struct of their first (id, row, pos); single: no other line has the hash."""
-    counted = lines.select("h", F.xxhash64(F.lit("line"), "line").alias("g")).groupBy("h").agg(F.count("*").alias("copies"), F.min("g").alias("g"), F.max("g").alias("g_max"))
-    often = small(written(counted.where("copies > 1").select("h", (F.col("g") == F.col("g_max")).alias("single")), "repeated-lines"))
-    placed = lines.select("h", F.struct("id", "row", "pos").alias("at")).join(often, "h")
-    return written(placed.groupBy("h").agg(F.min("at").alias("first"), F.bool_and("single").alias("single")), "first-places")
+    counted = lines.groupBy("h").agg(F.count("*").alias("copies"))
+    often = small(tables.written(counted.where("copies > 1").select("h"), "repeated-lines"))
+    placed = lines.select("h", F.struct("id", "row", "pos").alias("at"), F.xxhash64(F.lit("line"), "line").alias("g")).join(often, "h")
+    found = placed.groupBy("h").agg(F.min("at").alias("first"), (F.min("g") == F.max("g")).alias("single"))
+    return tables.written(found, "first-places")
 
 
 def distinct_lines(lines: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -160,7 +161,7 @@ def near(short: str, long: str, threshold: int) -> str:
     return f"CASE {cases} ELSE false END"
 
 
-def meetings(distinct: DataFrame, threshold: int) -> DataFrame:
+def meetings(distinct: DataFrame, threshold: int, tables: Tables) -> DataFrame:
     """(key, h, own, leader, many): probes that meet an index key which is not the line's alone.
 
     leader: of the key's owners, the one that stands in the document with the least id;
@@ -171,7 +172,7 @@ def meetings(distinct: DataFrame, threshold: int) -> DataFrame:
     led = indexed.groupBy("key").agg(F.min_by("h", "id").alias("leader"), (F.min("h") != F.max("h")).alias("many"))
     probes = _keyed(distinct, probe_places(threshold), threshold, [F.col("own")])
     # Leaders are a table, so that adaptive execution can split the probes of a hot key.
-    return probes.join(written(led, "line-leaders").hint("shuffle_hash"), "key").where("many OR leader <> h")
+    return probes.join(tables.written(led, "line-leaders").hint("shuffle_hash"), "key").where("many OR leader <> h")
 
 
 def signature(acting: DataFrame) -> DataFrame:
@@ -196,31 +197,34 @@ def _later(pairs: DataFrame, actors: DataFrame, threshold: int) -> DataFrame:
     return ordered.where(F.expr(near("short", "long", threshold))).select("h").distinct()
 
 
-def near_earlier(distinct: DataFrame, threshold: int) -> DataFrame:
+def near_earlier(distinct: DataFrame, threshold: int, tables: Tables) -> DataFrame:
     """(h): the lines that have a near line standing earlier."""
-    met = written(meetings(distinct, threshold), "line-meetings")
+    met = tables.written(meetings(distinct, threshold, tables), "line-meetings")
     first_pairs = met.where("h <> leader").select(F.greatest("h", "leader").alias("x"), F.least("h", "leader").alias("y")).distinct()
     roles = first_pairs.select(F.explode(F.array("x", "y")).alias("h")).unionByName(met.where("many").select("h")).distinct()
-    acting = written(distinct.join(small(written(roles, "line-roles")), "h", "left_semi"), "acting-lines")
-    actors = written(acting.join(signature(acting), "h"), "line-actors")
-    settled = written(_later(first_pairs, actors, threshold), "lines-settled")
+    acting = tables.written(distinct.join(small(tables.written(roles, "line-roles")), "h", "left_semi"), "acting-lines")
+    actors = tables.written(acting.join(signature(acting), "h"), "line-actors")
+    settled = tables.written(_later(first_pairs, actors, threshold), "lines-settled")
     flags = settled.withColumn("done", F.lit(True))
     known = actors.drop("line").join(flags, "h", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    hot = written(met.where("many").join(known, "h"), "line-hot-keys")
+    hot = tables.written(met.where("many").join(known, "h"), "line-hot-keys")
     a, b = hot.alias("a"), hot.where("own").alias("b")
     # Every probe of a key has met its leader.  Lines of one length find each other twice.
     fresh = F.expr("a.h <> a.leader AND b.h <> a.leader AND (b.n < a.n OR a.h < b.h) AND NOT IF(a.first > b.first, a.done, b.done)")
     more = a.join(b, (F.col("a.key") == F.col("b.key")) & fresh & (_flips("a", "b") <= FLIPS * threshold)).select(F.col("a.h").alias("x"), F.col("b.h").alias("y")).distinct()
-    return settled.unionByName(_later(written(more, "line-pairs"), actors, threshold)).distinct()
+    return settled.unionByName(_later(tables.written(more, "line-pairs"), actors, threshold)).distinct()
 
 
 def decisions(lines: DataFrame, threshold: int) -> DataFrame:
     """(h, first, near) of the lines that have copies or an earlier near line: first (id, row, pos) of copies, and whether there is such a line."""
-    repeated = repeated_lines(lines)
-    distinct = written(distinct_lines(lines, repeated), "distinct-lines", compression="zstd")
-    gone = near_earlier(distinct, threshold).withColumn("near", F.lit(True))
+    tables = Tables(lines.sparkSession)
+    repeated = repeated_lines(lines, tables)
+    distinct = tables.written(distinct_lines(lines, repeated), "distinct-lines")
+    gone = near_earlier(distinct, threshold, tables).withColumn("near", F.lit(True))
     both = repeated.where("single").select("h", "first").join(gone, "h", "full")
-    return written(both.select("h", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-decisions")
+    found = written(both.select("h", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-decisions")
+    tables.drop()
+    return found
 
 
 def removals(df: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:

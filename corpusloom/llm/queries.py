@@ -95,6 +95,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: Every window of 13 words by its text.
+SUBSTRINGS_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+w AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS pos FROM d WHERE len(words) >= 13),
+k AS (SELECT doc_id, pos, array_to_string(words[pos:pos + 12], ' ') AS key FROM w),
+f AS (SELECT key, min(doc_id) AS least FROM k GROUP BY key HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS pos FROM k JOIN f USING (key) WHERE least < doc_id),
+g AS (SELECT doc_id, list(pos) AS gone, count(*) AS n FROM gone GROUP BY doc_id),
+each AS (SELECT d.doc_id, words, coalesce(n, 0) AS n, gone FROM d LEFT JOIN g USING (doc_id)),
+kept AS (SELECT doc_id, len(words) AS n_words, n, CASE WHEN n = 0 THEN words ELSE list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda p: NOT list_contains(gone, p[2])), lambda p: p[1]) END AS kept FROM each)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM kept"""
+
 #: Brute force over all pairs of a label; the other operators are not expressible in SQL,
 #: or too slow on whole tables, and are tested against plain models.
 VECTORS_SQL = """
@@ -112,4 +124,4 @@ FROM embeddings e JOIN least l ON l.a = e.vec_id LEFT JOIN counted c ON c.a = e.
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_vectors": VECTORS_SQL}
+    return {"op3_substrings": SUBSTRINGS_SQL, "op5_vectors": VECTORS_SQL}

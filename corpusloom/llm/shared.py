@@ -1,33 +1,12 @@
-"""The folder that the driver and all executors share, and tables written there."""
+"""Names that are free in a table, and the shared folder's tables."""
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from corpusloom.sources.shared import Tables, fresh_dir, remove, shared_dir, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session names it; a local one is set only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there and any executor can read it."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, label)
-    df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["Tables", "fresh_dir", "remove", "shared_dir", "unused", "written"]
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
@@ -39,10 +18,3 @@ def unused(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
-
-
-def remove(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes a table that written() made and nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.arrowtext import whole_runs
 from corpusloom.llm.components import Union, components
-from corpusloom.llm.shared import unused, written
+from corpusloom.llm.shared import Tables, unused, written
 
 #: Fingerprints that a shard is meant to hold, that the top tree is built on, and that are compared outright.
 SHARD, SAMPLE, OUTRIGHT = 32_768, 16_384, 192
@@ -191,12 +191,14 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle
     count once for the least id; a null id never is it.
     """
     prints = written(fingerprints(df, id_col, text_col, shingle, seed), "fingerprints")
-    least = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
-    tied = written(components(links(least.select("fp"), radius)), "fingerprint-components")
+    tables = Tables(df.sparkSession)
+    least = tables.written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
+    tied = tables.written(components(links(least.select("fp"), radius), tables=tables), "fingerprint-components")
     grouped = tied.join(least, tied.node == least.fp)
     first = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     named = tied.join(first, "component").select(F.col("node").alias("fp"), "component_id")
     known = written(least.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "fingerprint-groups")
+    tables.drop()
     return prints.join(known, "fp").select(id_col, "fp", "component_id")
 
 
@@ -341,13 +343,14 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, similar
     """
     radii = wide_radii(similarity)
     word = [f"w{i}" for i in range(WIDE_WORDS)]
+    tables = Tables(df.sparkSession)
     prints = written(sketches(df, id_col, text_col, shingle), "sketches")
     mins = [F.min(f"m{k}").alias(f"m{k}") for k in range(KEYS)]
-    each = written(prints.groupBy("s").agg(F.min("id").alias("id"), F.min_by("row", "id").alias("row"), F.min("n").alias("n"), F.min("t").alias("t"), F.max("t").alias("t_max"), *mins), "distinct-sets")
+    each = tables.written(prints.groupBy("s").agg(F.min("id").alias("id"), F.min_by("row", "id").alias("row"), F.min("n").alias("n"), F.min("t").alias("t"), F.max("t").alias("t_max"), *mins), "distinct-sets")
     good = each.where("t = t_max AND n > 0 AND id IS NOT NULL")
     keyed = good.select("s", F.explode(F.array(*(F.xxhash64(F.lit(k), f"m{k}") for k in range(KEYS)))).alias("key"))
-    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "near-keys")
-    met = written(keyed.join(sizes, "key"), "near-buckets")
+    sizes = tables.written(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "near-keys")
+    met = tables.written(keyed.join(sizes, "key"), "near-buckets")
 
     def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,7 +361,7 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, similar
     asked = good.join(met.select("s").distinct(), "s", "left_semi").select("s", "id", "row")
     plain = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     texts = plain.join(asked, ["id", "row"]).select("s", "text").dropDuplicates(["s"])
-    wide = written(texts.mapInArrow(widen, "s long, n long, hashes binary, " + ", ".join(f"{w} long" for w in word)), "wide-fingerprints")
+    wide = tables.written(texts.mapInArrow(widen, "s long, n long, hashes binary, " + ", ".join(f"{w} long" for w in word)), "wide-fingerprints")
 
     def points_of(table: pa.Table) -> np.ndarray:
         return np.stack([table.column(w).to_numpy() for w in word], axis=1).view(np.uint64)
@@ -423,15 +426,17 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, similar
         return parts.select(group, "s", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
 
     ordered = in_cells(met, "key", CELL).join(wide.drop("hashes"), "s").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    candidates = written(components(ordered.mapInArrow(search, "a long, b long")), "near-candidates")
+    candidates = tables.written(components(ordered.mapInArrow(search, "a long, b long"), tables=tables), "near-candidates")
     sizes = candidates.groupBy("component").agg(F.count("*").alias("size"))
     members = in_cells(candidates.join(sizes, "component").select("component", F.col("node").alias("s"), "size"), "component", SET_CELL)
     ordered = members.join(wide, "s").repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
-    tied = written(components(ordered.mapInArrow(verify, "a long, b long")), "near-components")
+    tied = tables.written(components(ordered.mapInArrow(verify, "a long, b long"), tables=tables), "near-components")
     least = each.join(tied, each.s == tied.node).groupBy("component").agg(F.min("id").alias("least"))
     named = each.join(tied, each.s == tied.node, "left").join(least, "component", "left").select("s", "t", "t_max", F.coalesce("least", "id").alias("component_id"))
     # Sets that only share a digest stay by themselves.
-    return prints.join(written(named, "near-groups").withColumnRenamed("t", "t_min"), "s").select("id", "row", F.when(F.col("t_min") == F.col("t_max"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    groups = written(named, "near-groups")
+    tables.drop()
+    return prints.join(groups.withColumnRenamed("t", "t_min"), "s").select("id", "row", F.when(F.col("t_min") == F.col("t_max"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def steps(points: np.ndarray, run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
