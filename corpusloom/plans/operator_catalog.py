@@ -518,7 +518,7 @@ def feature_totals(spark, sf):
 @query("SELECT l_orderkey AS source, l_partkey AS target, n_regionkey AS feature FROM (SELECT DISTINCT l_orderkey, l_partkey, least(a.n, b.n) AS n_regionkey FROM (SELECT l_orderkey, l_partkey, l_suppkey % 5 AS x, l_partkey % 7 AS y FROM lineitem) JOIN (SELECT unnest(range(0, 5)) AS k, unnest(range(0, 5)) AS n) a ON a.k = x JOIN (SELECT unnest(range(0, 7)) AS k, unnest(range(0, 7)) AS n) b ON b.k = y)")
 def attached_relationships(spark, sf):
     li = table(spark, sf, "lineitem").select(_C("l_orderkey").alias("source"), _C("l_partkey").alias("target"), F.concat(F.lit("a"), (_C("l_suppkey") % 5).cast("string")).alias("source_flow"), F.concat(F.lit("b"), (_C("l_partkey") % 7).cast("string")).alias("target_flow")).distinct()
-    members = spark.createDataFrame([(f"a{i}", i, i) for i in range(5)] + [(f"b{i}", i, i) for i in range(7)], "flow_id string, feature int, feature_ordinal int")
+    members = spark.createDataFrame([(f"a{i}", i, i) for i in range(5)] + [(f"b{i}", i, i) for i in range(7)], "flow_id string, feature long, feature_ordinal int")
     found = flows.attach_to_features(li, members)
     return found.select("source", "target", "feature").distinct()
 
