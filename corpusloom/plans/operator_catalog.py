@@ -11,6 +11,7 @@ from corpusloom.operators import enrich, flows, graph, links, pairing, planner,
 from corpusloom.plans.extraction_catalog import expected, relation, sources
 from corpusloom.plans.registry import joined, query, table
 from corpusloom.sources import documents, files
+from corpusloom.streaming import incremental
 
 _C = F.col
 
@@ -569,3 +570,20 @@ def class_headers(spark, sf):
     body = F.concat(F.lit("package a;\n\n@Service\nclass C"), _C("doc_id").cast("string"), F.lit(" {\n  void a() { }\n  void b() {\n  }\n}\n"))
     return table(spark, sf, "documents").select("doc_id", text.class_header(body, F.lit(6)).alias("header"))
 
+
+
+# --- streams ----------------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(epoch(time_bucket(INTERVAL '10 minutes', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_event_counts(spark, sf):
+    counted = incremental.windowed_counts(table(spark, sf, "events"), "ts", "event_type")
+    return counted.select(F.unix_timestamp("start").alias("start"), "event_type", "n")
+
+
+@query("SELECT doc_id, sha256('docs|' || CAST(doc_id AS VARCHAR) || '|' || sha256(text)) AS task_id FROM documents WHERE source <> 'src1'")
+def streamed_new_tasks(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    every = incremental.new_tasks(docs, docs.select(F.lit("").alias("task_id"), F.lit("INDEXED").alias("status")), "docs", "doc_id", "text")
+    done = every.where("source = 'src1'").select("task_id", F.lit("ENRICHED").alias("status"))
+    return incremental.new_tasks(docs, done, "docs", "doc_id", "text").select("doc_id", "task_id")

@@ -170,3 +170,22 @@ def test_detectors_can_be_added():
     finally:
         for found in (rules.ENDPOINT_DETECTORS, rules.DB_CALL_DETECTORS, rules.HTTP_CALL_DETECTORS):
             found.pop()
+
+
+def test_files_that_appear_are_taken_once(spark, tmp_path):
+    from corpusloom.operators import state
+    from corpusloom.streaming import incremental
+
+    store = {"tasks": spark.createDataFrame([], "task_id string, status string, path string")}
+    sizes = []
+
+    def handle(batch, number):
+        fresh = incremental.new_tasks(batch, store["tasks"], "main").select("task_id", F.lit("INDEXED").alias("status"), "path")
+        sizes.append(fresh.count())
+        rows = state.upsert(store["tasks"], fresh, ["task_id"]).collect()
+        store["tasks"] = spark.createDataFrame(rows, "task_id string, status string, path string")
+
+    for turn, rows in enumerate(([("a", "1"), ("b", "2")], [("a", "1"), ("c", "3")], [("a", "changed")])):
+        spark.createDataFrame(rows, "path string, content string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        incremental.watch(spark, str(tmp_path / "in"), "path string, content string", str(tmp_path / "check"), handle).awaitTermination()
+        assert sum(sizes) == (2, 3, 4)[turn]
