@@ -7,9 +7,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text that are worked on at once; a longer single text is one block.
 BLOCK_BYTES = 4 << 20
+#: Bytes of a batch that goes to a Python worker; Spark's own bound lets through much more.
+BATCH_BYTES, BATCH_SETTING, SPARKS_OWN = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on bounds batches by BATCH_BYTES, unless it has a bound of its own.
+
+    A batch is at least one row, and stands in the memory of both the JVM and the worker.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) in (None, str(SPARKS_OWN), f"{SPARKS_OWN}b"):
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
 
 
 def utf8_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

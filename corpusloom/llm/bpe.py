@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import pretokens
-from corpusloom.llm.arrowtext import BLOCK_BYTES, blocks, spread, utf8_buffers
+from corpusloom.llm.arrowtext import BLOCK_BYTES, blocks, in_small_batches, spread, utf8_buffers
 
 NONE = np.int32(2**31 - 1)
 
@@ -220,7 +220,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             for i, j, ids, starts in bpe.encode_rows(offsets, body):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _binary(starts * 4, ids.astype("<u4"), pa.binary())], names=["id", "ids"])
 
-    plain = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    plain = in_small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = T.StructType([plain.schema["id"], T.StructField("ids", T.BinaryType())])
     return plain.mapInArrow(run, out).withColumnRenamed("id", id_col)
 
@@ -247,6 +247,6 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str
                     texts = pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), packed.slice(i, j - i), texts], names=["id", "ids", "decoded"])
 
-    plain = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    plain = in_small_batches(df).select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     out = T.StructType([plain.schema["id"], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
     return plain.mapInArrow(run, out).withColumnRenamed("id", id_col)

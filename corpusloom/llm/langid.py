@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm.arrowtext import in_small_batches
+
 DIMENSIONS = 4096
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -106,7 +108,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
     counted once each, and at most twice as many of them are taken.  Only counters come
     to the driver.  Rows with a null text or label say nothing.
     """
-    rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    rows = in_small_batches(df).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("text"))
     sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not sizes:
         return None
@@ -143,7 +145,7 @@ def keep_known(df: DataFrame, model: CentroidModel | None, text_col: str = "text
                 part = batch.slice(i, 512)
                 yield part.filter(pa.array([not rejected for _, _, rejected in verdicts(shared.value, part.column(at).to_pylist())], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return in_small_batches(df).mapInArrow(run, df.schema)
 
 
 def verdicts(model: CentroidModel | None, texts: list[str | None]) -> list[tuple[str, float, bool]]:
@@ -171,7 +173,7 @@ def predict(df: DataFrame, model: CentroidModel | None, id_col: str = "doc_id",
                 columns = [*zip(*verdicts(shared.value, part.column(1).to_pylist()), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.float64(), pa.bool_()), strict=True))], names=names)
 
-    plain = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    plain = in_small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     names = ["id", "lang_pred", "score", "rejected"]
     out = T.StructType([plain.schema["id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     return plain.mapInArrow(run, out).withColumnRenamed("id", id_col)

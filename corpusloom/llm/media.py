@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm.arrowtext import in_small_batches
 from corpusloom.llm.shared import fresh_dir, written
 
 ROW = 192
@@ -153,7 +154,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[f.name for f in out])
         writer.close()
 
-    plain = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    plain = in_small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = T.StructType([plain.schema["id"], T.StructField("n_bytes", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("shard", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())])
     rows = written(plain.mapInArrow(run, out), "media-places")
     place = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.arrowtext import utf8_buffers
+from corpusloom.llm.arrowtext import in_small_batches, utf8_buffers
 from corpusloom.llm.bpe import encoder
 
 #: Sequence numbers of one partition; its number stands above these bits.
@@ -132,6 +132,6 @@ def pack(df: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0,
             yield rows()
 
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    plain = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    plain = in_small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = T.StructType([plain.schema["id"], *(T.StructField(n, T.LongType()) for n in names[1:])])
     return plain.mapInArrow(run, out).withColumnRenamed("id", id_col)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.arrowtext import whole_runs
+from corpusloom.llm.arrowtext import in_small_batches, whole_runs
 from corpusloom.llm.components import Union, components
 from corpusloom.llm.shared import Tables, unused, written
 
@@ -60,7 +60,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fp = np.array([fingerprint(t.as_py() or b"", shingle, seed) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["id", "fp"])
 
-    plain = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    plain = in_small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return plain.mapInArrow(run, T.StructType([plain.schema["id"], T.StructField("fp", T.LongType())])).withColumnRenamed("id", id_col)
 
 
@@ -314,7 +314,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
             matrix = np.array(rows, np.uint64).reshape(-1, len(names)).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.ascontiguousarray(c)) for c in matrix.T)], names=["id", "row", *names])
 
-    plain = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    plain = in_small_batches(df).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     return plain.mapInArrow(run, "id long, row long, " + ", ".join(f"{n} long" for n in names))
 
 
