@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,21 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def tidy(run: Callable) -> Callable:
+    """A worker's function over batches that hands unused memory back to the system at its end.
+
+    Workers live on between tasks; an idle one should not hold what its last task needed.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # no such library call here
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def utf8_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(offsets as int64, bytes as uint8) of a text column; null counts as empty.
 

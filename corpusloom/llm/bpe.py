@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import pretokens
-from corpusloom.llm.arrowtext import BLOCK_BYTES, blocks, in_small_batches, spread, utf8_buffers
+from corpusloom.llm.arrowtext import BLOCK_BYTES, blocks, in_small_batches, spread, tidy, utf8_buffers
 
 NONE = np.int32(2**31 - 1)
 
@@ -41,7 +41,7 @@ def byte_letters() -> dict[str, int]:
 class PairIndexEncoder:
     """Encodes distinct pre-tokens; keeps the ids of up to ``keep`` of them between blocks."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
@@ -213,6 +213,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     their names do not matter.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
         for batch in batches:
@@ -231,6 +232,7 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str
     Null or empty ids give the empty text.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
         for batch in batches:

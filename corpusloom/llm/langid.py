@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.arrowtext import in_small_batches
+from corpusloom.llm.arrowtext import in_small_batches, tidy
 
 DIMENSIONS = 4096
 UNKNOWN = "und"
@@ -116,6 +116,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
     border = F.broadcast(df.sparkSession.createDataFrame(borders, "lang string, border long"))
     sample = rows.join(border, "lang").where("h <= border").select("lang", "h", "text")
 
+    @tidy
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()  # a task sees about per_language different texts a language
         for batch in batches:
@@ -139,6 +140,7 @@ def keep_known(df: DataFrame, model: CentroidModel | None, text_col: str = "text
     """df without the rows that predict() rejects; columns as they are, whatever their names."""
     shared, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
@@ -166,6 +168,7 @@ def predict(df: DataFrame, model: CentroidModel | None, id_col: str = "doc_id",
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.arrowtext import in_small_batches
+from corpusloom.llm.arrowtext import in_small_batches, tidy
 from corpusloom.llm.shared import fresh_dir, written
 
 ROW = 192
@@ -135,6 +135,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     """
     folder = fresh_dir(df.sparkSession, "media")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, known = ShardWriter(folder, TaskContext.get().partitionId()), {}
         for batch in batches:
@@ -189,6 +190,7 @@ _PLACE = ("folder", "shard", "offset", "length", "digest")
 def _read(rows: DataFrame, new: list[tuple[str, pa.DataType]], made) -> DataFrame:
     """rows and the new columns: made(read, place) gives their values, once for each place of a batch."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = RangeReader()
         for batch in batches:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.arrowtext import in_small_batches, utf8_buffers
+from corpusloom.llm.arrowtext import in_small_batches, tidy, utf8_buffers
 from corpusloom.llm.bpe import encoder
 
 #: Sequence numbers of one partition; its number stands above these bits.
@@ -109,6 +109,7 @@ def pack(df: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0,
     rows are packed each for itself.  Columns besides id and text are not read.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
         packer = HarmonicPacker(capacity, TaskContext.get().partitionId() << SEQUENCE_BITS)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.arrowtext import in_small_batches, whole_runs
+from corpusloom.llm.arrowtext import in_small_batches, tidy, whole_runs
 from corpusloom.llm.components import Union, components
 from corpusloom.llm.shared import Tables, unused, written
 
@@ -54,6 +54,7 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """(id, fp): fp as a signed long.  Null and empty texts have fingerprint 0."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
@@ -304,6 +305,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
     """
     names = ["s", "t", "n", *(f"m{k}" for k in range(KEYS))]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -352,6 +354,7 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, similar
     sizes = tables.written(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "near-keys")
     met = tables.written(keyed.join(sizes, "key"), "near-buckets")
 
+    @tidy
     def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py() or b"", shingle) for t in batch.column(1).cast(pa.binary())]
@@ -388,6 +391,7 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, similar
 
     reach = int(radii.max())
 
+    @tidy
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, ["key", "lo", "hi"]):
             s, n, points = table.column("s").to_numpy(), table.column("n").to_numpy(), points_of(table)
@@ -403,6 +407,7 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, similar
                 found.add(few[x], few[y])
             yield found.rows(s)
 
+    @tidy
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, ["component", "lo", "hi"], 2_000):
             s, n, points = table.column("s").to_numpy(), table.column("n").to_numpy(), points_of(table)
