@@ -216,10 +216,10 @@ def recover(ws: Workspace) -> dict[str, int]:
     found = ws.read("enrichment").where("document IS NOT NULL").select("task_id", F.lit(True).alias("_found")).distinct() if ws.has("enrichment") else tasks.where("false").select("task_id", F.lit(True).alias("_found"))
     moved = tasks.join(found, "task_id", "left").withColumn("_next", state.recovered(F.col("status"), F.coalesce("_found", F.lit(False))))
     changed = {r.status: r.n for r in moved.where("_next <> status").groupBy("status").agg(F.count("*").alias("n")).collect()}
+    stuck = ws.write("stuck_tasks", tasks.where(F.col("status").isin("ENRICHING", "ENRICH_PENDING", "ENRICH_FAILED")).select("task_id"))
+    ws.write("tasks", moved.withColumn("status", F.col("_next")).drop("_next", "_found"))
     if ws.has("enrichment"):
-        stuck = tasks.where(F.col("status").isin("ENRICHING", "ENRICH_PENDING", "ENRICH_FAILED")).select("task_id")
         ws.write("enrichment", ws.read("enrichment").join(stuck, "task_id", "left_anti"))
-    ws.write("tasks", moved.withColumn("status", F.col("_next")).drop("_next", "_found"))
     return changed
 
 

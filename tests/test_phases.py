@@ -92,6 +92,8 @@ def test_waves_ask_for_dependencies_and_stop_for_review(spark, tmp_path):
     ws.write("tasks", ws.read("tasks").withColumn("status", F.when(F.col("status") == "ENRICHED", "ENRICH_PENDING").otherwise(F.col("status"))))
     pipeline.enrich(ws, service, hops=0)
     assert len(list(asked.iterdir())) == first  # the answers are there already
+    pipeline.recover(ws)
+    assert ws.read("enrichment").count() > 0 and ws.read("tasks").where("status = 'ENRICHING'").isEmpty()
     phases = {r.phase for r in documents.metrics(spark, ws.path("metrics")).collect()}
     assert phases == {1, 2}
 
