@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,6 +146,25 @@ class Tracer:
 
 
 STEP_SCHEMA = "flow_id string, step_index int, component_type string, class_name string, method_name string, source_file string, start_line int, end_line int, enrichments array<string>, unresolved boolean"
+_STEP = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}[t]) for n, t in (f.split() for f in STEP_SCHEMA.split(", "))])
+#: Rows of a batch of steps that a task hands over.
+STEP_ROWS = 4096
+
+
+def _by_root(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple[str, str]]]]:
+    """(root, its (kind, body) rows) of rows that are sorted by root; a root can span batches."""
+    root, rows = None, []
+    for batch in batches:
+        for r, kind, body in zip(*(batch.column(c).to_pylist() for c in ("root", "kind", "body")), strict=True):
+            if rows and r != root:
+                yield root, rows
+                rows = []
+            root = r
+            rows.append((kind, body))
+    if rows:
+        yield root, rows
+
+
 def _reached(entries: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """(root, file, class, method) of the nodes that a trace of each entry can expand."""
     calls = edges.where("resolved_status = 'RESOLVED'").select("source_file", "source_class", "source_method", F.struct(F.col("target_file").alias("file"), F.col("target_class").alias("class"), F.col("target_method").alias("method")).alias("next")).distinct()
@@ -164,7 +184,8 @@ def trace_flows(entries: DataFrame, edges: DataFrame, db: DataFrame, http: DataF
 
     Depth-first order with a visited set for the whole flow is no relational operation.
     So joins first gather what each entry can reach within max_depth calls, and every
-    entry is then traced over its own part of the graph; no task holds more than that.
+    entry is then traced over its own part of the graph.  A task takes its entries one after
+    another from sorted rows and holds the part of one at a time.
     """
     reached = written(_reached(entries, edges, max_depth), "trace-nodes")
     order = [c for c in ("source_file", "source_class", "source_method", "ordinal", "target_class", "target_method", "arg_count") if c in edges.columns]
@@ -185,19 +206,24 @@ def trace_flows(entries: DataFrame, edges: DataFrame, db: DataFrame, http: DataF
         one = df.select("root", F.lit(kind).alias("kind"), F.to_json(F.struct(*[c for c in df.columns if c != "root"]), {"ignoreNullFields": "false"}).alias("body"))
         parts = one if parts is None else parts.unionByName(one)
 
-    def trace(rows: pd.DataFrame) -> pd.DataFrame:
-        of = {k: [json.loads(b) for b in rows["body"][rows["kind"] == k]] for k in ("entry", "edge", "db", "http", "component")}
-        text = lambda x: json.dumps(x, sort_keys=True)
-        found = sorted(of["edge"], key=lambda x: ([(v is not None, v) for v in x["_order"].values()], text(x)))
-        tracer = Tracer(found, sorted(of["db"], key=text), sorted(of["http"], key=text), {c["key"]: c["type"] for c in of["component"]}, framework, max_depth)
-        out = []
-        for entry in sorted(of["entry"], key=text):
-            steps, unresolved = tracer.trace(entry["file_path"], entry["class_name"], entry["method_name"], entry["start_line"], entry["end_line"])
-            out += [{"flow_id": rows["root"].iloc[0], "unresolved": False, **s} for s in steps]
-            out += [{"flow_id": rows["root"].iloc[0], "unresolved": True, "step_index": k, "component_type": None, "class_name": None, "method_name": call, "source_file": entry["file_path"], "start_line": 0, "end_line": 0, "enrichments": []} for k, call in enumerate(unresolved)]
-        return pd.DataFrame(out, columns=[f.split()[0] for f in STEP_SCHEMA.split(", ")])
-
-    return parts.groupBy("root").applyInPandas(trace, STEP_SCHEMA)
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, out = lambda x: json.dumps(x, sort_keys=True), []
+        for root, rows in _by_root(batches):
+            of = {k: [] for k in ("entry", "edge", "db", "http", "component")}
+            for kind, body in rows:
+                of[kind].append(json.loads(body))
+            found = sorted(of["edge"], key=lambda x: ([(v is not None, v) for v in x["_order"].values()], text(x)))
+            tracer = Tracer(found, sorted(of["db"], key=text), sorted(of["http"], key=text), {c["key"]: c["type"] for c in of["component"]}, framework, max_depth)
+            for entry in sorted(of["entry"], key=text):
+                steps, unresolved = tracer.trace(entry["file_path"], entry["class_name"], entry["method_name"], entry["start_line"], entry["end_line"])
+                out += [{"flow_id": root, "unresolved": False, **s} for s in steps]
+                out += [{"flow_id": root, "unresolved": True, "step_index": k, "component_type": None, "class_name": None, "method_name": call, "source_file": entry["file_path"], "start_line": 0, "end_line": 0, "enrichments": []} for k, call in enumerate(unresolved)]
+            if len(out) >= STEP_ROWS:
+                yield pa.RecordBatch.from_pylist(out, schema=_STEP)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, schema=_STEP)
+
+    return parts.repartition("root").sortWithinPartitions("root").mapInArrow(trace, STEP_SCHEMA)
 
 
 def waves(roots: DataFrame, dependencies: DataFrame, task: str, needs: str, hops: int = 3) -> DataFrame:

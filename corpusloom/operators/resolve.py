@@ -32,14 +32,18 @@ def call_edges(call_sites: DataFrame, declarations: DataFrame, supertypes: DataF
     """Call edges: a unique declaration, several, an inherited one, a repository's, or none.
 
     The nearest supertypes with a unique declaration win; cycles in the hierarchy are cut.
-    Equal edges are one; if the sites have an ordinal, the edge has the first.
+    Equal edges are one; if the sites have an ordinal, the edge has the first.  What is
+    declared is aggregated once, into a table that all other lookups are made from.
     """
     from corpusloom.operators.graph import closure
+    from corpusloom.sources.shared import written
 
     d = declarations.withColumn("arg_count", F.size("param_types")).withColumn("signature", signature())
-    by_args = d.groupBy(F.col("class_name").alias("target_type"), "method_name", "arg_count").agg(F.count("*").alias("n"), F.first("file_path").alias("_file"), F.min("start_line").alias("_start"), F.min("end_line").alias("_end"), F.array_sort(F.collect_list("signature")).alias("_all"))
-    by_name = d.groupBy(F.col("class_name").alias("target_type"), "method_name").agg(F.lit(True).alias("_named"))
-    classes = d.groupBy(F.col("class_name").alias("target_type")).agg(F.min("file_path").alias("_class_file"))
+    by_args = d.groupBy(F.col("class_name").alias("target_type"), "method_name", "arg_count").agg(F.count("*").alias("n"), F.first("file_path").alias("_file"), F.min("start_line").alias("_start"), F.min("end_line").alias("_end"), F.array_sort(F.collect_list("signature")).alias("_all"), F.min("file_path").alias("_least"))
+    by_args = written(by_args, "declared")
+    by_name = by_args.groupBy("target_type", "method_name").agg(F.lit(True).alias("_named"))
+    classes = by_args.groupBy("target_type").agg(F.min("_least").alias("_class_file"))
+    by_args = by_args.drop("_least")
     up = closure(supertypes, "class_name", "super_simple_name")
     only = by_args.where("n = 1").select(F.col("target_type").alias("target"), "method_name", "arg_count", F.col("_file").alias("_up_file"), F.col("_start").alias("_up_start"), F.col("_end").alias("_up_end"))
     inherited = up.join(only, "target").groupBy(F.col("source").alias("target_type"), "method_name", "arg_count").agg(F.min(F.struct("depth", F.col("target").alias("class"), "_up_file", "_up_start", "_up_end")).alias("_up"))
