@@ -17,7 +17,7 @@ def traced(spark):
     return operator_catalog._flows(spark, SF)
 
 
-@pytest.mark.parametrize("name", ["traced_flows", "flow_summaries", "first_line_by_file", "steps_by_file", "traceability_edges", "traceability_nodes"])
+@pytest.mark.parametrize("name", ["traced_flows", "flow_summaries", "first_line_by_file", "steps_by_file", "traceability_edges", "traceability_nodes", "unresolved_in_flows"])
 def test_results_come_from_stored_steps(spark, traced, monkeypatch, name):
     """Parsing and tracing run once before, not again for each use of the steps."""
     monkeypatch.setattr(operator_catalog, "_flows", lambda *_: traced)
