@@ -53,6 +53,21 @@ def path_matches(path: Column, template: Column) -> Column:
     return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: (x == y) | is_variable(y)), lambda x: x)
 
 
+def path_shape(template: Column) -> Column:
+    """A sign for each segment of a template: v for a variable, - for any other."""
+    return F.array_join(F.transform(segments(template), lambda s: F.when(is_variable(s), "v").otherwise("-")), "")
+
+
+def path_key(path: Column, shape: Column) -> Column:
+    """The shape and the segments where it has no variable.
+
+    A path matches a template (path_matches) if it has as many segments as the template's
+    shape and both have the same key by that shape, so the match is an equi-join.
+    """
+    kept = F.transform(segments(path), lambda s, i: F.when(shape.substr(i + 1, F.lit(1)) == "v", "").otherwise(s))
+    return F.concat(shape, F.lit("/"), F.array_join(kept, "/"))
+
+
 def priority(enriched: Column, out_degree: Column, is_http: Column, has_test: Column) -> Column:
     return F.when(enriched, 0.3).otherwise(0.0) + 0.3 * F.least(out_degree / 10, F.lit(1.0)) + 0.2 * F.when(is_http, 1.0).otherwise(0.5) + F.when(has_test, 0.2).otherwise(0.0)
 

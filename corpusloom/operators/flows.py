@@ -73,12 +73,19 @@ def summarised(steps: DataFrame, entries: DataFrame, most_unresolved: int = 3, l
 
 
 def http_relationships(links: DataFrame, flows: DataFrame, steps: DataFrame) -> DataFrame:
-    """(source_flow, target_flow, type, via): flows that touch a calling file, and flows of the path it calls."""
+    """(source_flow, target_flow, type, via): flows that touch a calling file, and flows of the path it calls.
+
+    Paths meet templates by keys: one for each shape of a template (which segments are
+    variables) with as many segments.  Shapes are few and are broadcast.
+    """
     path = text.normal_path(text.url_path(F.col("url_pattern")))
-    calls = links.select("source_file", F.concat_ws(" ", "method", "url_pattern").alias("via"), path.alias("_path")).withColumn("_n", F.size(F.split("_path", "/")))
-    targets = flows.where("ep_type = 'HTTP' AND path <> ''").select(F.col("flow_id").alias("target_flow"), text.normal_path(F.col("path")).alias("_template")).withColumn("_n", F.size(F.split("_template", "/")))
+    calls = links.select("source_file", F.concat_ws(" ", "method", "url_pattern").alias("via"), path.alias("_path")).distinct().withColumn("_n", F.size(scoring.segments(F.col("_path"))))
+    targets = flows.where("ep_type = 'HTTP' AND path <> ''").select(F.col("flow_id").alias("target_flow"), text.normal_path(F.col("path")).alias("_template")).withColumn("_shape", scoring.path_shape(F.col("_template")))
+    shapes = targets.select("_shape", F.length("_shape").alias("_n")).distinct()
+    wanted = calls.join(F.broadcast(shapes), "_n").select("source_file", "via", scoring.path_key(F.col("_path"), F.col("_shape")).alias("_key"))
+    offered = targets.select("target_flow", scoring.path_key(F.col("_template"), F.col("_shape")).alias("_key"))
     touched = flows.select("flow_id", F.col("file_path").alias("source_file")).unionByName(steps.where("NOT unresolved AND source_file IS NOT NULL").select("flow_id", "source_file")).distinct().withColumnRenamed("flow_id", "source_flow")
-    met = calls.join(targets, "_n").where(scoring.path_matches(F.col("_path"), F.col("_template"))).join(touched, "source_file")
+    met = wanted.join(offered, "_key").join(touched, "source_file")
     return met.where("source_flow <> target_flow").select("source_flow", "target_flow", F.lit("CALLS_EXTERNAL").alias("type"), "via").distinct()
 
 

@@ -1,7 +1,11 @@
 """Flow queries parse and trace once, and their cross references equal plain models."""
 
+import random
+
 import pytest
-from corpusloom.operators import graph
+from pyspark.sql import functions as F
+from corpusloom.functions import scoring, text
+from corpusloom.operators import flows, graph
 from corpusloom.plans import catalog, extraction_catalog, operator_catalog  # noqa: F401  fills the catalog
 from tests.test_phases import test_traces_over_joined_parts_equal_those_over_the_whole_graph as traces_equal
 
@@ -17,7 +21,7 @@ def traced(spark):
     return operator_catalog._flows(spark, SF)
 
 
-@pytest.mark.parametrize("name", ["traced_flows", "flow_summaries", "first_line_by_file", "steps_by_file", "traceability_edges", "traceability_nodes", "unresolved_in_flows"])
+@pytest.mark.parametrize("name", ["traced_flows", "flow_summaries", "first_line_by_file", "steps_by_file", "traceability_edges", "traceability_nodes", "unresolved_in_flows", "http_cross_references"])
 def test_results_come_from_stored_steps(spark, traced, monkeypatch, name):
     """Parsing and tracing run once before, not again for each use of the steps."""
     monkeypatch.setattr(operator_catalog, "_flows", lambda *_: traced)
@@ -44,3 +48,19 @@ def test_traces_take_many_entries_a_batch(spark, traced):
     http = spark.createDataFrame([], "source_file string, source_method string, method string, url_pattern string")
     steps = graph.trace_flows(entries, rows("edges"), rows("db_access"), http, spark.createDataFrame([], "key string, type string"))
     assert "FlatMapGroups" not in plan(steps) and [r.class_name for r in steps.collect()] == ["C"]
+
+
+def test_http_relationships_equal_all_pairs(spark):
+    rng = random.Random(8)
+    part = lambda: rng.choice(["a", "b", "{id}", "", "7"])
+    path = lambda: "/" + "/".join(part() for _ in range(rng.randint(0, 4))) + rng.choice(["", "/"])
+    calls = spark.createDataFrame([(f"F{k % 9}", rng.choice(["GET", "PUT"]), path()) for k in range(60)], "source_file string, method string, url_pattern string")
+    found = spark.createDataFrame([(f"f{k}", f"F{k % 12}", rng.choice(["HTTP", "HTTP", "KAFKA"]), path(), None) for k in range(40)], "flow_id string, file_path string, ep_type string, path string, topic_or_queue string")
+    steps = spark.createDataFrame([(f"f{k}", f"F{rng.randint(0, 12)}", False) for k in range(40)], "flow_id string, source_file string, unresolved boolean")
+    touched = {(r.flow_id, r.file_path) for r in found.collect()} | {(r.flow_id, r.source_file) for r in steps.collect()}
+    clean = lambda df, c: df.withColumn("p", text.normal_path(text.url_path(F.col(c))))
+    pairs = clean(calls, "url_pattern").crossJoin(clean(found.where("ep_type = 'HTTP' AND path <> ''"), "path").withColumnRenamed("p", "t")).where(scoring.path_matches(F.col("p"), F.col("t"))).collect()
+    want = {(s, r.flow_id, f"{r.method} {r.url_pattern}") for r in pairs for s, f in touched if f == r.source_file and s != r.flow_id}
+    got = flows.http_relationships(calls, found, steps)
+    assert sorted((r.source_flow, r.target_flow, r.via) for r in got.collect()) == sorted(want) and want
+    assert "forall" not in plan(got), "paths are compared pair by pair"
