@@ -89,12 +89,23 @@ def http_relationships(links: DataFrame, flows: DataFrame, steps: DataFrame) ->
     return met.where("source_flow <> target_flow").select("source_flow", "target_flow", F.lit("CALLS_EXTERNAL").alias("type"), "via").distinct()
 
 
+#: Parts that the producers of a topic are dealt to, so that no task makes all pairs of a topic.
+SALTS = 16
+
+
 def topic_relationships(topic_links: DataFrame, flows: DataFrame, steps: DataFrame) -> DataFrame:
-    """(source_flow, target_flow, type, via): flows that touch a producer's file, and consumers of its topic."""
-    consumers = flows.where("topic_or_queue IS NOT NULL").select(F.col("flow_id").alias("target_flow"), F.explode(F.split("topic_or_queue", ",")).alias("topic"))
+    """(source_flow, target_flow, type, via): flows that touch a producer's file, and consumers of its topic.
+
+    Both sides are made distinct before they meet, so their pairs are; the pairs, which
+    can be very many, are neither shuffled nor kept.
+    """
+    consumers = flows.where("topic_or_queue IS NOT NULL").select(F.col("flow_id").alias("target_flow"), F.explode(F.split("topic_or_queue", ",")).alias("topic")).distinct()
     touched = flows.select("flow_id", F.col("file_path").alias("producer_file")).unionByName(steps.where("NOT unresolved AND source_file IS NOT NULL").select("flow_id", F.col("source_file").alias("producer_file"))).distinct().withColumnRenamed("flow_id", "source_flow")
-    met = topic_links.where("status = 'RESOLVED'").select("topic", F.col("producer").alias("producer_file")).distinct().join(consumers, "topic").join(touched, "producer_file")
-    return met.where("source_flow <> target_flow").select("source_flow", "target_flow", F.lit("PUBLISHES_EVENT").alias("type"), F.col("topic").alias("via")).distinct()
+    producers = topic_links.where("status = 'RESOLVED'").select("topic", F.col("producer").alias("producer_file")).distinct().join(touched, "producer_file").select("source_flow", "topic").distinct()
+    dealt = producers.withColumn("_salt", F.pmod(F.xxhash64("source_flow"), F.lit(SALTS)))
+    every = consumers.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    met = dealt.join(every, ["topic", "_salt"])
+    return met.where("source_flow <> target_flow").select("source_flow", "target_flow", F.lit("PUBLISHES_EVENT").alias("type"), F.col("topic").alias("via"))
 
 
 def attach_to_features(relationships: DataFrame, members: DataFrame) -> DataFrame:

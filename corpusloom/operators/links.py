@@ -28,6 +28,17 @@ def match_links(producers: DataFrame, consumers: DataFrame, producer: str, consu
     return met.unionByName(lone_producers).unionByName(lone_consumers)
 
 
+def producer_links(producers: DataFrame, consumers: DataFrame, producer: str, topic: str = "topic", topics: str = "topics", pattern: str | None = None) -> DataFrame:
+    """(topic, producer, status): each producer and topic once, with the status that match_links gives them.
+
+    Where only producers are asked for, this makes no row for each pair of a producer and a consumer.
+    """
+    by_pattern = F.col(pattern) if pattern else F.lit(False)
+    plain = consumers.where(~by_pattern).select(F.explode(topics).alias("topic")).distinct().withColumn("_read", F.lit(True))
+    left = producers.select(F.col(topic).alias("topic"), F.col(producer).alias("producer")).distinct()
+    return left.join(plain, "topic", "left").select("topic", "producer", F.when(F.col("_read"), RESOLVED).otherwise(PENDING).alias("status"))
+
+
 def rabbit_producers(producers: DataFrame, routing_key: str = "routing_key", exchange: str = "exchange") -> DataFrame:
     """Producers with the topic of their link: the routing key, or the exchange where that is blank."""
     blank = F.trim(F.coalesce(F.col(routing_key), F.lit(""))) == ""

@@ -4,8 +4,9 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+
 from corpusloom.functions import scoring, text
-from corpusloom.operators import flows, graph
+from corpusloom.operators import flows, graph, links
 from corpusloom.plans import catalog, extraction_catalog, operator_catalog  # noqa: F401  fills the catalog
 from tests.test_phases import test_traces_over_joined_parts_equal_those_over_the_whole_graph as traces_equal
 
@@ -21,7 +22,7 @@ def traced(spark):
     return operator_catalog._flows(spark, SF)
 
 
-@pytest.mark.parametrize("name", ["traced_flows", "flow_summaries", "first_line_by_file", "steps_by_file", "traceability_edges", "traceability_nodes", "unresolved_in_flows", "http_cross_references"])
+@pytest.mark.parametrize("name", ["traced_flows", "unresolved_in_flows", "steps_by_file", "first_line_by_file", "flow_summaries", "traceability_nodes", "traceability_edges", "http_cross_references", "topic_cross_references"])
 def test_results_come_from_stored_steps(spark, traced, monkeypatch, name):
     """Parsing and tracing run once before, not again for each use of the steps."""
     monkeypatch.setattr(operator_catalog, "_flows", lambda *_: traced)
@@ -64,3 +65,22 @@ def test_http_relationships_equal_all_pairs(spark):
     got = flows.http_relationships(calls, found, steps)
     assert sorted((r.source_flow, r.target_flow, r.via) for r in got.collect()) == sorted(want) and want
     assert "forall" not in plan(got), "paths are compared pair by pair"
+
+
+def test_topic_relationships_equal_a_plain_model(spark):
+    rng = random.Random(9)
+    produced = [(f"t{rng.randint(0, 4)}", f"F{rng.randint(0, 5)}") for _ in range(20)]
+    listening = [(f"F{k}", [f"t{rng.randint(0, 6)}" for _ in range(2)], k == 3) for k in range(6)]
+    left, right = spark.createDataFrame(produced, "topic string, file_path string"), spark.createDataFrame(listening, "file_path string, topics array<string>, is_pattern boolean")
+    every = links.match_links(left, right, "file_path", "file_path", pattern="is_pattern")
+    once = links.producer_links(left, right, "file_path", pattern="is_pattern")
+    assert sorted(map(tuple, once.collect())) == sorted({(r.topic, r.producer, r.status) for r in every.collect() if r.producer})
+    found = spark.createDataFrame([(f"f{k}", f"F{k % 6}", rng.choice([None, "t1", "t1,t1", "t2,t3"])) for k in range(30)], "flow_id string, file_path string, topic_or_queue string")
+    steps = spark.createDataFrame([(f"f{k}", f"F{rng.randint(0, 5)}", False) for k in range(30)], "flow_id string, source_file string, unresolved boolean")
+    touched = {(r.flow_id, r.file_path) for r in found.collect()} | {(r.flow_id, r.source_file) for r in steps.collect()}
+    read = {(r.flow_id, t) for r in found.collect() for t in (r.topic_or_queue or "").split(",") if t}
+    want = {(s, f, t) for t, p, status in map(tuple, once.collect()) if status == "RESOLVED" for s, file in touched if file == p for f, u in read if u == t and s != f}
+    for made in (every, once):
+        got = flows.topic_relationships(made, found, steps)
+        assert sorted((r.source_flow, r.target_flow, r.via) for r in got.collect()) == sorted(want) and want
+        assert not plan(got, "optimizedPlan").startswith("Aggregate"), "pairs are not shuffled to be made distinct"
