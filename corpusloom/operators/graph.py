@@ -96,8 +96,9 @@ class Tracer:
     def __init__(self, edges: list[dict], db: list[dict], http: list[dict], components: dict[str, str], framework: tuple[str, ...] = (), max_depth: int = 5):
         self.by_file, self.by_class, self.db, self.http = {}, {}, {}, {}
         for k, e in enumerate(edges):
-            self.by_file.setdefault((e["source_file"], e["source_method"]), []).append((k, e))
-            self.by_class.setdefault((e["source_class"], e["source_method"]), []).append((k, e))
+            for index, name in ((self.by_file, e["source_file"]), (self.by_class, e["source_class"])):
+                if name is not None:
+                    index.setdefault((name, e["source_method"]), []).append((k, e))
         for d in db:
             self.db.setdefault(d["class_name"], []).append(d)
         for h in http:
@@ -151,79 +152,98 @@ _STEP = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "boolean": pa.
 STEP_ROWS = 4096
 
 
-def _by_root(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple[str, str]]]]:
-    """(root, its (kind, body) rows) of rows that are sorted by root; a root can span batches."""
-    root, rows = None, []
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[str]]]:
+    """The bodies by kind of each part of rows that are sorted by part; a part can span batches."""
+    part, bodies = None, {}
     for batch in batches:
-        for r, kind, body in zip(*(batch.column(c).to_pylist() for c in ("root", "kind", "body")), strict=True):
-            if rows and r != root:
-                yield root, rows
-                rows = []
-            root = r
-            rows.append((kind, body))
-    if rows:
-        yield root, rows
-
-
-def _reached(entries: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    """(root, file, class, method) of the nodes that a trace of each entry can expand."""
-    calls = edges.where("resolved_status = 'RESOLVED'").select("source_file", "source_class", "source_method", F.struct(F.col("target_file").alias("file"), F.col("target_class").alias("class"), F.col("target_method").alias("method")).alias("next")).distinct()
-    frontier = seen = entries.select(F.col("id").alias("root"), F.col("file_path").alias("file"), F.col("class_name").alias("class"), F.col("method_name").alias("method")).distinct()
-    for _ in range(max_depth - 1):
-        by_file = frontier.join(calls, (F.col("file") == F.col("source_file")) & (F.col("method") == F.col("source_method"))).select("root", "next.*")
-        by_class = frontier.join(calls, (F.col("class") == F.col("source_class")) & (F.col("method") == F.col("source_method"))).select("root", "next.*")
-        frontier = written(by_file.unionByName(by_class).distinct().join(seen, ["root", "file", "class", "method"], "left_anti"), "trace-frontier")
+        for p, kind, body in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "body")), strict=True):
+            if bodies and p != part:
+                yield bodies
+                bodies = {}
+            part = p
+            bodies.setdefault(kind, []).append(body)
+    if bodies:
+        yield bodies
+
+
+def _hashed(df: DataFrame, *key: str) -> DataFrame:
+    """df with a hash of the key: joins on both sort by the number, as names share long beginnings."""
+    return df.withColumn("_hash", F.xxhash64(*key))
+
+
+def _by_name(df: DataFrame, file: str, cls: str, method: str) -> DataFrame:
+    """Each row under its method's file and under its class: (_by, _name, _method) are one key of joins."""
+    names = F.array(F.struct(F.lit("file").alias("by"), F.col(file).alias("name")), F.struct(F.lit("class").alias("by"), F.col(cls).alias("name")))
+    both = df.withColumn("_names", F.explode(names)).select("*", F.col("_names.by").alias("_by"), F.col("_names.name").alias("_name"), F.col(method).alias("_method"))
+    return _hashed(both.drop("_names").where("_name IS NOT NULL AND _method IS NOT NULL"), "_by", "_name", "_method")
+
+
+_NAMED = ["_hash", "_by", "_name", "_method"]
+
+
+def _reached(starts: DataFrame, edges: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
+    """(part, file, class, method) of the nodes that traces of a part's entries can expand, and of those and all that they call."""
+    calls = _by_name(edges.where("resolved_status = 'RESOLVED'"), "source_file", "source_class", "source_method").select(*_NAMED, "target_file", "target_class", "target_method")
+    frontier = seen = starts.select("part", F.col("file_path").alias("file"), F.col("class_name").alias("class"), F.col("method_name").alias("method")).distinct()
+    inner = seen
+    node = ["part", "file", "class", "method"]
+    for _ in range(max_depth):
+        met = _by_name(frontier, "file", "class", "method").select("part", *_NAMED).join(calls, _NAMED)
+        further = met.select("part", F.col("target_file").alias("file"), F.col("target_class").alias("class"), F.col("target_method").alias("method")).distinct()
+        frontier = written(_hashed(further, *node).join(_hashed(seen, *node), ["_hash", *node], "left_anti").select(node), "trace-frontier")
+        inner = seen
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    return seen
+    return inner, seen
 
 
 def trace_flows(entries: DataFrame, edges: DataFrame, db: DataFrame, http: DataFrame, components: DataFrame, framework: tuple[str, ...] = (), max_depth: int = 5) -> DataFrame:
     """Flow steps and, with unresolved set, the unresolved calls of every entry point.
 
     Depth-first order with a visited set for the whole flow is no relational operation.
-    So joins first gather what each entry can reach within max_depth calls, and every
-    entry is then traced over its own part of the graph.  A task takes its entries one after
-    another from sorted rows and holds the part of one at a time.
+    So joins first gather what the entries of each file can reach within max_depth calls,
+    and every entry is then traced over its file's part of the graph.  A task takes the
+    parts one after another from sorted rows and holds one at a time.
     """
-    reached = written(_reached(entries, edges, max_depth), "trace-nodes")
+    starts = entries.select(F.coalesce("file_path", "id").alias("part"), F.col("id").alias("root"), "file_path", "class_name", "method_name", F.coalesce("start_line", F.lit(0)).alias("start_line"), F.coalesce("end_line", F.lit(0)).alias("end_line"))
+    starts = written(starts, "trace-entries")
+    inner, every = _reached(starts, edges, max_depth)
     order = [c for c in ("source_file", "source_class", "source_method", "ordinal", "target_class", "target_method", "arg_count") if c in edges.columns]
-    e = edges.select("*", F.struct(*order).alias("_order"))
-    near = lambda on: reached.select("root", *on).distinct()
-    by_file = e.join(near(["file", "method"]), (F.col("source_file") == F.col("file")) & (F.col("source_method") == F.col("method"))).drop("file", "method")
-    by_class = e.join(near(["class", "method"]), (F.col("source_class") == F.col("class")) & (F.col("source_method") == F.col("method"))).drop("class", "method")
-    own = written(by_file.unionByName(by_class).dropDuplicates(), "trace-edges")
-    classes = own.select("root", F.col("target_class").alias("class")).unionByName(near(["class"])).distinct()
-    accesses = db.join(classes, db.class_name == classes["class"]).drop("class")
-    at = reached.select("root", F.col("file").alias("source_file"), F.col("method").alias("source_method")).distinct()
-    calls = http.join(at, ["source_file", "source_method"])
-    names = own.select("root", F.explode(F.array("target_file", "target_class")).alias("key")).unionByName(near(["file"]).select("root", F.col("file").alias("key"))).distinct()
-    kinds = names.join(components.select(F.col(components.columns[0]).alias("key"), F.col(components.columns[1]).alias("type")), "key").select("root", "key", "type")
-    starts = entries.select(F.col("id").alias("root"), "file_path", "class_name", "method_name", F.coalesce("start_line", F.lit(0)).alias("start_line"), F.coalesce("end_line", F.lit(0)).alias("end_line"))
+    near = _by_name(inner, "file", "class", "method").select("part", *_NAMED).distinct()
+    read = ["source_file", "source_class", "source_method", "target_file", "target_class", "target_method", "arg_count", "resolved_status", "target_start_line", "target_end_line"]
+    e = edges.select(*dict.fromkeys([*order, *read]))
+    own = _by_name(e, "source_file", "source_class", "source_method").join(near, _NAMED).drop(*_NAMED)
+    met = lambda keys, df, name: _hashed(keys, name).join(_hashed(df, name), ["_hash", name]).drop("_hash")
+    accesses = met(every.select("part", F.col("class").alias("class_name")).distinct(), db, "class_name")
+    at = inner.select("part", F.col("file").alias("source_file"), F.col("method").alias("source_method")).distinct()
+    calls = _hashed(at, "source_file", "source_method").join(_hashed(http, "source_file", "source_method"), ["_hash", "source_file", "source_method"]).drop("_hash")
+    names = every.select("part", F.explode(F.array("file", "class")).alias("key")).distinct()
+    kinds = met(names, components.select(F.col(components.columns[0]).alias("key"), F.col(components.columns[1]).alias("type")), "key")
     parts = None
     for kind, df in (("entry", starts), ("edge", own), ("db", accesses), ("http", calls), ("component", kinds)):
-        one = df.select("root", F.lit(kind).alias("kind"), F.to_json(F.struct(*[c for c in df.columns if c != "root"]), {"ignoreNullFields": "false"}).alias("body"))
+        one = df.select("part", F.lit(kind).alias("kind"), F.to_json(F.struct(*[c for c in df.columns if c != "part"]), {"ignoreNullFields": "false"}).alias("body"))
         parts = one if parts is None else parts.unionByName(one)
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, out = lambda x: json.dumps(x, sort_keys=True), []
-        for root, rows in _by_root(batches):
-            of = {k: [] for k in ("entry", "edge", "db", "http", "component")}
-            for kind, body in rows:
-                of[kind].append(json.loads(body))
-            found = sorted(of["edge"], key=lambda x: ([(v is not None, v) for v in x["_order"].values()], text(x)))
-            tracer = Tracer(found, sorted(of["db"], key=text), sorted(of["http"], key=text), {c["key"]: c["type"] for c in of["component"]}, framework, max_depth)
-            for entry in sorted(of["entry"], key=text):
+        text, out = json.JSONEncoder(sort_keys=True).encode, []
+        for part in _by_part(batches):
+            read = lambda kind: json.loads(f"[{','.join(part.get(kind, ()))}]")
+            of = {k: sorted(read(k), key=text) for k in ("entry", "db", "http", "component")}
+            # An edge comes twice where its method is known by file and by class.
+            part["edge"] = sorted({*part.get("edge", ())})
+            found = sorted(read("edge"), key=lambda x: [(v is not None, v) for v in map(x.get, order)])
+            tracer = Tracer(found, of["db"], of["http"], {c["key"]: c["type"] for c in of["component"]}, framework, max_depth)
+            for entry in of["entry"]:
                 steps, unresolved = tracer.trace(entry["file_path"], entry["class_name"], entry["method_name"], entry["start_line"], entry["end_line"])
-                out += [{"flow_id": root, "unresolved": False, **s} for s in steps]
-                out += [{"flow_id": root, "unresolved": True, "step_index": k, "component_type": None, "class_name": None, "method_name": call, "source_file": entry["file_path"], "start_line": 0, "end_line": 0, "enrichments": []} for k, call in enumerate(unresolved)]
+                out += [{"flow_id": entry["root"], "unresolved": False, **s} for s in steps]
+                out += [{"flow_id": entry["root"], "unresolved": True, "step_index": k, "component_type": None, "class_name": None, "method_name": call, "source_file": entry["file_path"], "start_line": 0, "end_line": 0, "enrichments": []} for k, call in enumerate(unresolved)]
             if len(out) >= STEP_ROWS:
                 yield pa.RecordBatch.from_pylist(out, schema=_STEP)
                 out = []
         yield pa.RecordBatch.from_pylist(out, schema=_STEP)
 
-    return parts.repartition("root").sortWithinPartitions("root").mapInArrow(trace, STEP_SCHEMA)
+    return _hashed(parts, "part").repartition("_hash", "part").sortWithinPartitions("_hash", "part").select("part", "kind", "body").mapInArrow(trace, STEP_SCHEMA)
 
 
 def waves(roots: DataFrame, dependencies: DataFrame, task: str, needs: str, hops: int = 3) -> DataFrame:

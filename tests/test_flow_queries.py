@@ -84,3 +84,19 @@ def test_topic_relationships_equal_a_plain_model(spark):
         got = flows.topic_relationships(made, found, steps)
         assert sorted((r.source_flow, r.target_flow, r.via) for r in got.collect()) == sorted(want) and want
         assert not plan(got, "optimizedPlan").startswith("Aggregate"), "pairs are not shuffled to be made distinct"
+
+
+def test_entries_of_a_file_share_one_part(spark, monkeypatch):
+    """What a file's entries reach is gathered once for the file; equal outgoing calls stay as many as they are."""
+    kept, keep = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, label: kept.append((label, keep(df, label))) or kept[-1][1])
+    made = lambda rows, schema: spark.createDataFrame(rows, schema)
+    entries = made([(f"e{k}", "F", "C", f"m{k}", 1, 2) for k in range(20)], "id string, file_path string, class_name string, method_name string, start_line int, end_line int")
+    edges = made([("F", "C", f"m{k}", "G", "D", "help", 0, "RESOLVED", 3, 4) for k in range(20)] + [("G", "D", "help", None, "X", "gone", 0, "UNRESOLVED", 0, 0)], "source_file string, source_class string, source_method string, target_file string, target_class string, target_method string, arg_count int, resolved_status string, target_start_line int, target_end_line int")
+    db = made([], "class_name string, method_name string, start_line int, end_line int, file_path string, sql string, param_count int")
+    http = made([("G", "help", "GET", "/u")] * 2, "source_file string, source_method string, method string, url_pattern string")
+    got = graph.trace_flows(entries, edges, db, http, made([], "key string, type string")).collect()
+    assert [df.count() for label, df in kept if label == "trace-frontier"] == [1, 0]
+    want = [("C", False), ("D", False), ("D", False), ("D", False), (None, True)]
+    for k in range(20):
+        assert [(r.class_name, r.unresolved) for r in sorted((r for r in got if r.flow_id == f"e{k}"), key=lambda r: (r.unresolved, r.step_index))] == want
