@@ -28,6 +28,13 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def hand_back() -> None:
+    """Hands memory that this process does not use back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no such library call here
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run: Callable) -> Callable:
     """A worker's function over batches that hands unused memory back to the system at its end.
 
@@ -36,9 +43,7 @@ def tidy(run: Callable) -> Callable:
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # no such library call here
-            ctypes.CDLL(None).malloc_trim(0)
+        hand_back()
 
     return tidied
 

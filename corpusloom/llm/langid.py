@@ -9,10 +9,14 @@ A text whose cosine is far below what training texts of its length reach is reje
 Training takes about ``per_language`` different texts of each of the ``languages`` labels
 with the most of them, those with the smallest text hash: a bounded sample of labelled
 rows.  Copies of a text count once.  Every text is predicted whole.
+
+The driver holds the sample's counters compressed and opens those of one language, or of
+one block, at a time.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,10 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.arrowtext import in_small_batches, tidy
+from corpusloom.llm.arrowtext import hand_back, in_small_batches, tidy
+from corpusloom.llm.shared import trim
 
 DIMENSIONS = 4096
 UNKNOWN = "und"
+#: Rows of counts that the driver opens at once.
+BLOCK = 256
 _LETTER = regex.compile(r"\p{L}")
 _BLANKS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -45,6 +52,23 @@ def counts(text: str) -> np.ndarray:
     return np.bincount(gram >> np.uint32(20), minlength=DIMENSIONS)
 
 
+def packed(tally: np.ndarray) -> bytes:
+    return zlib.compress(tally.astype("<i4").tobytes(), 1)
+
+
+class Packed:
+    """Rows of packed counts, opened where an array of row numbers asks for them."""
+
+    def __init__(self, rows: list[bytes]):
+        self.rows = rows
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        out = np.empty((len(at), DIMENSIONS), np.int32)
+        for to, i in zip(out, at.tolist(), strict=True):
+            to[:] = np.frombuffer(zlib.decompress(self.rows[i]), "<i4")
+        return out
+
+
 @dataclass
 class CentroidModel:
     languages: list[str]
@@ -54,9 +78,12 @@ class CentroidModel:
     least: np.ndarray  # smallest accepted cosine by log2 of the number of trigrams
 
     def vectors(self, tallies: np.ndarray) -> np.ndarray:
-        x = np.log1p(tallies.astype(np.float32)) * self.idf
+        x = tallies.astype(np.float32)
+        np.log1p(x, out=x)
+        x *= self.idf
         norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.where(norm > 0, norm, 1)
+        x /= np.where(norm > 0, norm, 1)
+        return x
 
     def judge(self, tallies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language number, cosine, whether it is rejected) of each row of counts."""
@@ -80,18 +107,20 @@ def _spherical_kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     return c
 
 
-def fit(languages: list[str], tallies: np.ndarray, clusters: int = 3, margin: float = 0.6) -> CentroidModel:
+def fit(languages: list[str], tallies: np.ndarray | Packed, clusters: int = 3, margin: float = 0.6) -> CentroidModel:
     """languages: of each row of tallies.  margin: times a low quantile of the training cosines."""
+    blocks = [np.arange(i, min(i + BLOCK, len(languages))) for i in range(0, len(languages), BLOCK)]
     names = sorted(set(languages))
     label = np.array([names.index(x) for x in languages])
-    idf = (np.log((1 + len(label)) / (1 + (tallies > 0).sum(axis=0))) + 1).astype(np.float32)
+    holders = sum((tallies[at] > 0).sum(axis=0) for at in blocks)
+    idf = (np.log((1 + len(label)) / (1 + holders)) + 1).astype(np.float32)
     model = CentroidModel(names, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), idf, np.zeros(24))
-    x = model.vectors(tallies)
-    found = [_spherical_kmeans(x[label == i], clusters) for i in range(len(names))]
+    found = [_spherical_kmeans(model.vectors(tallies[np.flatnonzero(label == i)]), clusters) for i in range(len(names))]
     model.centroids = np.concatenate(found).astype(np.float32)
     model.owner = np.repeat(np.arange(len(names)), [len(c) for c in found])
-    _, score, _ = model.judge(tallies)
-    size = np.log2(np.maximum(tallies.sum(axis=1), 1)).astype(int)
+    reached = [(model.judge(rows)[1], rows.sum(axis=1)) for rows in (tallies[at] for at in blocks)]
+    score, total = (np.concatenate(c) for c in zip(*reached, strict=True))
+    size = np.log2(np.maximum(total, 1)).astype(int)
     low = 0.0
     for b in range(len(model.least)):  # longer texts reach larger cosines, so the bound never falls
         if (size == b).sum() >= 8:
@@ -125,15 +154,16 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
                 if (lang, h) not in seen:
                     seen.add((lang, h))
                     if has_letter(text):
-                        found.append((lang, h, counts(text).astype("<i4").tobytes()))
+                        found.append((lang, h, packed(counts(text))))
             columns = [*zip(*found, strict=True)] or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["lang", "h", "tally"])
 
     once = sample.mapInArrow(tally, "lang string, h long, tally binary").groupBy("lang", "h").agg(F.first("tally").alias("tally"))
     got = sorted((r.lang, r.h, bytes(r.tally)) for r in once.limit(2 * per_language * len(borders)).toLocalIterator())
-    if not got:
-        return None
-    return fit([g[0] for g in got], np.stack([np.frombuffer(g[2], "<i4") for g in got]), clusters)
+    model = fit([g[0] for g in got], Packed([g[2] for g in got]), clusters) if got else None
+    hand_back()
+    trim(df.sparkSession)
+    return model
 
 
 def keep_known(df: DataFrame, model: CentroidModel | None, text_col: str = "text") -> DataFrame:

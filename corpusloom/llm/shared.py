@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from corpusloom.sources.shared import Tables, fresh_dir, remove, shared_dir, written
+from corpusloom.sources.shared import Tables, fresh_dir, remove, shared_dir, trim, written
 
-__all__ = ["Tables", "fresh_dir", "remove", "shared_dir", "unused", "written"]
+__all__ = ["Tables", "fresh_dir", "remove", "shared_dir", "trim", "unused", "written"]
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

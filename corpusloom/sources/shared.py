@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,6 +42,30 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def trim(spark: SparkSession) -> str | None:
+    """Hands memory that the driver's JVM has freed outside its heap back to the system; what the JVM reports.
+
+    The C library keeps it otherwise, over a long session more and more.  A JVM that
+    does not know the command stays as it is: None.
+    """
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    lang = jvm.java.lang
+
+    def array(kind, values: list):
+        out = new(kind, len(values))
+        for i, value in enumerate(values):
+            out[i] = value
+        return out
+
+    with contextlib.suppress(Py4JError):
+        kinds = [lang.Class.forName(n) for n in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        # The server's own class is closed to reflection, its interface is open.
+        invoke = lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", array(lang.Class, kinds))
+        bean = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        return invoke.invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), array(lang.Object, [bean, "systemTrimNativeHeap", new(lang.Object, 0), new(lang.String, 0)]))
+    return None
+
+
 class Tables:
     """Tables that an operator writes on its way, and that nothing reads once its result is stored."""
 
@@ -55,6 +81,7 @@ class Tables:
         for path in self.paths:
             delete(self.spark, path)
         self.paths = []
+        trim(self.spark)
 
 
 def remove(spark: SparkSession, df: DataFrame) -> None:

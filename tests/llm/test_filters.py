@@ -5,12 +5,14 @@ import math
 import random
 import re
 import tarfile
+import tracemalloc
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusloom.llm import langid, linededup, media, queries, secretscan, urlfilter
+from corpusloom.llm import langid, linededup, media, queries, secretscan, shared, urlfilter
 
 SF = "/root/testdata/sf0.001"
 
@@ -181,6 +183,32 @@ def test_copies_do_not_fill_the_training_sample(spark):
     assert langid.train(df, languages=1).languages == ["de"]
 
 
+def test_training_never_opens_the_whole_sample(spark):
+    rows = [(i, f"{i} " + " ".join(f"w{i * 37 + k * k}{'abcdefgh'[i % 8] * 3}" for k in range(60)), f"l{i % 8}") for i in range(2400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    langid.train(df.limit(50))  # what is made once
+    tracemalloc.start()
+    try:
+        model = langid.train(df, clusters=2)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(model.languages) == 8 and len(model.centroids) == 16
+    assert most < 2400 * langid.DIMENSIONS * 4
+    tallies = np.stack([langid.counts(t) for _, t, _ in rows[:700]])
+    packs = langid.Packed([langid.packed(t) for t in tallies])
+    assert (packs[np.arange(700)] == tallies).all()
+    a, b = (langid.fit([x for _, _, x in rows[:700]], t) for t in (tallies, packs))
+    assert (a.centroids == b.centroids).all() and (a.idf == b.idf).all() and (a.least == b.least).all()
+
+
+def test_the_driver_hands_back_freed_memory(spark):
+    known = spark._jvm.java.lang.Runtime.version().feature() >= 21 or spark._jvm.java.lang.System.getProperty("java.version") >= "17.0.9"
+    said = shared.trim(spark)
+    assert said is None or "Trim native heap" in said
+    assert said or not known or not spark._jvm.java.lang.System.getProperty("os.name").startswith("Linux")
+
+
 def cdf(z):
     return 1 / (1 + math.exp(-min(max(1.5976 * z + 0.07056 * z**3, -700), 700)))
 
